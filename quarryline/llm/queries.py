@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarryline.llm import q_mixing
+from quarryline.llm import q_mixing, q_simhash
 
-MODULES = (q_mixing,)
+MODULES = (q_mixing, q_simhash)
 QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
