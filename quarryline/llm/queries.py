@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarryline.llm import q_mixing, q_ogg, q_simhash
+from quarryline.llm import q_mixing, q_ogg, q_simhash, q_token_files
 
-MODULES = (q_mixing, q_simhash, q_ogg)
+MODULES = (q_mixing, q_simhash, q_token_files, q_ogg)
 QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
