@@ -91,7 +91,7 @@ class UnitCache:
         out: list[np.ndarray] = [None] * len(texts)  # type: ignore[list-item]
         plain = [k for k, t in enumerate(texts) if not UNSAFE.search(t)]
         words = [texts[k].split(" ") for k in plain]
-        odd = [k for k in range(len(texts)) if k not in set(plain)]
+        odd = sorted(set(range(len(texts))).difference(plain))
         # First words have no space before them: they, and texts with odd white space, are encoded as they are.
         heads = self.encode_many([w[0] for w in words] + [texts[k] for k in odd])
         heads = [np.asarray(x, np.int64) for x in heads]
