@@ -1,7 +1,7 @@
 """Operator 4: token ids as length-delimited binary records.
 
 A shard is a file of frames: length (8 bytes, little-endian), masked checksum of the length, the record, masked checksum of
-the record. A record is the document's key and its ids as 32-bit integers, all little-endian. Beside each shard stands an
+the record. A record is the document's key, the width of an id (2 bytes for vocabularies that fit, else 4) and the ids, all little-endian. Beside each shard stands an
 offset index, 16 bytes a record (offset, ids before it in the shard), so that any record can be read alone, in any order.
 The checksum is zlib's CRC-32, rotated and shifted by a constant so that a checksum of data with checksums stays sound.
 
@@ -30,8 +30,8 @@ from quarryline.llm.unit_cache import UnitCache
 MASK_DELTA = 0xA282EAD8
 HEAD, HEAD_BYTES = "<QI", 12
 TAIL, TAIL_BYTES = "<I", 4
-#: Before the ids: doc_id, and 1 if it is null.
-KEY, KEY_BYTES = "<qB", 9
+#: Before the ids: doc_id, 1 if it is null, bytes of an id.
+KEY, KEY_BYTES = "<qBB", 10
 END_ID = 0
 #: About so many documents to a shard.
 SHARD_DOCS = 20_000
@@ -85,6 +85,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_file: str, shards: int |
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}-{uuid.uuid4().hex[:12]}"
         cache = UnitCache.of_tokenizer(tokenizer_file)
+        width = 2 if cache.vocabulary <= 1 << 16 else 4
         docs_n = ids_n = at = 0
         data = index = None
         for d in batches:
@@ -93,9 +94,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer_file: str, shards: int |
             if data is None:
                 data, index = fs.open_output_stream(f"{root}/{name}.rec"), fs.open_output_stream(f"{root}/{name}.idx")
             for i, ids in zip(d["doc_id"], cache.encode(d["text"].tolist()), strict=True):
-                ids = np.append(ids, END_ID).astype("<u4")
+                ids = np.append(ids, END_ID).astype(f"<u{width}")
                 null = i is None or i != i
-                out = frame(struct.pack(KEY, 0 if null else int(i), null) + ids.tobytes())
+                out = frame(struct.pack(KEY, 0 if null else int(i), null, width) + ids.tobytes())
                 index.write(struct.pack("<QQ", at, ids_n))
                 data.write(out)
                 docs_n, ids_n, at = docs_n + 1, ids_n + len(ids), at + len(out)
@@ -110,7 +111,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_file: str, shards: int |
 
 
 def read_shards(spark: SparkSession, path: str, manifest: DataFrame, run: int = 4000) -> DataFrame:
-    """Read the manifest's shards back through their indexes: (doc_id, start, n_tokens, ids) of each record.
+    """Read the manifest's shards back through their indexes: (doc_id, start, n_tokens, ids) of each record, ids as 32-bit integers.
 
     Work is dealt out in runs of records, so a large shard is read by several tasks.
     """
@@ -135,8 +136,9 @@ def read_shards(spark: SparkSession, path: str, manifest: DataFrame, run: int =
                 rows = []
                 for k in range(n):
                     record, _ = read_frame(data, int(offsets[k, 0]) - start)
-                    i, null = struct.unpack_from(KEY, record)
-                    rows.append((None if null else i, int(x.ids_before + offsets[k, 1]), (len(record) - KEY_BYTES) // 4, record[KEY_BYTES :]))
+                    i, null, width = struct.unpack_from(KEY, record)
+                    ids = np.frombuffer(record, f"<u{width}", offset=KEY_BYTES)
+                    rows.append((None if null else i, int(x.ids_before + offsets[k, 1]), len(ids), ids.astype("<u4").tobytes()))
                     if len(rows) == 500 or k == n - 1:
                         yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids"]).astype({"doc_id": "Int64"})
                         rows = []

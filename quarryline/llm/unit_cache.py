@@ -37,8 +37,8 @@ class Codes(dict):
 class UnitCache:
     """encode_many gives the ids of each of a list of strings. A word is kept under its own name, for the space and itself."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list]):
-        self.encode_many = encode_many
+    def __init__(self, encode_many: Callable[[list[str]], list], vocabulary: int):
+        self.encode_many, self.vocabulary = encode_many, vocabulary
         self.clear()
 
     def clear(self) -> None:
@@ -77,7 +77,7 @@ class UnitCache:
                     out[k] = e.ids
             return out
 
-        return UnitCache(encode_many)
+        return UnitCache(encode_many, len(bytes_of))
 
     def learn(self) -> None:
         found = [np.asarray(x, np.int64) for x in self.encode_many([" " + w for w in self.codes.new])]
