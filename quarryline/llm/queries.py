@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarryline.llm import q_mixing, q_ogg, q_pieces, q_simhash, q_token_files
+from quarryline.llm import q_mixing, q_ogg, q_pieces, q_simhash, q_token_files, q_toxicity
 
-MODULES = (q_mixing, q_simhash, q_token_files, q_pieces, q_ogg)
+MODULES = (q_mixing, q_simhash, q_token_files, q_pieces, q_toxicity, q_ogg)
 QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
