@@ -34,7 +34,7 @@ DISCOUNT = 0.75
 SHORTEST, LONGEST = 3, 8
 END = "$"
 #: Labelled documents of each class that are learnt from, about.
-MAX_DOCS = 10_000
+MAX_DOCS = 4000
 #: One in so many of them is kept for the curve.
 KEPT_OUT = 4
 #: A gram is used differently from this G and this log ratio on.
@@ -128,27 +128,31 @@ def _scorer(spark, model: ToxicityModel, final: bool):
     return score
 
 
-def count_grams(sample: DataFrame) -> DataFrame:
-    """Lines (label, sample_id, text) -> gram, kind, lines (d0, d1) and occurrences (c0, c1) in both classes."""
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word")
-    own = sample.select("label", "sample_id", word).groupBy("label", "sample_id", "word").agg(F.count("*").alias("n"))
-    # A gram of a word: (kind, gram), kind 0 for the whole word, else the length of the beginning.
-    begins = F.transform(F.sequence(F.lit(SHORTEST), F.lit(LONGEST)), lambda k: F.struct(k.alias("kind"), F.when(F.length("word") >= k, F.substring("word", F.lit(1), k)).alias("gram")))
-    whole = F.array(F.struct(F.lit(0).alias("kind"), F.concat("word", F.lit(END)).alias("gram")))
-    grams = own.select("label", "sample_id", "n", F.explode(F.concat(whole, F.filter(begins, lambda g: g["gram"].isNotNull()))).alias("g"))
-    per_line = grams.groupBy("label", "sample_id", "g").agg(F.sum("n").alias("n"))
-    toxic = F.col("label") == 1
-    return per_line.groupBy("g").agg(F.count_if(~toxic).alias("d0"), F.count_if(toxic).alias("d1"), F.coalesce(F.sum(F.when(~toxic, F.col("n"))), F.lit(0)).alias("c0"), F.coalesce(F.sum(F.when(toxic, F.col("n"))), F.lit(0)).alias("c1")).select("g.kind", "g.gram", "d0", "d1", "c0", "c1")
+def count_grams(lines: DataFrame) -> DataFrame:
+    """Lines (label, text) -> gram, kind, in how many lines it stands (d0, d1) in both classes.
+
+    A line's grams are made distinct within its row, so they are summed map-side before the one shuffle.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
+
+    def grams(w: Column) -> Column:
+        sizes = F.sequence(F.lit(SHORTEST), F.greatest(F.lit(SHORTEST), F.least(F.lit(LONGEST), F.length(w))))
+        return F.concat(F.array(F.concat(w, F.lit(END))), F.when(F.length(w) >= SHORTEST, F.transform(sizes, lambda k: F.substring(w, F.lit(1), k))).otherwise(F.array().cast("array<string>")))
+
+    own = lines.select("label", F.explode(F.array_distinct(F.flatten(F.transform(words, grams)))).alias("gram"))
+    counted = own.groupBy("gram").agg(F.count_if(F.col("label") == 0).alias("d0"), F.count_if(F.col("label") == 1).alias("d1"))
+    # Kind 0 is a whole word, others are the length of a beginning.
+    return counted.withColumn("kind", F.when(F.endswith("gram", F.lit(END)), 0).otherwise(F.length("gram")))
 
 
 def log_ratios(grams: DataFrame, lines: tuple[int, int]) -> dict[str, float]:
     """Kneser-Ney log ratios of the grams that the classes use differently."""
-    kinds = grams.groupBy("kind").agg(*[F.sum(c).alias(f"all_{c}") for c in ("c0", "c1")], F.sum(F.col("d0") + F.col("d1")).alias("all_d"), F.count_if(F.col("c0") > 0).alias("t0"), F.count_if(F.col("c1") > 0).alias("t1"))
+    kinds = grams.groupBy("kind").agg(*[F.sum(f"d{c}").alias(f"n{c}") for c in (0, 1)], *[F.count_if(F.col(f"d{c}") > 0).alias(f"t{c}") for c in (0, 1)])
     g = grams.join(F.broadcast(kinds), "kind")  # one row a kind, nine at most
-    shared = (F.col("d0") + F.col("d1")) / F.col("all_d")
+    shared = (F.col("d0") + F.col("d1")) / (F.col("n0") + F.col("n1"))
 
     def p(c: int) -> Column:
-        return (F.greatest(F.col(f"c{c}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"t{c}") * shared) / F.col(f"all_c{c}")
+        return (F.greatest(F.col(f"d{c}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"t{c}") * shared) / F.col(f"n{c}")
 
     def part(n: Column, of: Column, total: float) -> Column:
         return F.when(n > 0, n * F.ln(n / (of * F.lit(total)))).otherwise(F.lit(0.0))
@@ -189,7 +193,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, max_doc
     sizes = {r["label"]: r["count"] for r in counted.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return ToxicityModel()
-    model = ToxicityModel(usual_words(learnt) | log_ratios(count_grams(counted), (sizes[0], sizes[1])))
+    grams = materialize(count_grams(counted), "toxic-grams")
+    model = ToxicityModel(usual_words(learnt) | log_ratios(grams, (sizes[0], sizes[1])))
     curve = sample.where(kept_out).select("label", _scorer(spark, model, False)("text").alias("figure")).toPandas()
     model.fit_curve(curve["figure"].to_numpy(), curve["label"].to_numpy())
     return model
