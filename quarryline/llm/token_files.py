@@ -74,7 +74,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_file: str, shards: int |
     small_batches(spark)
     shards = shards or max(spark.sparkContext.defaultParallelism, docs.count() // SHARD_DOCS)
     order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).repartitionByRange(shards, order[0]).sortWithinPartitions(*order)
     fs, root = filesystem(path)
     fs.create_dir(root, recursive=True)
 

@@ -18,7 +18,7 @@ import numpy as np
 #: White space after white space, or information separators.
 UNSAFE = re.compile(r"\s\s|[\x1c-\x1f\x85]")
 #: Units that a worker remembers before it starts anew.
-CACHED = 1_000_000
+CACHED = 700_000
 #: New units or texts that the tokenizer gets at once.
 AT_ONCE = 4096
 #: Units that are joined for one call.
@@ -35,10 +35,10 @@ class Codes(dict):
 
 
 class UnitCache:
-    """encode_many gives the ids of each of a list of strings. A word is kept under its own name, for the space and itself."""
+    """encode_many gives the ids of each of a list of strings, encode_words all ids of words after a space, and how many of each. A word is kept under its own name, for the space and itself."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list], vocabulary: int):
-        self.encode_many, self.vocabulary = encode_many, vocabulary
+    def __init__(self, encode_many: Callable[[list[str]], list], encode_words: Callable[[list[str]], tuple], vocabulary: int):
+        self.encode_many, self.encode_words, self.vocabulary = encode_many, encode_words, vocabulary
         self.clear()
 
     def clear(self) -> None:
@@ -60,30 +60,31 @@ class UnitCache:
             bytes_of[i] = len(token)
 
         def encode_many(texts: list[str]) -> list[list[int]]:
-            """Units that begin with their space and end without one are encoded joined, and told apart by bytes."""
-            out: list = [None] * len(texts)
-            joins = [k for k, u in enumerate(texts) if u[:1] == " " and not u[-1].isspace()]
-            for a in range(0, len(joins), JOINED):
-                part = joins[a : a + JOINED]
-                ids = np.array(t.encode_batch_fast(["".join([texts[k] for k in part])], add_special_tokens=False)[0].ids)
-                ends = np.cumsum([len(texts[k].encode()) for k in part])
-                cut = np.searchsorted(np.cumsum(bytes_of[ids]), ends) + 1
-                for k, x in zip(part, np.split(ids, cut[:-1]), strict=True):
-                    out[k] = x
-            rest = [k for k, x in enumerate(out) if x is None]
-            for a in range(0, len(rest), AT_ONCE):
-                found = t.encode_batch_fast([texts[k] for k in rest[a : a + AT_ONCE]], add_special_tokens=False)
-                for k, e in zip(rest[a : a + AT_ONCE], found, strict=True):
-                    out[k] = e.ids
-            return out
-
-        return UnitCache(encode_many, len(bytes_of))
+            return [e.ids for k in range(0, len(texts), AT_ONCE) for e in t.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
+
+        def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Words, each with a space before it, are encoded joined and told apart by their bytes."""
+            ids, sizes = [], []
+            for a in range(0, len(words), JOINED):
+                part = words[a : a + JOINED]
+                if any(w == "" or w[-1].isspace() for w in part):
+                    found = encode_many([" " + w for w in part])
+                    ids += [np.array(x, np.int64) for x in found]
+                    sizes.append([len(x) for x in found])
+                    continue
+                got = np.array(t.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids)
+                ends = np.cumsum([len(w.encode()) + 1 for w in part])
+                ids.append(got)
+                sizes.append(np.diff(np.searchsorted(np.cumsum(bytes_of[got]), ends) + 1, prepend=0))
+            return np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+        return UnitCache(encode_many, encode_words, len(bytes_of))
 
     def learn(self) -> None:
-        found = [np.asarray(x, np.int64) for x in self.encode_many([" " + w for w in self.codes.new])]
+        ids, sizes = self.encode_words(self.codes.new)
         self.codes.new = []
-        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum([len(x) for x in found]))
-        self.ids = np.concatenate([self.ids, *found])
+        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
+        self.ids = np.append(self.ids, ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.codes) > CACHED:
