@@ -17,6 +17,8 @@ each other; a single document is its own next; an empty table gives no rows; ext
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,21 +33,31 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(lines, lambda p: F.xxhash64(p)))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once: it is bound as the element of a one-element array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _placed(keys: Column, salt: Column) -> Column:
     """Digests with their hash: places from its low bits, the checksum from its high ones."""
     return F.transform(keys, lambda k: F.struct(k.alias("k"), F.xxhash64(k, salt).alias("h")))
 
 
+def _hits(h: Column, cell: Column) -> Column:
+    """Whether a digest of this hash has its place in the cell: three bits of the hash for each table."""
+    place = F.call_function("shiftrightunsigned", h, F.shiftright(cell, 3) * 3)
+    return place.bitwiseAND(WIDTH - 1) == cell.bitwiseAND(WIDTH - 1)
+
+
 def cells_of(keys: Column, salt: Column) -> Column:
     """The sketch of a set of digests: array of (count, XOR of digests, XOR of checksums)."""
-    placed = _placed(keys, salt)
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
 
-    def cell(table: int, place: int) -> Column:
-        mine = F.filter(placed, lambda x: F.shiftrightunsigned(x["h"], 3 * table).bitwiseAND(WIDTH - 1) == place)
-        return F.aggregate(mine, empty, lambda s, x: F.struct((s["n"] + 1).alias("n"), s["k"].bitwiseXOR(x["k"]).alias("k"), s["c"].bitwiseXOR(F.shiftrightunsigned(x["h"], 32)).alias("c")))
+    def add(s: Column, x: Column) -> Column:
+        return F.struct((s["n"] + 1).alias("n"), s["k"].bitwiseXOR(x["k"]).alias("k"), s["c"].bitwiseXOR(F.shiftrightunsigned(x["h"], 32)).alias("c"))
 
-    return F.array(*[cell(t, p) for t in range(TABLES) for p in range(WIDTH)])
+    every = F.lit(list(range(CELLS)))
+    return let(_placed(keys, salt), lambda placed: F.transform(every, lambda cell: F.aggregate(F.filter(placed, lambda x: _hits(x["h"], cell)), empty, add)))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -60,23 +72,20 @@ def peel(cells: Column, salt: Column, most: Column) -> Column:
 
     def step(s: Column, _: Column) -> Column:
         pure = F.get(F.filter(s["cells"], lambda x: F.when(F.abs(x["n"]) == 1, F.shiftrightunsigned(F.xxhash64(x["k"], salt), 32) == x["c"]).otherwise(F.lit(False))), F.lit(0))
-        with_pure = F.struct(s["cells"].alias("cells"), s["found"].alias("found"), pure.alias("p"), F.xxhash64(pure["k"], salt).alias("h"))
+        stuck = F.struct(s["cells"].alias("cells"), s["found"].alias("found"), F.lit(False).alias("go"))
 
-        def taken(w: Column) -> Column:
+        def taken(p: Column) -> Column:
             def without(x: Column, i: Column) -> Column:
-                place = F.lit(0).cast("long")
-                table = F.floor(i / WIDTH).cast("int")
-                for t in range(TABLES):
-                    place = F.when(table == t, F.shiftrightunsigned(w["h"], 3 * t)).otherwise(place)
-                hit = place.bitwiseAND(WIDTH - 1) == i % WIDTH
-                return F.when(hit, F.struct((x["n"] - w["p"]["n"]).alias("n"), x["k"].bitwiseXOR(w["p"]["k"]).alias("k"), x["c"].bitwiseXOR(w["p"]["c"]).alias("c"))).otherwise(x)
+                less = F.struct((x["n"] - p["n"]).alias("n"), x["k"].bitwiseXOR(p["k"]).alias("k"), x["c"].bitwiseXOR(p["c"]).alias("c"))
+                return F.when(_hits(p["h"], i), less).otherwise(x)
 
-            return F.struct(F.transform(w["cells"], without).alias("cells"), (s["found"] + 1).alias("found"), F.lit(True).alias("go"))
+            return F.struct(F.transform(s["cells"], without).alias("cells"), (s["found"] + 1).alias("found"), F.lit(True).alias("go"))
 
-        stuck = F.struct(s["cells"].alias("cells"), s["found"].alias("found"), F.lit(False).alias("go"))
-        # A one-element array binds the pure cell once.
-        tried = F.get(F.transform(F.array(with_pure), lambda w: F.when(w["p"].isNull(), stuck).otherwise(taken(w))), F.lit(0))
-        return F.when(s["go"], tried).otherwise(s)
+        def tried(p: Column) -> Column:
+            return F.when(p["n"].isNull(), stuck).otherwise(taken(p))
+
+        hashed = let(pure, lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c"), F.xxhash64(x["k"], salt).alias("h")))
+        return F.when(s["go"], let(hashed, tried)).otherwise(s)
 
     start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(True).alias("go"))
     steps = F.sequence(F.lit(0), F.least(most, F.lit(2 * CELLS)))
@@ -93,27 +102,25 @@ def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column
             def part(keys: Column) -> Column:
                 return F.filter(keys, lambda k: F.pmod(F.shiftright(F.xxhash64(k, blocks, F.lit(5)), 7), blocks) == i)
 
-            got = F.get(F.transform(F.array(F.struct(part(a).alias("a"), part(b).alias("b"))), lambda p: peel(subtract(cells_of(p["a"], blocks), cells_of(p["b"], blocks)), blocks, F.size(p["a"]) + F.size(p["b"]))), F.lit(0))
-            added = F.get(F.transform(F.array(got), lambda g: F.struct((t["found"] + g["found"]).alias("found"), g["whole"].alias("whole"))), F.lit(0))
+            got = let(F.struct(part(a).alias("a"), part(b).alias("b")), lambda p: peel(subtract(cells_of(p["a"], blocks), cells_of(p["b"], blocks)), blocks, F.size(p["a"]) + F.size(p["b"])))
+            added = let(got, lambda g: F.struct((t["found"] + g["found"]).alias("found"), g["whole"].alias("whole")))
             return F.when(t["whole"], added).otherwise(t)
 
         whole = F.aggregate(F.sequence(F.lit(0), blocks - 1), F.struct(F.lit(0).alias("found"), F.lit(True).alias("whole")), block)
         return F.when(s["whole"], s).otherwise(whole)
 
-    # Sizes grow until blocks hold two digests on average, and twice more for bad luck.
+    # From blocks of some 48 digests up to far more blocks than digests.
     need = F.size(a) + F.size(b)
-    sizes = F.filter(F.array(*[F.lit(4**k) for k in range(1, 14)]), lambda g: g <= 32 * need + 64)
-    retried = F.aggregate(sizes, nothing, larger)
-    got = F.get(F.transform(F.array(first), lambda f: F.when(f["whole"], f).otherwise(retried)), F.lit(0))
+    sizes = F.filter(F.lit([4**k for k in range(1, 12)]), lambda g: (g * 48 >= need) & (g <= 32 * need + 64))
     # No size worked (two digests with one hash): the sets themselves tell.
     exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    return F.get(F.transform(F.array(got), lambda g: F.when(g["whole"], g["found"]).otherwise(exact)), F.lit(0))
+    retried = let(F.aggregate(sizes, nothing, larger), lambda g: F.when(g["whole"], g["found"]).otherwise(exact))
+    return let(first, lambda f: F.when(f["whole"], f["found"]).otherwise(retried))
 
 
 def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
     total = F.size(a) + F.size(b)
-    d = difference(a, b, cells_a, cells_b)
-    return F.get(F.transform(F.array(d), lambda x: F.when(total == 0, F.lit(1.0)).otherwise((total - x).cast("double") / (total + x))), F.lit(0))
+    return let(difference(a, b, cells_a, cells_b), lambda d: F.when(total == 0, F.lit(1.0)).otherwise((total - d).cast("double") / (total + d)))
 
 
 def text_of(keys: Column, cells: Column) -> Column:
@@ -161,8 +168,10 @@ def fingerprint_edits(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFr
     for text, k in (("text", "a"), ("edited", "e"), ("next_text", "x")):
         d = add_sketch(d, text, f"keys_{k}", f"cells_{k}")
     a, e, x = ((F.col(f"keys_{k}"), F.col(f"cells_{k}")) for k in "aex")
+    others = F.array(*[F.struct(keys.alias("keys"), cells.alias("cells")) for keys, cells in (e, x)])
+    d = d.withColumn("_near", F.transform(others, lambda o: likeness(a[0], o["keys"], a[1], o["cells"])))
     return d.withColumns({
         "edited_sha256": F.sha2(F.col("edited").cast("binary"), 256),
         "fingerprint": text_of(*a), "edited_fingerprint": text_of(*e),
-        "near_edited": likeness(a[0], e[0], a[1], e[1]), "near_next": likeness(a[0], x[0], a[1], x[1]),
-    }).drop("edited", "next_text", *[f"{n}_{k}" for n in ("keys", "cells") for k in "aex"])
+        "near_edited": F.get("_near", F.lit(0)), "near_next": F.get("_near", F.lit(1)),
+    }).drop("_near", "edited", "next_text", *[f"{n}_{k}" for n in ("keys", "cells") for k in "aex"])
