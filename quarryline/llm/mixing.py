@@ -63,13 +63,13 @@ def source_targets(sizes: DataFrame, schedule: Sequence[tuple[float, Column]] |
         phases.append(F.struct(F.lit(starts[k]).alias("start"), before.alias("before"), F.col(f"s{k}").alias("share")))
         before = before + F.col(f"s{k}") * (end - starts[k])
     s = s.withColumn("share", before).withColumn("phases", F.array(*phases)).withColumn("cap", (F.col("source_size") * max_repeat).cast("double"))
-    # Sources reach their cap in the order of cap over share: up to the first that doesn't, all stop at the cap.
+    # Sources reach their cap in the order of cap over share. The first that does not sets the level, the largest of its kind.
     order = Window.orderBy(F.when(F.col("share") > 0, F.col("cap") / F.col("share")).asc_nulls_last(), "source_rank")
     full_before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum("share").over(order.rowsBetween(0, Window.unboundedFollowing))
     s = s.withColumn("level", F.try_divide(F.col("total") - full_before, rest))
     s = s.withColumn("full", (F.col("share") > 0) & (F.col("cap") <= F.col("level") * F.col("share")))
-    level = F.min(F.when(~F.col("full") & (F.col("share") > 0), F.col("level"))).over(everything)
+    level = F.max(F.when(~F.col("full") & (F.col("share") > 0), F.col("level"))).over(everything)
     s = s.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.coalesce(level, F.lit(0.0)) * F.col("share")))
     return s.select("source", "source_rank", "source_size", "target", "share", "phases")
 
@@ -110,10 +110,16 @@ def mix_sources(docs: DataFrame, schedule: Sequence[tuple[float, Column]] | None
 
 
 def training_order(docs: DataFrame, mix: DataFrame) -> DataFrame:
-    """The documents of the mix with all their columns, a row per copy, range-sorted by training position."""
+    """The documents of the mix with all their columns, a row per copy, range-sorted by training position.
+
+    Rows that agree in doc_id, source and text are one row here with the positions of all of them, so that documents meet
+    their positions in one shuffle; the sort is the other.
+    """
+
+    def row_key(order_key: Column) -> Column:
+        return F.md5(F.concat(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), F.lit(":"), order_key))
+
+    copies = mix.select(row_key(F.col("order_key")).alias("_key"), F.explode("positions").alias("_position"))
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text_or_empty())))
-    copies = mix.select("order_key", F.col("source").alias("mix_source"), F.explode("positions").alias("position"), F.row_number().over(Window.partitionBy("order_key").orderBy("source", "positions")).alias("mix_row"))
-    own = docs.withColumn("order_key", key)
-    own = own.withColumn("mix_row", F.row_number().over(Window.partitionBy("order_key").orderBy("source")))
-    out = own.join(copies.drop("mix_source"), ["order_key", "mix_row"])
-    return out.orderBy("position", "order_key").select(*docs.columns)
+    own = docs.withColumn("source", F.col("source").cast("string")).withColumn("_key", row_key(key)).dropDuplicates(["_key"])
+    return own.join(copies, "_key").orderBy("_position", "_key").select(*docs.columns)

@@ -34,7 +34,7 @@ filled AS (
 targets AS (
   SELECT source, source_size,
          CASE WHEN cap <= level * share THEN CAST(cap AS DOUBLE)
-              ELSE share * min(CASE WHEN cap > level * share THEN level END) OVER () END AS target
+              ELSE share * max(CASE WHEN cap > level * share THEN level END) OVER () END AS target
   FROM filled),
 placed AS (
   SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS goal,
