@@ -1,12 +1,61 @@
-"""The corpus pipeline: its stages, and run() that applies them to documents."""
+"""The corpus pipeline: documents without toxic ones, near copies and repeated passages, mixed and encoded.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes what a stage returns as Parquet and reads it
+back for the next. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarryline.llm.mixing import mix_sources, training_order
+from quarryline.llm.pieces import decode_pieces, encode_pieces
+from quarryline.llm.repeats import remove_repeats, valid_text
 from quarryline.llm.shared import materialize, read_table
+from quarryline.llm.simhash import drop_near_duplicates
+from quarryline.llm.toxicity import fit_toxicity, score_toxicity
+
+TOXIC_FROM = 0.7
+NEAR_BITS = 7
+SHINGLE_WORDS = 5
+VOCABULARY = "piece_bpe_32k.model"
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score toxic go. The models learn from the labels of documents that are there."""
+    model = fit_toxicity(docs, read_table(spark, sf_dir, "labels"), F.lit(True))
+    return score_toxicity(docs, model, out="_toxicity").where(F.col("_toxicity") < TOXIC_FROM).select(*docs.columns)
+
+
+def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return drop_near_duplicates(docs, radius=NEAR_BITS, shingle=SHINGLE_WORDS)
+
+
+def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go; a document of which nothing but white space is left goes too. A cut character goes whole."""
+    cut = remove_repeats(docs)
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(valid_text("kept"))
+    out = cut.withColumn("text", text).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    return out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come near their targets: documents beyond them go, others come up to three times, in training order."""
+    return training_order(docs, mix_sources(docs))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their piece ids, their number, and whether decoding gives the text back."""
+    path = public_tokenizers.path(VOCABULARY)
+    d = decode_pieces(encode_pieces(docs, path), path)
+    return d.withColumn("n_pieces", (F.octet_length("piece_ids") / 4).cast("long")).withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
+
 
-STAGES: list = []
+STAGES = [("toxicity", toxicity), ("simhash", simhash), ("suffix_array", suffix_array), ("mixing", mixing), ("pieces", pieces)]
+#: Neither the models nor the tokenizer can be expressed in SQL; the tests check run() against a brute-force version.
 ORACLE_SQL = None
 
 

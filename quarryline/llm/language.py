@@ -157,9 +157,13 @@ def model_of(samples: tuple[tuple[str, str], ...]) -> LanguageModel:
 def sample_languages(docs: DataFrame, learn_from: Column) -> tuple[tuple[str, str], ...]:
     """(lang, text sample) of each language among the documents that may be learnt from; bounded as the module says."""
     own = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLED_TEXT))
-    n = own.groupBy("lang").count().withColumnRenamed("lang", "of")
+    # One number a language; the languages' automata stand on the driver anyway.
+    n = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
+    if not n:
+        return ()
+    share = F.create_map(*[F.lit(x) for lang, count in sorted(n.items()) for x in (lang, DOCS / count)])
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
-    few = own.where(draw < 1.0).join(n, F.col("lang") == F.col("of")).where(draw < DOCS / F.col("count"))
+    few = own.where(draw < share[F.col("lang")])
     texts: dict[str, list[str]] = {}
     for r in few.select("lang", "text", draw.alias("draw")).dropDuplicates(["lang", "text"]).orderBy("draw", "text").toLocalIterator():
         texts.setdefault(r["lang"], []).append(normalise(r["text"]))

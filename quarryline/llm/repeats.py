@@ -363,3 +363,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
 
     out = joined.withColumn("_cut", cut("_bytes", "spans"))
     return out.select(*[c for c in own.columns if not c.startswith("_")], "_cut.*")
+
+
+def valid_text(data: str):
+    """The bytes of a column as text; bytes of characters that a cut went through are left out."""
+
+    @F.pandas_udf("string")
+    def decode(raw: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else bytes(r).decode("utf-8", "ignore") for r in raw], dtype=object)
+
+    return decode(F.col(data))
