@@ -31,8 +31,10 @@ from quarryline.llm.shared import small_batches
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words that a worker remembers before it starts anew, and new words that advance together.
-CACHED = 700_000
-TOGETHER = 8192
+CACHED = 500_000
+TOGETHER = 4096
+#: Texts whose words are looked up at once: what a batch holds besides the remembered words stays small.
+TEXTS = 200
 PLAIN = re.compile(f"  |^ | $|{SPACE}")
 
 
@@ -78,8 +80,8 @@ class PieceModel:
 
     def forget(self) -> None:
         self.codes: dict[str, int] = {}
-        self.starts = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.int64)
+        self.starts = np.zeros(1, np.int32)
+        self.ids = np.zeros(0, np.int32)
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short string: the best-scored neighbours merge first, the leftmost of equals."""
@@ -189,8 +191,8 @@ class PieceModel:
         ids = [[known[p] if p[0] in self.chars else self.fallback(p) for p in parts] for parts in split]
         n = len(self.codes)
         self.codes.update(zip(words, range(n, n + len(words)), strict=True))
-        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum([sum(map(len, x)) for x in ids]))
-        self.ids = np.concatenate([self.ids, *chain.from_iterable(ids)])
+        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum([sum(map(len, x)) for x in ids], dtype=np.int32))
+        self.ids = np.concatenate([self.ids, *chain.from_iterable(ids)], dtype=np.int32, casting="unsafe")
 
     def fallback(self, char: str) -> np.ndarray:
         if self.bytes_at is None:
@@ -198,8 +200,13 @@ class PieceModel:
         return np.frombuffer(char.encode("utf-8", "replace"), np.uint8).astype(np.int64) + self.bytes_at
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [ids for k in range(0, len(texts), TEXTS) for ids in self._encode(texts[k : k + TEXTS])]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.codes) > CACHED:
             self.forget()
+        if len(self.follows) > CACHED:
+            self.follows = {}
         words = []
         for t in texts:
             if not t:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch: a batch of the longest texts must still fit a Python worker.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
