@@ -107,7 +107,7 @@ def precision(date: Column) -> Column:
 def filetime(ticks: Column) -> Column:
     """A count of 100 ns since 1601 as a zone-free timestamp; null if not positive or past the year 9999."""
     good = (ticks > 0) & (ticks < F.lit(2650467744000000000))
-    micros = F.when(good, (ticks - ticks % 10) / 10).cast("long")
+    micros = F.when(good, F.call_function("div", ticks, F.lit(10)))
     return F.timestamp_add("MICROSECOND", micros, F.expr("TIMESTAMP_NTZ '1601-01-01 00:00:00'"))
 
 
