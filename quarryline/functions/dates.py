@@ -32,17 +32,31 @@ def make_date(y: Column, m: Column | int, d: Column | int) -> Column:
     return F.try_to_date(F.concat_ws("-", *parts), "yyyy-MM-dd")
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once: it is bound as the element of a one-element array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def easter(year: Column) -> Column:
-    """Easter Sunday of the Gregorian calendar, by whole numbers."""
-    y = year.cast("int")
-    div = lambda a, n: F.floor(a / n).cast("int")  # noqa: E731  all operands are non-negative
-    golden, century = y % 19, div(y, 100)
-    epact = (century - div(century, 4) - div(century * 8 + 13, 25) + golden * 19 + 15) % 30
-    moon = epact - div(epact, 28) * (1 - div(F.lit(29), epact + 1) * div(21 - golden, 11))
-    weekday = (y + div(y, 4) + moon + 2 - century + div(century, 4)) % 7
-    offset = moon - weekday
-    month = 3 + div(offset + 40, 44)
-    return F.make_date(y, month, offset + 28 - 31 * div(month, 4))
+    """Easter Sunday of the Gregorian calendar, by whole numbers that are never negative."""
+
+    def div(a: Column, n) -> Column:
+        return F.floor(a / n).cast("int")
+
+    def epact(y: Column) -> Column:
+        century = div(y, 100)
+        return (century - div(century, 4) - div(century * 8 + 13, 25) + y % 19 * 19 + 15) % 30
+
+    def moon(e: Column, y: Column) -> Column:
+        return e - div(e, 28) * (1 - div(F.lit(29), e + 1) * div(21 - y % 19, 11))
+
+    def offset(m: Column, y: Column) -> Column:
+        return m - (y + div(y, 4) + m + 2 - div(y, 100) + div(y, 400)) % 7
+
+    def day(o: Column, y: Column) -> Column:
+        return let(3 + div(o + 40, 44), lambda month: F.make_date(y, month, o + 28 - 31 * div(month, 4)))
+
+    return let(year.cast("int"), lambda y: let(epact(y), lambda e: let(moon(e, y), lambda m: let(offset(m, y), lambda o: day(o, y)))))
 
 
 def thanksgiving(year: Column) -> Column:
@@ -69,12 +83,15 @@ def folder_date(name: Column) -> Column:
 
 
 def _decide(x: Column) -> Column:
-    def one_day(d: Column) -> Column:
-        return _dated("exact_day", F.year(d), F.month(d), F.day(d), d, d)
-
     iso = make_date(x["iso1"], x["iso2"], x["iso3"])
-    fixed = [(x[f"fixed{k}"].isNotNull(), one_day(make_date(x[f"fixed{k}"], m, d))) for k, (m, d) in enumerate(HOLIDAYS.values())]
-    rules = [(iso.isNotNull(), one_day(iso)), *fixed[:2], (x["easter"].isNotNull(), one_day(easter(x["easter"]))), fixed[2]]
+    fixed = [make_date(x[f"fixed{k}"], m, d) for k, (m, d) in enumerate(HOLIDAYS.values())]
+    exact = F.coalesce(iso, *fixed[:2], F.when(x["easter"].isNotNull(), easter(x["easter"])), fixed[2])
+    return let(exact, lambda day: F.when(day.isNotNull(), _dated("exact_day", F.year(day), F.month(day), F.day(day), day, day)).otherwise(_decide_span(x)).cast(KIND))
+
+
+def _decide_span(x: Column) -> Column:
+    """Rules that give more than a day."""
+    rules = []
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(x["month"], 1, 3)).cast("int")
     first = make_date(x["month_year"], month, 1)
     rules.append((x["month_year"].isNotNull(), _dated("month", x["month_year"], month, F.lit(1), first, F.last_day(first))))
@@ -90,7 +107,7 @@ def _decide(x: Column) -> Column:
     for condition, value in reversed(rules):
         out = F.when(condition, value).otherwise(out)
     nothing = F.struct(F.lit(False).alias("parsed"), F.lit("none").alias("date_kind"), *[F.lit(None).cast(t).alias(n) for n, t in (("year", "int"), ("month", "int"), ("day", "int"), ("start_date", "date"), ("end_date", "date"))])
-    return F.coalesce(out, nothing).cast(KIND)
+    return F.coalesce(out, nothing)
 
 
 def demote(date: Column, coarse: Column) -> Column:
