@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import dates, geometry, names, zones
 from quarryline.operators import audit, catalogue, choose, compare, groundtruth, measure
 from quarryline.plans.adapters import read, shape, with_shapes
+from quarryline.sources import binary, log_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -517,3 +518,38 @@ def dry_run_missing(spark, d):
     lines = read(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("path")).distinct()
     sources = e.where(F.col("store_path").cast("long") % 4 == 0).select(F.col("source_path").alias("path"))
     return audit.dry_run(compare.source_fallback(e, lines.union(sources)), 2)
+
+
+def _le(value, size: int = 4):
+    """Hexadecimal digits of a whole number's bytes, the lowest first."""
+    digits = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+    return F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in range(size - 1, -1, -1)])
+
+
+@query("SELECT c_custkey, CAST(p AS BIGINT) AS pid, CASE p WHEN 1 THEN 'I2' ELSE 'I4' END AS type_name, CASE p WHEN 1 THEN '1252' ELSE CAST(c_custkey AS VARCHAR) END AS value FROM customer, (SELECT unnest([1, 2]) AS p)")
+def propset_parse(spark, d):
+    head = "FEFF" + "0000" + "00000000" + "00" * 16 + "01000000" + "02" * 16 + "30000000" + "28000000" + "02000000" + "01000000" + "18000000" + "02000000" + "20000000" + "02000000" + "E4040000" + "03000000"
+    c = read(spark, d, "customer").select("c_custkey", F.unhex(F.concat(F.lit(head), _le(F.col("c_custkey")))).alias("data"))
+    return binary.parse_properties(c, ["c_custkey"], "data").select("c_custkey", "pid", "type_name", "value")
+
+
+@query("SELECT c_custkey, 1 AS width, 1 AS height, printf('%02X02%02X', c_custkey % 256, c_nationkey) AS rgb FROM customer")
+def dib_decode(spark, d):
+    head = "FFFFFFFF" + "08000000" + "28000000" + "01000000" * 2 + "0100" + "1800" + "00" * 24
+    c = read(spark, d, "customer").select("c_custkey", F.unhex(F.concat(F.lit(head), _le(F.col("c_nationkey"), 1), F.lit("02"), _le(F.col("c_custkey") % 256, 1), F.lit("00"))).alias("data"))
+    return binary.parse_thumbnails(c, ["c_custkey"], "data").select("c_custkey", "width", "height", F.hex("rgb").alias("rgb"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 < 2 THEN CAST(event_id % 97 AS INTEGER) END AS done, CASE WHEN event_id % 4 < 3 THEN CAST(event_id % 31 AS INTEGER) END AS total, event_id % 4 = 1 AS failed, event_id % 4 = 3 AND event_id % 8 = 3 AS interrupted FROM events WHERE event_id % 8 <> 7")
+def log_progress(spark, d):
+    n, t, k = (F.col("event_id") % m for m in (97, 31, 4))
+    line = F.when(k == 0, F.concat(F.lit("12:00 OK ["), n, F.lit("/"), t, F.lit("] a"))).when(k == 1, F.concat(F.lit("FAIL ["), n, F.lit(" / "), t, F.lit("]"))).when(k == 2, F.concat(F.lit("=== run start: "), t, F.lit(" entries"))).when(F.col("event_id") % 8 == 3, "run INTERRUPTED").otherwise("noise")
+    return log_lines.progress_events(read(spark, d, "events").select("event_id", line.alias("value"))).drop("value")
+
+
+@query(with_shapes("frames") + "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN height ELSE width END AS w, CASE WHEN p_partkey % 2 = 0 THEN 7 WHEN p_partkey % 3 = 0 THEN width ELSE height END AS h FROM (SELECT * FROM frames WHERE p_partkey % 2 > 0) UNION ALL SELECT p_partkey, 5, 7 FROM part WHERE p_partkey % 2 = 0")
+def geometry_expectation(spark, d):
+    f, k = shape(spark, d, "frames"), F.col("p_partkey")
+    box = F.struct(F.lit(1).alias("left"), F.lit(2).alias("top"), F.lit(6).alias("right"), F.lit(9).alias("bottom"))
+    x = compare.expected_geometry(F.when(k % 3 == 0, F.col("height")), F.when(k % 3 == 0, F.col("width")), F.col("width"), F.col("height"), box, k % 2 == 0)
+    return f.select("p_partkey", x.alias("x")).select("p_partkey", F.col("x.width").alias("w"), F.col("x.height").alias("h"))
