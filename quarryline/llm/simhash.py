@@ -32,6 +32,8 @@ from quarryline.llm.shared import materialize, small_batches
 SEED = 42
 #: Fingerprints of one file that are compared in one task.
 BLOCK = 16_384
+#: Rows of files that are compared together: lanes of many small files fill the words.
+TOGETHER = 60_000
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -182,16 +184,21 @@ def _link_files(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.Dat
         v = np.concatenate([x[1] for x in out]) if out else np.zeros(0, "<u8")
         return pd.DataFrame({"u": u.view("<i8"), "v": v.view("<i8")})
 
+    size = 0
     for d in batches:
         if not len(d):
             continue
         held.append(d)
-        whole = pd.concat(held, ignore_index=True) if len(held) > 1 else d
-        last = (whole["file"] == whole["file"].iloc[-1]) & (whole["part"] == whole["part"].iloc[-1])
+        size += len(d)
+        if size < TOGETHER:
+            continue
+        whole = pd.concat(held, ignore_index=True)
+        last = ((whole["file"] == whole["file"].iloc[-1]) & (whole["part"] == whole["part"].iloc[-1])).to_numpy()
         if last.all():
             continue
         yield links(whole[~last])
         held = [whole[last]]
+        size = int(last.sum())
     if held:
         yield links(pd.concat(held, ignore_index=True))
 
