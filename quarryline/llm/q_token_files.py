@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
-
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarryline.llm.shared import read_table
 from quarryline.llm.token_files import token_files
@@ -16,14 +12,9 @@ from quarryline.llm.token_files import token_files
 VOCABULARY = "byte_bpe_50k.json"
 
 
-@F.pandas_udf(T.LongType())
-def crc_of(ids: pd.Series) -> pd.Series:
-    return ids.map(zlib.crc32).astype("int64")
-
-
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = token_files(read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(VOCABULARY))
-    return back.select("doc_id", "start", "n_tokens", crc_of("ids").alias("ids_crc32"))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 QUERIES = {"op4_token_files": op4_token_files}
