@@ -30,8 +30,8 @@ from quarryline.llm.shared import small_batches
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Words that a worker remembers before it starts anew, and new words that advance together.
-CACHED = 500_000
+#: Words that a task remembers before it starts anew, and new words that advance together.
+CACHED = 300_000
 TOGETHER = 4096
 #: Texts whose words are looked up at once: what a batch holds besides the remembered words stays small.
 TEXTS = 200
@@ -42,6 +42,15 @@ def as_int(field: bytes) -> int:
     return sum((b & 127) << 7 * k for k, b in enumerate(field))
 
 
+class Words:
+    """Ids of the words that were seen. A task has its own and leaves none behind in its worker."""
+
+    def __init__(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.starts = np.zeros(1, np.int32)
+        self.ids = np.zeros(0, np.int32)
+
+
 class PieceModel:
     """The pieces of a model file, and encoding and decoding with them."""
 
@@ -76,12 +85,6 @@ class PieceModel:
         for i in special:
             self.raw[i] = bytes([i - self.bytes_at]) if self.bytes_at is not None and self.bytes_at <= i < self.bytes_at + 256 else b""
         self.follows: dict[int, bool] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.starts = np.zeros(1, np.int32)
-        self.ids = np.zeros(0, np.int32)
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short string: the best-scored neighbours merge first, the leftmost of equals."""
@@ -171,7 +174,7 @@ class PieceModel:
                     out[word] = ids[ids >= 0][::-1]
         return out
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str], seen: Words) -> None:
         """Remember the ids of words; a word stands without the space before it."""
         split = []
         for w in words:
@@ -189,22 +192,23 @@ class PieceModel:
             split.append(parts)
         known = self.learn_runs(list({p for parts in split for p in parts if p[0] in self.chars}))
         ids = [[known[p] if p[0] in self.chars else self.fallback(p) for p in parts] for parts in split]
-        n = len(self.codes)
-        self.codes.update(zip(words, range(n, n + len(words)), strict=True))
-        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum([sum(map(len, x)) for x in ids], dtype=np.int32))
-        self.ids = np.concatenate([self.ids, *chain.from_iterable(ids)], dtype=np.int32, casting="unsafe")
+        n = len(seen.codes)
+        seen.codes.update(zip(words, range(n, n + len(words)), strict=True))
+        seen.starts = np.append(seen.starts, seen.starts[-1] + np.cumsum([sum(map(len, x)) for x in ids], dtype=np.int32))
+        seen.ids = np.concatenate([seen.ids, *chain.from_iterable(ids)], dtype=np.int32, casting="unsafe")
 
     def fallback(self, char: str) -> np.ndarray:
         if self.bytes_at is None:
             return np.array([self.unknown], np.int64)
         return np.frombuffer(char.encode("utf-8", "replace"), np.uint8).astype(np.int64) + self.bytes_at
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [ids for k in range(0, len(texts), TEXTS) for ids in self._encode(texts[k : k + TEXTS])]
+    def encode(self, texts: list[str], seen: Words | None = None) -> list[np.ndarray]:
+        seen = seen or Words()
+        return [ids for k in range(0, len(texts), TEXTS) for ids in self._encode(texts[k : k + TEXTS], seen)]
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.codes) > CACHED:
-            self.forget()
+    def _encode(self, texts: list[str], seen: Words) -> list[np.ndarray]:
+        if len(seen.codes) > CACHED:
+            seen.__init__()
         if len(self.follows) > CACHED:
             self.follows = {}
         words = []
@@ -215,15 +219,15 @@ class PieceModel:
                 words.append([u[1:] for u in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + t.replace(" ", SPACE))])
             else:
                 words.append(t.split(" "))
-        get = self.codes.get
+        get = seen.codes.get
         new = list(dict.fromkeys(w for ws in words for w in ws if get(w) is None))
         if new:
-            self.learn(new)
+            self.learn(new, seen)
         sizes = list(map(len, words))
-        c = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
-        begin, size = self.starts[c], self.starts[c + 1] - self.starts[c]
+        c = np.fromiter(map(seen.codes.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
+        begin, size = seen.starts[c], seen.starts[c + 1] - seen.starts[c]
         ends = np.cumsum(size)
-        ids = self.ids[np.repeat(begin - (ends - size), size) + np.arange(size.sum())]
+        ids = seen.ids[np.repeat(begin - (ends - size), size) + np.arange(size.sum())]
         return np.split(ids, np.r_[0, ends][np.cumsum(sizes)])[: len(texts)]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -273,9 +277,12 @@ def encode_pieces(docs: DataFrame, model_file: str, text_col: str = "text", out:
     """Add ``out``: the text's piece ids as binary, little-endian 32-bit integers; null for null."""
     small_batches(docs.sparkSession)
 
+    # Made anew with the function for each task.
+    seen = Words()
+
     @F.pandas_udf("binary")
     def encode(texts: pd.Series) -> pd.Series:
-        ids = model_of(model_file).encode([t or "" for t in texts])
+        ids = model_of(model_file).encode([t or "" for t in texts], seen)
         return pd.Series([None if t is None else x.astype("<u4").tobytes() for t, x in zip(texts, ids, strict=True)], dtype=object)
 
     return docs.withColumn(out, encode(F.col(text_col).cast("string")))
