@@ -1,12 +1,11 @@
 import hashlib
 import random
-import struct
 
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quarryline.llm.sketches import fingerprint_edits, likeness, add_sketch
+from quarryline.llm.sketches import add_sketch, fingerprint_edits
 
 
 def lines(t):
