@@ -30,8 +30,8 @@ from quarryline.llm.shared import small_batches
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Words that a task remembers before it starts anew, and new words that advance together.
-CACHED = 300_000
+#: Words that a worker remembers before it starts anew, and new words that advance together.
+CACHED = 600_000
 TOGETHER = 4096
 #: Texts whose words are looked up at once: what a batch holds besides the remembered words stays small.
 TEXTS = 200
@@ -43,7 +43,7 @@ def as_int(field: bytes) -> int:
 
 
 class Words:
-    """Ids of the words that were seen. A task has its own and leaves none behind in its worker."""
+    """Ids of the words that were seen."""
 
     def __init__(self) -> None:
         self.codes: dict[str, int] = {}
@@ -85,6 +85,7 @@ class PieceModel:
         for i in special:
             self.raw[i] = bytes([i - self.bytes_at]) if self.bytes_at is not None and self.bytes_at <= i < self.bytes_at + 256 else b""
         self.follows: dict[int, bool] = {}
+        self.words = Words()
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short string: the best-scored neighbours merge first, the leftmost of equals."""
@@ -277,12 +278,10 @@ def encode_pieces(docs: DataFrame, model_file: str, text_col: str = "text", out:
     """Add ``out``: the text's piece ids as binary, little-endian 32-bit integers; null for null."""
     small_batches(docs.sparkSession)
 
-    # Made anew with the function for each task.
-    seen = Words()
-
     @F.pandas_udf("binary")
     def encode(texts: pd.Series) -> pd.Series:
-        ids = model_of(model_file).encode([t or "" for t in texts], seen)
+        m = model_of(model_file)
+        ids = m.encode([t or "" for t in texts], m.words)
         return pd.Series([None if t is None else x.astype("<u4").tobytes() for t, x in zip(texts, ids, strict=True)], dtype=object)
 
     return docs.withColumn(out, encode(F.col(text_col).cast("string")))
