@@ -11,15 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm.mixing import mix_sources, training_order
+from quarryline.llm.near_texts import drop_near_duplicates
 from quarryline.llm.pieces import decode_pieces, encode_pieces
 from quarryline.llm.repeats import remove_repeats, valid_text
 from quarryline.llm.shared import materialize, read_table
-from quarryline.llm.simhash import drop_near_duplicates
 from quarryline.llm.toxicity import fit_toxicity, score_toxicity
 
 TOXIC_FROM = 0.7
 NEAR_BITS = 7
 SHINGLE_WORDS = 5
+SIMILARITY = 0.8
 VOCABULARY = "piece_bpe_32k.model"
 
 
@@ -30,8 +31,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return drop_near_duplicates(docs, radius=NEAR_BITS, shingle=SHINGLE_WORDS)
+    """One document of each group of near copies stays. SimHash finds the first pairs, the texts decide on all."""
+    return drop_near_duplicates(docs, SIMILARITY, radius=NEAR_BITS, shingle=SHINGLE_WORDS)
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

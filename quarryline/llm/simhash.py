@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,20 +37,31 @@ TOGETHER = 60_000
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """64-bit SimHash of the word shingles, as a signed integer; words are ASCII-lowered runs of non-space."""
+def shingle_hashes(text: str | None, shingle: int = 4) -> np.ndarray:
+    """64-bit hashes of the word shingles as they stand; words are ASCII-lowered runs of non-space."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     n = max(1, len(words) - shingle + 1)
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
+
+
+def fold(h: np.ndarray) -> int:
+    """64-bit SimHash of shingle hashes, as a signed integer."""
+    if not len(h):
+        return 0
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """64-bit SimHash of the word shingles, as a signed integer."""
+    return fold(shingle_hashes(text, shingle))
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = 4, text_col: str = "text", out: str = "fp") -> DataFrame:
@@ -239,12 +250,3 @@ def near_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, block: int =
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = named.join(least, "root").select(F.col("fp").alias("label_fp"), "component_id")
     return own.join(labels, F.col("fp") == F.col("label_fp")).select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 5, block: int = BLOCK) -> DataFrame:
-    """One document of each group stays: the one with the component's id; of repeated ids, one row (the least by content)."""
-    groups = near_groups(docs, radius, shingle, block).select(F.col("doc_id").alias("kept_id"), "component_id")
-    keep = groups.where(F.col("kept_id").eqNullSafe(F.col("component_id"))).select("kept_id").distinct()
-    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    return out.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
