@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.graph import connected_components
@@ -132,9 +132,10 @@ def alike_groups(docs: DataFrame, similarity: float, radius: int = 7, shingle: i
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, radius: int = 7, shingle: int = 5, block: int = BLOCK) -> DataFrame:
-    """One document of each group stays: the one with the group's least id; of repeated ids, one row (the least by content)."""
-    groups = alike_groups(docs.select("doc_id", "text"), similarity, radius, shingle, block)
-    keep = groups.groupBy("root").agg(F.min("doc_id").alias("kept_id")).select("kept_id").distinct()
-    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    return out.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    """One row of each group stays: that of the least doc_id, null last; of the same id, the least by hash of its columns."""
+    # Hashes skip nulls, so which columns are null is hashed too.
+    values = [*docs.columns, *(F.col(c).isNull() for c in docs.columns)]
+    keyed = docs.withColumn("_key", F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b")))
+    groups = alike_groups(keyed.select("doc_id", "text", "_key"), similarity, radius, shingle, block)
+    least = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")).alias("least"))
+    return keyed.dropDuplicates(["_key"]).join(least.select("least._key"), "_key", "left_semi").drop("_key")

@@ -74,3 +74,18 @@ def test_pipeline_stage_keeps_the_least_of_each_group(spark):
     kept = sorted(r["doc_id"] for r in corpus_pipeline.simhash(spark, docs, "").collect())
     assert kept == sorted(min(rows[i][0] for i in g) for g in brute(rows))
     assert drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    words = lambda k, n=30: " ".join(f"{k}x{i}" for i in range(n))
+    rows = [(None, words(k), "s") for k in range(6)]  # unlike texts without an id
+    rows += [(5, words(k), "s") for k in range(10, 14)]  # unlike texts of one id
+    rows += [(None, words(20), "s"), (8, words(20), None), (9, words(20) + " tail", "s")]  # a group with and without ids
+    rows += [(None, words(30), "s"), (None, words(30), "s"), (None, words(30), None)]  # a group without ids, a row twice
+    rows += [(7, words(40), "s"), (7, words(40), "s")]  # a row twice
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = drop_near_duplicates(df.repartition(4))
+    assert got.columns == df.columns
+    got = [tuple(r) for r in got.collect()]
+    assert sorted(t for _, t, _ in got) == sorted({t for _, t, _ in rows} - {words(20) + " tail"})
+    assert (8, words(20), None) in got and (7, words(40), "s") in got and set(got) <= set(rows)
