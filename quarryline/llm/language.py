@@ -6,10 +6,11 @@ text shares long passages with the sample needs few phrases; phrases times the l
 character, estimates the cross entropy in bits. The language with the fewest such bits wins.
 
 Texts are parsed whole, in blocks of ``BLOCK`` characters that advance together, a numpy step for the next character of all
-blocks of a batch. The automata are tables [state, character]; a language keeps its ``ALPHABET`` most usual characters.
+blocks of a batch. The automata are tables [state, character] for a language's ``ALPHABET`` most usual characters; moves by
+its other characters stand in sorted keys.
 
-What is learnt is bounded: about ``DOCS`` documents a language, chosen by hash, and ``CHARS`` characters of them. Prediction
-reads the text alone.
+What is learnt is bounded: about ``DOCS`` documents a language, chosen by hash, and ``CHARS`` characters of them, of a
+text the first ``SAMPLED_TEXT``. Prediction reads the text alone.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0, as is every text if nothing was learnt; rows
 are predicted alone, so repeats agree; equal bits go to the language that comes first in code point order; an empty table
@@ -32,8 +33,9 @@ from quarryline.llm.shared import small_batches
 
 DOCS = 150
 CHARS = 40_000
-#: Longest text that is sampled, in characters.
+#: Characters of a text that may be sampled.
 SAMPLED_TEXT = 20_000
+#: Characters with a column in the table.
 ALPHABET = 120
 BLOCK = 256
 #: Blocks that advance together.
@@ -78,36 +80,46 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
 
 
 class Automaton:
-    """The table of one language's sample. Code 0 stands for characters that it doesn't know."""
+    """The moves of one language's sample. Code 0 stands for characters that it doesn't hold, codes from width on for rare ones."""
 
     def __init__(self, sample: str):
-        known = [c for c, _ in sorted(Counter(sample).most_common(ALPHABET), key=lambda x: x[0]) if ord(c) < 1 << 16]
-        self.code = np.zeros(1 << 16, np.int32)
+        known = [c for c, _ in sorted(Counter(sample).items(), key=lambda x: (-x[1], x[0]))]
+        self.code = np.zeros(0x110000, np.int32)
         self.code[[ord(c) for c in known]] = np.arange(1, len(known) + 1)
-        states = suffix_automaton("".join(c if self.code[min(ord(c), 65535)] else " " for c in sample))
-        self.width = len(known) + 1
+        states = suffix_automaton(sample)
+        self.width, self.codes = min(len(known), ALPHABET) + 1, len(known) + 1
         self.next = np.full((len(states), self.width), -1, np.int32)
+        #: Where a phrase that begins with a character stands; 0 if the character is a phrase of its own.
+        self.begin = np.zeros(self.codes, np.int32)
         at = {c: k for k, c in enumerate(known, 1)}
+        rare = []
         for s, moves in enumerate(states):
             for c, t in moves.items():
-                if c in at:
-                    self.next[s, at[c]] = t
-        self.next[:, 0] = -1
-        #: Where a phrase that begins with a character stands; 0 if the character is a phrase of its own.
-        self.begin = np.maximum(self.next[0], 0)
+                k = at[c]
+                if k < self.width:
+                    self.next[s, k] = t
+                else:
+                    rare.append((s * self.codes + k, t))
+                if s == 0:
+                    self.begin[k] = t
+        self.keys, self.to = np.array(sorted(rare), np.int64).reshape(-1, 2).T
         self.next = self.next.ravel()
         self.bits = math.log2(len(sample) + 1)
 
     def phrases(self, chars: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Phrases of each block; blocks are sorted by falling size."""
-        codes = self.code[np.minimum(chars, 65535)]
-        codes[chars > 65535] = 0
+        codes = self.code[chars]
+        rare = bool((codes >= self.width).any())
         state, count = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32)
         for k in range(size[0] if len(size) else 0):
             n = np.searchsorted(-size, -k, "left")
             c = codes[start[:n] + k]
             at = state[:n]
-            to = self.next[at * self.width + c]
+            to = self.next[at * self.width + np.where(c < self.width, c, 0)] if rare else self.next[at * self.width + c]
+            if rare and len(own := np.flatnonzero(c >= self.width)):
+                key = at[own].astype(np.int64) * self.codes + c[own]
+                place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                to[own] = np.where(self.keys[place] == key, self.to[place], -1)
             missed = to < 0
             # A phrase begins where the last one can't go on, at the start, and after a character of no sample.
             count[:n] += missed | (at == 0)
@@ -156,16 +168,16 @@ def model_of(samples: tuple[tuple[str, str], ...]) -> LanguageModel:
 
 def sample_languages(docs: DataFrame, learn_from: Column) -> tuple[tuple[str, str], ...]:
     """(lang, text sample) of each language among the documents that may be learnt from; bounded as the module says."""
-    own = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLED_TEXT))
+    own = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # One number a language; the languages' automata stand on the driver anyway.
     n = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
     if not n:
         return ()
     share = F.create_map(*[F.lit(x) for lang, count in sorted(n.items()) for x in (lang, DOCS / count)])
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
-    few = own.where(draw < share[F.col("lang")])
+    few = own.where(draw < share[F.col("lang")]).select("lang", F.substring("text", 1, SAMPLED_TEXT).alias("text"), draw.alias("draw"))
     texts: dict[str, list[str]] = {}
-    for r in few.select("lang", "text", draw.alias("draw")).dropDuplicates(["lang", "text"]).orderBy("draw", "text").toLocalIterator():
+    for r in few.dropDuplicates(["lang", "text"]).orderBy("draw", "text").toLocalIterator():
         texts.setdefault(r["lang"], []).append(normalise(r["text"]))
     return tuple((k, " ".join(v)[:CHARS]) for k, v in sorted(texts.items()) if any(v))
 

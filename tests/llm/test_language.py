@@ -59,3 +59,23 @@ def test_edge_cases(spark):
     assert {(1, "en"), (2, "und"), (3, "und"), (4, "und"), (5, "fr"), (7, "en")} <= got
     assert {r["lang_pred"] for r in identify(df, ()).collect()} == {"und"}
     assert identify(df.limit(0), ()).count() == 0
+
+
+def test_every_sampled_character_counts():
+    rng = np.random.default_rng(6)
+    alphabets = [[chr(0x4E00 + k) for k in range(3000)], [chr(0x20000 + k) for k in range(400)] + [chr(0x4E00 + k) for k in range(40)]]
+    samples = {n: normalise("".join(rng.choice(a, 4000))) for n, a in zip("ab", alphabets, strict=True)}
+    m = LanguageModel(samples)
+    texts = [samples["a"][1000:1900], samples["b"][50:700], "".join(rng.choice(alphabets[0], 600)), "".join(rng.choice(alphabets[1], 600)), samples["a"][:90] + "z" + samples["b"][:90]]
+    names, scores = m.predict(texts)
+    for t, name, score in zip(texts, names, scores, strict=True):
+        bits = {k: brute_phrases(s, normalise(t)) * np.log2(len(s) + 1) for k, s in samples.items()}
+        assert bits[name] == min(bits.values())
+        assert np.isclose(score, (1 / bits[name]) / sum(1 / b for b in bits.values()))
+    # A passage of the sample is a phrase a block, by characters of any rank.
+    assert np.isclose(scores[0], (1 / 4) / (1 / 4 + 1 / brute_phrases(samples["b"], texts[0])), rtol=1e-3)
+
+
+def test_a_language_of_long_texts_is_learnt(spark):
+    df = spark.createDataFrame([(1, "hello there general " * 1500, "en"), (2, "bonjour à tous les amis", "fr")], "doc_id long, text string, lang string")
+    assert [k for k, _ in sample_languages(df, F.lit(True))] == ["en", "fr"]
