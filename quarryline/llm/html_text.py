@@ -3,8 +3,8 @@
 A page becomes a flat tree of elements. For every node, characters per tag, weighed down by the share of link characters
 and link tags in it and in the body, are its density; the densities of a node's children add up to its sum. The node of
 the largest sum leads: the least density on its path to the body is the threshold, and below every node at or over the
-threshold the subtree of the largest sum is content. If the leading node stands in an article (or the page's main part),
-all of that is. Before, what is no reading matter by its element, role or name (menus, headers, footers, sidebars, notices,
+threshold the subtree of the largest sum is content. Where content stands in an article (or else the page's main part), all
+of that is, and so are the articles beside it, unless they are mostly links. Before, what is no reading matter by its element, role or name (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, reader comments, hidden parts) is left out.
 
 Text comes in blocks: character references decoded, white space runs made one space, trimmed, joined by newlines in page
@@ -156,8 +156,8 @@ def parse(page: str) -> Tree:
     return t
 
 
-def densities(t: Tree) -> tuple[list[float], list[float], int]:
-    """Composite density and density sum of each node, and the body."""
+def densities(t: Tree) -> tuple[list[float], list[float], list[bool], int]:
+    """Composite density and density sum of each node, whether most of its text isn't links, and the body."""
     n = len(t.tags)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
@@ -187,12 +187,12 @@ def densities(t: Tree) -> tuple[list[float], list[float], int]:
             density[k] = c / tag * math.log(max(1.0, c / max(1, lc) * tag / max(1, link_tags[k]))) / max(math.log(base), 0.1)
         if k:
             sums[t.parents[k]] += density[k]
-    return density, sums, body
+    return density, sums, [2 * lc < c for c, lc in zip(chars, link_chars, strict=True)], body
 
 
 def content_nodes(t: Tree) -> set[int]:
     """Roots of the subtrees that are content."""
-    density, sums, body = densities(t)
+    density, sums, plain, body = densities(t)
     n = len(t.tags)
     under = [False] * n
     for k in range(n):
@@ -204,9 +204,6 @@ def content_nodes(t: Tree) -> set[int]:
     path = [lead]
     while path[-1] != body:
         path.append(t.parents[path[-1]])
-    for name in CONTAINERS:
-        if around := [k for k in path if t.tags[k] == name]:
-            return {around[-1]}
     threshold = min(density[k] for k in path)
     # The largest sum below each node, itself included.
     best = list(range(n))
@@ -225,7 +222,16 @@ def content_nodes(t: Tree) -> set[int]:
     for k in own:
         if t.tags[k] in ("h1", "h2", "h3", "h4", "h5", "h6") and any(t.parents[f] == t.parents[k] for f in found):
             found.add(k)
-    return found
+    # Containers that content stands in are content as a whole; of nested ones of a kind the outermost.
+    around: dict[str, list[int]] = {name: [-1] * n for name in CONTAINERS}
+    for k in own:
+        for name, outer in around.items():
+            p = outer[t.parents[k]] if k else -1
+            outer[k] = p if p >= 0 else k if t.tags[k] == name else -1
+    tops = {x for k in found if (x := next((outer[k] for outer in around.values() if outer[k] >= 0), -1)) >= 0}
+    # So are their siblings of the same kind, as a smaller one is less dense; but not lists of links.
+    kinds = {(t.parents[k], t.tags[k]) for k in tops}
+    return found | tops | {k for k in own if plain[k] and (t.parents[k], t.tags[k]) in kinds}
 
 
 def main_text(page: str | None) -> str:

@@ -52,3 +52,14 @@ def test_table(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (2, ""), (3, "<div>" * 3000 + "deep"), (None, "<p>x</p>")], "page_id long, html string").selectExpr("*", "'clash' as text")
     assert sorted(r["text"] for r in extract_text(df).collect()) == ["", "", "", "deep", "x"]
     assert extract_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("wrap", ["{}", "<div>{}</div>", "<main>{}</main>"])
+@pytest.mark.parametrize("sizes", [(3, 3), (5, 3, 4), (2, 6)])
+def test_sibling_articles_stay(wrap, sizes):
+    parts = [[f"Head {k}", *(f"{p} part {k}" for p in P[:n])] for k, n in enumerate(sizes)]
+    articles = "".join(f"<article><h2>{x[0]}</h2>" + "".join(f"<p>{p}</p>" for p in x[1:]) + "</article>" for x in parts)
+    teaser = f"<article>{MENU}</article>"
+    for before, after in (("", ""), (f"<nav>{MENU}</nav>", f"<div>{MENU}</div>")):
+        for extra in ("", teaser):
+            assert main_text(page(before + wrap.format(articles + extra) + after)) == "\n".join(x for part in parts for x in part)
