@@ -1,14 +1,18 @@
 """Operator 6: SentencePiece encoding and decoding by a batched numpy Viterbi.
 
-A text becomes words (a run of spaces and what follows it); no piece crosses a word's end, and words seen before are
-remembered. New words of equal length advance together: prefix hashes give the hash of every substring, which probes the
-sorted keys of the pieces of its length, and at each place the best piece that ends there is stored as the backpointer.
+A text becomes words (a run of spaces and what follows it); no piece crosses a word's end. The different words of a part of
+a batch are encoded once, and those of equal length advance together: prefix hashes give the hash of every substring, which
+probes the sorted keys of the pieces of its length, and at each place a maximum over the pieces that end there is stored as
+the backpointer. What is chosen is compared with the words themselves, so equal hashes can't pass unnoticed.
 
 For a unigram model, the best is the largest sum of scores. For a BPE model (``piece_bpe_32k.model`` is one), a sum of scores
 doesn't give the library's result, but its result has the same form: pieces follow one another exactly if merging the two
 alone leaves them as they are, and at each place just one piece may end. So the lattice is the same, the value of a path is
-1 or nothing, and the maximum finds that piece. Whether two pieces may follow one another is worked out once per pair.
-Characters without a piece become their bytes' pieces.
+0 or nothing, and the maximum finds that piece. Whether two pieces may follow one another is worked out once per pair and
+kept in a table of fixed size. Characters without a piece become their bytes' pieces.
+
+Memory: a batch is taken in parts of about ``CHARS`` characters, also within a text, and a lattice has at most ``CELLS``
+places, or those of one word. Nothing but the table of pairs is kept from one batch to the next.
 
 Defined results: null text gives null ids and null text back; empty text has no ids; very long texts and words are encoded
 whole; repeated rows, extra columns and empty tables need nothing special.
@@ -19,7 +23,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -30,11 +34,12 @@ from quarryline.llm.shared import small_batches
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Words that a worker remembers before it starts anew, and new words that advance together.
-CACHED = 600_000
-TOGETHER = 4096
-#: Texts whose words are looked up at once: what a batch holds besides the remembered words stays small.
-TEXTS = 200
+#: Characters whose words are encoded at once, and places of a lattice.
+CHARS = 2_000_000
+CELLS = 1 << 17
+#: Slots of a table of pairs, as a power of two, and what mixes the pairs for each table.
+PAIR_BITS = 19
+MIX = (BASE, np.uint64(0xC2B2AE3D27D4EB4F))
 PLAIN = re.compile(f"  |^ | $|{SPACE}")
 
 
@@ -42,13 +47,39 @@ def as_int(field: bytes) -> int:
     return sum((b & 127) << 7 * k for k, b in enumerate(field))
 
 
-class Words:
-    """Ids of the words that were seen."""
+class Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def segments(text: str) -> list[str]:
+    """The text in parts of about CHARS characters, cut at single spaces, which go; their words are the text's."""
+    out, at = [], 0
+    while len(text) - at > CHARS:
+        cut = at + CHARS
+        while (cut := text.find(" ", cut)) >= 0 and ("  " in text[cut - 1 : cut + 2] or SPACE in text[cut - 1 : cut + 2] or cut + 1 == len(text)):
+            cut += 1
+        if cut < 0:
+            break
+        out.append(text[at:cut])
+        at = cut + 1
+    return [*out, text[at:]]
 
-    def __init__(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.starts = np.zeros(1, np.int32)
-        self.ids = np.zeros(0, np.int32)
+
+def words_of(text: str) -> list[str]:
+    """Words without the space before them."""
+    if not text:
+        return []
+    if PLAIN.search(text):
+        return [u[1:] for u in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
+    return text.split(" ")
 
 
 class PieceModel:
@@ -67,7 +98,8 @@ class PieceModel:
         self.score = {pieces[i]: scores[i] for i in normal}
         self.bytes_at = pieces.index("<0x00>") if "<0x00>" in pieces else None
         self.unknown = pieces.index("<unk>") if "<unk>" in pieces else 0
-        self.chars = {p for p in self.score if len(p) == 1}
+        self.known = np.zeros(0x110000, bool)
+        self.known[[ord(p) for p in self.score if len(p) == 1]] = True
         self.longest = max(map(len, self.score))
         self.tables = {}
         for size in range(1, self.longest + 1):
@@ -80,12 +112,16 @@ class PieceModel:
                 order = np.argsort(keys)
                 if len(np.unique(keys)) < len(keys):
                     raise ValueError("two pieces share a hash")
-                self.tables[size] = (keys[order], np.array(own)[order], codes[order])
+                self.tables[size] = (keys[order], np.array(own, np.int32)[order])
+        self.lengths = np.array(list(map(len, pieces)))
+        self.points = points("".join(pieces))
+        self.points_at = np.cumsum(self.lengths) - self.lengths
         self.raw = [p.replace(SPACE, " ").encode() for p in pieces]
         for i in special:
             self.raw[i] = bytes([i - self.bytes_at]) if self.bytes_at is not None and self.bytes_at <= i < self.bytes_at + 256 else b""
-        self.follows: dict[int, bool] = {}
-        self.words = Words()
+        #: Two tables of pairs, and whether they stay.
+        self.pairs = np.full((2, 1 << PAIR_BITS), -1, np.int64)
+        self.follows = np.zeros((2, 1 << PAIR_BITS), bool)
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short string: the best-scored neighbours merge first, the leftmost of equals."""
@@ -101,134 +137,177 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def stays(self, pair: int) -> bool:
+        """Whether merging leaves a pair as it is: (before + 1) * pieces + piece, before is -1 at a word's start."""
+        before, piece = divmod(pair, len(self.pieces))
+        want = [self.pieces[before - 1]] * (before > 0) + [self.pieces[piece]]
+        return self.merged("".join(want)) == want
+
     def may_follow(self, pairs: np.ndarray) -> np.ndarray:
-        """Whether the piece may follow the one before; a pair is (before + 1) * pieces + piece, before is -1 at the start."""
-        unique, back = np.unique(pairs, return_inverse=True)
-        out = []
-        for key in unique.tolist():
-            ok = self.follows.get(key)
-            if ok is None:
-                before, piece = divmod(key, len(self.pieces))
-                want = [self.pieces[before - 1]] * (before > 0) + [self.pieces[piece]]
-                ok = self.follows[key] = self.merged("".join(want)) == want
-            out.append(ok)
-        return np.array(out, bool)[back]
+        ok, new = np.zeros(len(pairs), bool), np.arange(len(pairs))
+        for table in (0, 1):
+            slot = self.slot(pairs[new], table)
+            hit = self.pairs[table][slot] == pairs[new]
+            ok[new[hit]] = self.follows[table][slot[hit]]
+            new = new[~hit]
+        if len(new):
+            unique, back = np.unique(pairs[new], return_inverse=True)
+            found = np.array(list(map(self.stays, unique.tolist())), bool)
+            ok[new] = found[back]
+            # New pairs push old ones into the second table. Of pairs that want the same slot, one gets it.
+            _, first = np.unique(self.slot(unique, 0), return_index=True)
+            pushed = self.keep(unique[first], found[first], 0)
+            self.keep(*pushed, 1)
+            rest = np.setdiff1d(np.arange(len(unique)), first)
+            self.keep(unique[rest], found[rest], 1)
+        return ok
+
+    @staticmethod
+    def slot(pairs: np.ndarray, table: int) -> np.ndarray:
+        return (pairs.astype(np.uint64) * MIX[table] >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+    def keep(self, pairs: np.ndarray, found: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """Write pairs into a table; returns those that stood there."""
+        slot, first = np.unique(self.slot(pairs, table), return_index=True)
+        old, said = self.pairs[table][slot], self.follows[table][slot]
+        self.pairs[table][slot], self.follows[table][slot] = pairs[first], found[first]
+        return old[old >= 0], said[old >= 0]
 
     def viterbi(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, length) code points of known characters -> the piece that ends at each place, and its size."""
         rows, length = words.shape
+        reach = min(self.longest, length)
         prefix = np.zeros((rows, length + 1), np.uint64)
         for k in range(length):
             prefix[:, k + 1] = prefix[:, k] * BASE + words[:, k]
-        lattice, power = {}, 1
-        for size in range(1, min(self.longest, length) + 1):
+        #: [row, end, size - 1]: the piece of that size that ends there.
+        lattice = np.full((rows, length + 1, reach), -1, np.int32)
+        power = 1
+        for size in range(1, reach + 1):
             power = power * int(BASE) % 2**64
             if size in self.tables:
-                keys, ids, codes = self.tables[size]
+                keys, ids = self.tables[size]
                 sub = prefix[:, size:] - prefix[:, :-size] * np.uint64(power)
                 at = np.minimum(np.searchsorted(keys, sub), len(keys) - 1)
-                found = np.where(keys[at] == sub, ids[at], -1)
-                for k in range(size):
-                    found = np.where(codes[at, k] == words[:, k : length - size + 1 + k], found, -1)
-                lattice[size] = found
-        piece = np.full((rows, length + 1), -2, np.int64)
+                lattice[:, size:, size - 1] = np.where(keys[at] == sub, ids[at], -1)
+        piece = np.full((rows, length + 1), -2, np.int32)
         piece[:, 0] = -1
-        step = np.zeros((rows, length + 1), np.int64)
+        step = np.zeros((rows, length + 1), np.int32)
         best = np.full((rows, length + 1), -np.inf)
         best[:, 0] = 0
+        every = np.arange(rows)
         for end in range(1, length + 1):
-            for size in range(min(self.longest, end), 0, -1):
-                if size not in lattice:
-                    continue
-                here, before = lattice[size][:, end - size], piece[:, end - size]
-                r = np.flatnonzero((here >= 0) & (before > -2) & ((best[:, end] == -np.inf) if self.bpe else True))
-                if not len(r):
-                    continue
-                if self.bpe:
-                    r = r[self.may_follow((before[r] + 1) * len(self.pieces) + here[r])]
-                    value = np.ones(len(r))
-                else:
-                    value = best[r, end - size] + self.scores[here[r]]
-                    better = value > best[r, end]
-                    r, value = r[better], value[better]
-                best[r, end], piece[r, end], step[r, end] = value, here[r], size
+            k = min(reach, end)
+            here = lattice[:, end, :k]
+            r, s = np.nonzero((here >= 0) & (piece[:, end - k : end][:, ::-1] > -2))
+            to = here[r, s]
+            if self.bpe:
+                ok = self.may_follow((piece[r, end - 1 - s].astype(np.int64) + 1) * len(self.pieces) + to)
+                r, s, to = r[ok], s[ok], to[ok]
+                value = np.zeros(len(r))
+            else:
+                value = best[r, end - 1 - s] + self.scores[to]
+            values = np.full((rows, k), -np.inf)
+            values[r, s] = value
+            least = values.argmax(axis=1)
+            best[:, end] = values[every, least]
+            reached = np.flatnonzero(best[:, end] > -np.inf)
+            piece[reached, end], step[reached, end] = here[reached, least[reached]], least[reached] + 1
         return piece, step
 
-    def learn_runs(self, runs: list[str]) -> dict[str, np.ndarray]:
-        """Ids of runs of known characters."""
-        out = {}
-        by_length: dict[int, list[str]] = {}
-        for r in runs:
-            by_length.setdefault(len(r), []).append(r)
-        for length, group in by_length.items():
-            for a in range(0, len(group), TOGETHER):
-                part = group[a : a + TOGETHER]
-                words = np.frombuffer("".join(part).encode("utf-32-le"), "<u4").reshape(len(part), length).astype(np.uint64)
-                piece, step = self.viterbi(words)
-                at = np.full(len(part), length)
-                back = np.full((len(part), length), -1, np.int64)
-                for k in range(length):
-                    live = at > 0
-                    back[live, k] = piece[live, at[live]]
-                    at = at - step[np.arange(len(part)), at]
-                for word, ids in zip(part, back, strict=True):
-                    out[word] = ids[ids >= 0][::-1]
-        return out
-
-    def learn(self, words: list[str], seen: Words) -> None:
-        """Remember the ids of words; a word stands without the space before it."""
-        split = []
-        for w in words:
-            parts, run = [], []
-            for c in SPACE + w:
-                if c in self.chars:
-                    run.append(c)
-                else:
-                    if run:
-                        parts.append("".join(run))
-                        run = []
-                    parts.append(c)
-            if run:
-                parts.append("".join(run))
-            split.append(parts)
-        known = self.learn_runs(list({p for parts in split for p in parts if p[0] in self.chars}))
-        ids = [[known[p] if p[0] in self.chars else self.fallback(p) for p in parts] for parts in split]
-        n = len(seen.codes)
-        seen.codes.update(zip(words, range(n, n + len(words)), strict=True))
-        seen.starts = np.append(seen.starts, seen.starts[-1] + np.cumsum([sum(map(len, x)) for x in ids], dtype=np.int32))
-        seen.ids = np.concatenate([seen.ids, *chain.from_iterable(ids)], dtype=np.int32, casting="unsafe")
+    def encode_runs(self, runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, length) arrays of runs of known characters -> sizes and ids, all in order of the rows of all arrays."""
+        sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for run in runs:
+            length = run.shape[1]
+            rows = max(1, CELLS // length)
+            for a in range(0, len(run), rows):
+                words = run[a : a + rows]
+                piece, step = self.viterbi(words.astype(np.uint64))
+                at = np.full(len(words), length)
+                back = np.full((len(words), length), -1, np.int32)
+                every = np.arange(len(words))
+                for k in range(length - 1, -1, -1):
+                    if not at.any():
+                        break
+                    back[:, k] = np.where(at > 0, piece[every, at], -1)
+                    at = at - step[every, at]
+                real = back >= 0
+                ids = back[real]
+                n = self.lengths[ids]
+                ends = np.cumsum(n)
+                if ends[-1] != words.size or not np.array_equal(self.points[np.repeat(self.points_at[ids] - (ends - n), n) + np.arange(words.size)], words.ravel()):
+                    raise ValueError("a substring shares its hash with a piece")
+                sizes.append(real.sum(axis=1))
+                flat.append(ids)
+        return np.concatenate(sizes), np.concatenate(flat)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Different words, without the space before them -> where the ids of each begin (and the end), and the ids."""
+        units = [SPACE + w for w in words]
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        codes = points("".join(units))
+        start = np.cumsum(size) - size
+        strange = ~self.known[codes]
+        odd = np.zeros(len(units), bool)
+        odd[np.searchsorted(start, np.flatnonzero(strange), "right") - 1] = True
+        # Words of known characters go by their lengths; of the others, the runs of known characters do, after them.
+        order = np.flatnonzero(~odd)
+        order = order[np.argsort(size[order], kind="stable")]
+        cuts = np.flatnonzero(np.diff(size[order])) + 1
+        runs = [codes[start[g][:, None] + np.arange(size[g[0]])] for g in np.split(order, cuts) if len(g)]
+        split = {k: ["".join(g) for _, g in groupby(units[k], key=lambda c: bool(self.known[ord(c)]) or c)] for k in np.flatnonzero(odd).tolist()}
+        more = sorted({p for parts in split.values() for p in parts if self.known[ord(p[0])]}, key=len)
+        runs += [points("".join(g)).reshape(-1, n) for n, g in ((n, list(g)) for n, g in groupby(more, key=len))]
+        sizes, flat = self.encode_runs(runs)
+        ends = np.cumsum(sizes)
+        found = [np.zeros(0, np.int32)] * len(units)
+        at = np.full(len(units), -1, np.int64)
+        at[order] = np.arange(len(order))
+        count = np.zeros(len(units), np.int64)
+        count[order] = sizes[: len(order)]
+        part = {p: flat[ends[k] - sizes[k] : ends[k]] for k, p in enumerate(more, len(order))}
+        for k, parts in split.items():
+            found[k] = np.concatenate([part[p] if p in part else np.concatenate([self.fallback(c) for c in p]) for p in parts])
+            count[k] = len(found[k])
+        starts = np.r_[0, np.cumsum(count)]
+        out = np.zeros(starts[-1], np.int32)
+        n = count[order]
+        out[np.repeat(starts[order] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = flat[: n.sum()]
+        for k in split:
+            out[starts[k] : starts[k + 1]] = found[k]
+        return starts, out
 
     def fallback(self, char: str) -> np.ndarray:
         if self.bytes_at is None:
-            return np.array([self.unknown], np.int64)
-        return np.frombuffer(char.encode("utf-8", "replace"), np.uint8).astype(np.int64) + self.bytes_at
-
-    def encode(self, texts: list[str], seen: Words | None = None) -> list[np.ndarray]:
-        seen = seen or Words()
-        return [ids for k in range(0, len(texts), TEXTS) for ids in self._encode(texts[k : k + TEXTS], seen)]
-
-    def _encode(self, texts: list[str], seen: Words) -> list[np.ndarray]:
-        if len(seen.codes) > CACHED:
-            seen.__init__()
-        if len(self.follows) > CACHED:
-            self.follows = {}
-        words = []
-        for t in texts:
-            if not t:
-                words.append([])
-            elif PLAIN.search(t):
-                words.append([u[1:] for u in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + t.replace(" ", SPACE))])
-            else:
-                words.append(t.split(" "))
-        get = seen.codes.get
-        new = list(dict.fromkeys(w for ws in words for w in ws if get(w) is None))
-        if new:
-            self.learn(new, seen)
+            return np.array([self.unknown], np.int32)
+        return np.frombuffer(char.encode("utf-8", "replace"), np.uint8).astype(np.int32) + self.bytes_at
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        parts = [(k, p) for k, t in enumerate(texts) for p in segments(t)]
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        a = 0
+        while a < len(parts):
+            b, chars = a, 0
+            while b < len(parts) and (b == a or chars + len(parts[b][1]) <= CHARS):
+                chars += len(parts[b][1])
+                b += 1
+            for (k, _), ids in zip(parts[a:b], self._encode([p for _, p in parts[a:b]]), strict=True):
+                out[k].append(ids)
+            a = b
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        words = list(map(words_of, texts))
         sizes = list(map(len, words))
-        c = np.fromiter(map(seen.codes.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
-        begin, size = seen.starts[c], seen.starts[c + 1] - seen.starts[c]
+        numbers = Numbers()
+        c = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
+        if not len(c):
+            return [np.zeros(0, np.int32)] * len(texts)
+        starts, known = self.encode_words(list(numbers))
+        begin, size = starts[c], starts[c + 1] - starts[c]
         ends = np.cumsum(size)
-        ids = seen.ids[np.repeat(begin - (ends - size), size) + np.arange(size.sum())]
+        ids = known[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])]
         return np.split(ids, np.r_[0, ends][np.cumsum(sizes)])[: len(texts)]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -281,7 +360,7 @@ def encode_pieces(docs: DataFrame, model_file: str, text_col: str = "text", out:
     @F.pandas_udf("binary")
     def encode(texts: pd.Series) -> pd.Series:
         m = model_of(model_file)
-        ids = m.encode([t or "" for t in texts], m.words)
+        ids = m.encode([t or "" for t in texts])
         return pd.Series([None if t is None else x.astype("<u4").tobytes() for t, x in zip(texts, ids, strict=True)], dtype=object)
 
     return docs.withColumn(out, encode(F.col(text_col).cast("string")))
