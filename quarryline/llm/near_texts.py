@@ -5,7 +5,9 @@ texts stand too. So no pair is linked or given up by its fingerprint. Fingerprin
 each shared shingle, give first pairs, which join large groups at little cost. The other pairs come from a prefix of each
 set: its shingles stand in one order for all sets, rare ones first, and two sets that are alike share one among the first
 ``n - similarity * n + 1`` of both. The order comes from a sample; any order finds all pairs, rare ones first makes them few.
-Every pair is compared by its texts before it is linked.
+Every pair is compared by its texts before it is linked. Before that, pairs whose shingles fall into hash buckets so
+unequally that they can't be alike go: what two sets share is at most the sum of the lesser counts of all buckets. Texts
+don't stand in any table of the search; those of the pairs that are left are fetched from the documents by row key.
 
 Defined results: null, empty and blank texts are copies of one another; texts of fewer words than a shingle are one shingle.
 """
@@ -27,6 +29,8 @@ from quarryline.llm.simhash import BLOCK, SEED, fold, near_links, shingle_hashes
 
 #: Texts that the order of shingles is drawn from, and how often one must stand there to be put behind the rare ones.
 ORDER_TEXTS, OFTEN, MOST_OFTEN = 4000, 3, 50_000
+#: About so many hashes of a set to a bucket of its spread.
+BUCKET_HASHES = 8
 SLACK = 1e-9
 
 
@@ -52,45 +56,74 @@ def prefix(h: np.ndarray, usual: tuple[np.ndarray, np.ndarray], similarity: floa
     return h[np.lexsort((h, count))][: len(h) - math.ceil(similarity * len(h) - SLACK) + 1]
 
 
+def spread(h: np.ndarray) -> bytes:
+    """How many of the distinct hashes fall into each of a power of two of buckets; empty if a count is too large to store."""
+    bits = max(6, int(max(1, len(h) // BUCKET_HASHES)).bit_length())
+    counts = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype("<u2").tobytes() if counts.max(initial=0) < 1 << 16 else b""
+
+
+def shared_at_most(a: bytes, b: bytes) -> float:
+    """An upper bound of the hashes that two sets share."""
+    x, y = (np.frombuffer(k, "<u2").astype(np.int64) for k in (a, b))
+    if not len(x) or not len(y):
+        return math.inf
+    n = min(len(x), len(y))
+    return float(np.minimum(x.reshape(n, -1).sum(axis=1), y.reshape(n, -1).sum(axis=1)).sum())
+
+
 def with_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Adds set_id (the same for equal sets), n (shingles), fp (SimHash) and prefix to rows with a text."""
+    """Adds set_id (the same for equal sets), n (shingles), fp (SimHash), spread and prefix to rows with a text."""
     usual = often(docs.select("text"), shingle)
 
-    @F.pandas_udf("set_id long, n long, fp long, prefix array<long>")
+    @F.pandas_udf("set_id long, n int, fp long, spread binary, prefix array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             all_h = shingle_hashes(t, shingle)
             h = np.unique(all_h)
             name = np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view("<i8")
-            out.append((int(name), len(h), fold(all_h), prefix(h, usual, similarity).view("<i8")))
-        return pd.DataFrame(out, columns=["set_id", "n", "fp", "prefix"])
+            out.append((int(name), len(h), fold(all_h), spread(h), prefix(h, usual, similarity).view("<i8")))
+        return pd.DataFrame(out, columns=["set_id", "n", "fp", "spread", "prefix"])
 
     return docs.withColumn("_set", of("text")).select("*", "_set.*").drop("_set")
 
 
-def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of set_ids whose texts reach the similarity."""
+def alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of set_ids whose texts reach the similarity; materialized.
+
+    ``sets``: set_id, n, spread and _key, the key of a row of ``docs`` (_key, text) that has the set.
+    """
+
+    @F.pandas_udf("boolean")
+    def may_be(nu: pd.Series, nv: pd.Series, su: pd.Series, sv: pd.Series) -> pd.Series:
+        both = np.array([shared_at_most(a, b) for a, b in zip(su, sv, strict=True)], float)
+        return pd.Series(both >= similarity * (nu + nv).to_numpy() / (1 + similarity) - SLACK)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            sets: dict[int, np.ndarray] = {}
+            known: dict[int, np.ndarray] = {}
             for i, t in (*zip(d["u"], d["u_text"], strict=True), *zip(d["v"], d["v_text"], strict=True)):
-                if i not in sets:
-                    sets[i] = np.unique(shingle_hashes(t, shingle))
+                if i not in known:
+                    known[i] = np.unique(shingle_hashes(t, shingle))
             good = []
             for u, v in zip(d["u"], d["v"], strict=True):
-                a, b = sets[u], sets[v]
+                a, b = known[u], known[v]
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 good.append(both >= similarity * (len(a) + len(b) - both) - SLACK)
             yield d.loc[np.array(good, dtype=bool), ["u", "v"]]
 
-    sides = [texts.select(F.col("set_id").alias(k), F.col("text").alias(f"{k}_text")) for k in "uv"]
-    return pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "u_text", "v_text").mapInPandas(compare, "u long, v long")
+    sides = [sets.select(F.col("set_id").alias(k), F.col("n").alias(f"n{k}"), F.col("spread").alias(f"s{k}")) for k in "uv"]
+    likely = materialize(pairs.join(sides[0], "u").join(sides[1], "v").where(may_be("nu", "nv", "su", "sv")).select("u", "v"), "near-likely")
+    ids = likely.select(F.col("u").alias("set_id")).unionByName(likely.select(F.col("v").alias("set_id"))).distinct()
+    wanted = sets.select("set_id", "_key").join(ids, "set_id")
+    texts = materialize(docs.select("_key", "text").join(wanted, "_key").select("set_id", "text").dropDuplicates(["set_id"]), "near-texts")
+    ends = [texts.select(F.col("set_id").alias(k), F.col("text").alias(f"{k}_text")) for k in "uv"]
+    return materialize(likely.join(ends[1], "v").join(ends[0], "u").select("u", "v", "u_text", "v_text").mapInPandas(compare, "u long, v long"), "near-links")
 
 
-def alike_components(texts: DataFrame, similarity: float, radius: int, shingle: int, block: int = BLOCK) -> DataFrame:
-    """One row a set (set_id, n, fp, prefix, text) -> (node, root) of the sets that are linked."""
+def alike_components(sets: DataFrame, docs: DataFrame, similarity: float, radius: int, shingle: int, block: int = BLOCK) -> DataFrame:
+    """One row a set (set_id, n, fp, spread, prefix, _key) -> (node, root) of the sets that are linked; docs: _key, text."""
 
     def can(a: str, b: str):
         """Sizes and places allow the similarity; true at least at the first shingle that two alike sets share."""
@@ -101,16 +134,17 @@ def alike_components(texts: DataFrame, similarity: float, radius: int, shingle:
     def pair(a, b):
         return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
-    rows = texts.select("set_id", "n", F.posexplode("prefix").alias("at", "h"))
+    # One shuffle by shingle serves the groups and their rows.
+    rows = sets.select("set_id", "n", F.posexplode("prefix").alias("at", "h")).repartition("h")
     groups = rows.groupBy("h").agg(F.min(F.struct("set_id", "n", "at")).alias("least"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
     shared = materialize(rows.join(groups, "h").select("h", F.struct("set_id", "n", "at").alias("own"), "least"), "near-shared")
     stars = shared.where(F.col("own.set_id") != F.col("least.set_id")).where(can("own", "least")).select(*pair(F.col("own.set_id"), F.col("least.set_id")))
-    fps = texts.groupBy("fp").agg(F.min("set_id").alias("first"))
-    same = texts.join(fps, "fp").where(F.col("set_id") != F.col("first")).select(*pair(F.col("set_id"), F.col("first")))
+    fps = sets.groupBy("fp").agg(F.min("set_id").alias("first"))
+    same = sets.select("set_id", "fp").join(fps, "fp").where(F.col("set_id") != F.col("first")).select(*pair(F.col("set_id"), F.col("first")))
     ends = [fps.select(F.col("fp").alias(k), F.col("first").alias(f"{k}_set")) for k in "ab"]
     near = near_links(fps.select("fp"), radius, block).toDF("a", "b").join(ends[0], "a").join(ends[1], "b").select(*pair(F.col("a_set"), F.col("b_set")))
     tried = materialize(stars.unionByName(same).unionByName(near).distinct(), "near-tried")
-    links = materialize(alike(tried, texts, shingle, similarity), "near-links")
+    links = alike(tried, sets, docs, shingle, similarity)
     roots = connected_components(links)
     # What is left: pairs that share a shingle and aren't of one component yet.
     rooted = shared.select("h", "own").join(roots, F.col("own.set_id") == F.col("node"), "left").select("h", "own", F.coalesce("root", "own.set_id").alias("root"))
@@ -119,16 +153,17 @@ def alike_components(texts: DataFrame, similarity: float, radius: int, shingle:
     x, y = (rooted.select("h", F.col("own").alias(k), F.col("root").alias(f"{k}_root")) for k in "xy")
     rest = x.join(y, "h").where((F.col("x_root") != F.col("y_root")) & (F.col("x.set_id") < F.col("y.set_id"))).where(can("x", "y"))
     rest = rest.select(F.col("x.set_id").alias("u"), F.col("y.set_id").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    return connected_components(links.unionByName(alike(rest, texts, shingle, similarity)))
+    return connected_components(links.unionByName(alike(rest, sets, docs, shingle, similarity)))
 
 
 def alike_groups(docs: DataFrame, similarity: float, radius: int = 7, shingle: int = 5, block: int = BLOCK) -> DataFrame:
-    """Adds root, the same number for all rows of a group of near copies, to rows with a text; materialized."""
+    """Adds root, the same number for all rows of a group of near copies, to rows of doc_id, text and _key (by row, of any type)."""
     small_batches(docs.sparkSession)
-    own = materialize(with_sets(docs.withColumn("text", F.col("text").cast("string")), shingle, similarity), "near-own")
-    texts = materialize(own.select("set_id", "n", "fp", "prefix", "text").dropDuplicates(["set_id"]), "near-texts")
-    roots = alike_components(texts, similarity, radius, shingle, block)
-    return own.drop("text", "n", "fp", "prefix").join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id")).drop("node", "set_id")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    own = materialize(with_sets(docs, shingle, similarity).drop("text"), "near-own")
+    sets = own.select("set_id", "n", "fp", "spread", "prefix", "_key").dropDuplicates(["set_id"])
+    roots = alike_components(sets, docs, similarity, radius, shingle, block)
+    return own.drop("n", "fp", "spread", "prefix").join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id")).drop("node", "set_id")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, radius: int = 7, shingle: int = 5, block: int = BLOCK) -> DataFrame:

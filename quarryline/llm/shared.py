@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch: a batch of the longest texts must still fit a Python worker.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch: what a batch holds must fit a Python worker, however long its texts are.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,8 +35,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Text batches for Python stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Batches of text for Python stay small; smaller ones that a session asks for are left as they are."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = _bytes(spark.conf.get(f"spark.sql.execution.arrow.{key}"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
+def _bytes(value: str) -> int:
+    return int(value.lower().removesuffix("b").replace("k", "000").replace("m", "000000").replace("g", "000000000"))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

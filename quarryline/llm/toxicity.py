@@ -43,7 +43,7 @@ LEAST_G, LEAST_RATIO = 22.0, 1.0
 USUAL = 2
 WORD = re.compile(r"[^\W\d_]+")
 #: Words that a worker remembers before it starts anew.
-CACHED = 700_000
+CACHED = 50_000
 
 
 def words_of(text: str | None) -> list[str]:

@@ -3,8 +3,9 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quarryline.llm.near_texts import alike_groups, drop_near_duplicates
+from quarryline.llm.near_texts import alike_groups, drop_near_duplicates, shared_at_most, spread
 
 
 def shingles(text):
@@ -61,7 +62,8 @@ def test_groups_are_those_of_brute_force(spark, monkeypatch, often):
     monkeypatch.setattr("quarryline.llm.near_texts.OFTEN", often)
     rows = planted()
     got = {}
-    for r in alike_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 0.8).collect():
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("_key", F.col("doc_id"))
+    for r in alike_groups(docs, 0.8).collect():
         got.setdefault(r["root"], set()).add(r["doc_id"])
     assert sorted(map(sorted, got.values())) == brute(rows)
 
@@ -89,3 +91,14 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark):
     got = [tuple(r) for r in got.collect()]
     assert sorted(t for _, t, _ in got) == sorted({t for _, t, _ in rows} - {words(20) + " tail"})
     assert (8, words(20), None) in got and (7, words(40), "s") in got and set(got) <= set(rows)
+
+
+def test_spreads_bound_what_sets_share():
+    rng = np.random.default_rng(1)
+    for a, b, both in ((0, 0, 0), (1, 1, 1), (500, 500, 0), (500, 300, 200), (5000, 4000, 100), (70_000, 90_000, 10)):
+        h = rng.integers(0, 2**63, a + b, dtype=np.uint64) * np.uint64(2)
+        x, y = h[:a], np.r_[h[:both], h[a : a + b - both]]
+        assert both <= shared_at_most(spread(x), spread(y)) <= min(a, b)
+        if both == 0 and a:
+            assert shared_at_most(spread(x), spread(y)) < 0.8 * (a + b) / 1.8  # unlike sets aren't compared by their texts
+    assert shared_at_most(b"", spread(h)) == math.inf

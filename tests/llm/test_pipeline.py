@@ -2,7 +2,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from quarryline.llm.pieces import model_of
-from quarryline.llm.simhash import fingerprint
+from tests.llm.test_near_texts import jaccard, shingles
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -17,21 +17,21 @@ def test_stages_follow_one_another(spark):
         seen.append(out)
     start, clean, single, cut, mixed, coded = ([r.asDict() for r in x.collect()] for x in seen)
     assert len(start) > len(clean) > len(single) >= len({r["doc_id"] for r in cut})
-    # Near copies: brute force over fingerprints, one document of each group, the least.
-    fps = {r["doc_id"]: fingerprint(r["text"], corpus_pipeline.SHINGLE_WORDS) & (1 << 64) - 1 for r in clean}
-    root = {i: i for i in fps}
+    # Near copies: brute force over sets of word shingles, one document of each group, the least.
+    sets = {r["doc_id"]: shingles(r["text"]) for r in clean}
+    root = {i: i for i in sets}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for a in fps:
-        for b in fps:
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= corpus_pipeline.NEAR_BITS:
+    for a in sets:
+        for b in sets:
+            if a < b and jaccard(sets[a], sets[b]) >= corpus_pipeline.SIMILARITY:
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    assert sorted(r["doc_id"] for r in single) == sorted({find(i) for i in fps})
+    assert sorted(r["doc_id"] for r in single) == sorted({find(i) for i in sets})
     # Repeats: no 400 bytes that stood twice are left, and texts are no longer than before.
     times = {}
     for r in single:
