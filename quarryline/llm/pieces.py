@@ -376,3 +376,19 @@ def decode_pieces(docs: DataFrame, model_file: str, ids_col: str = "piece_ids",
         return pd.Series([None if x is None else m.decode(np.frombuffer(x, "<u4")) for x in ids], dtype=object)
 
     return docs.withColumn(out, decode(F.col(ids_col)))
+
+
+def round_trip(docs: DataFrame, model_file: str, text_col: str = "text", out: str = "piece_ids", back: str = "decoded") -> DataFrame:
+    """encode_pieces and decode_pieces in one pass: the ids are decoded from the bytes that ``out`` gets.
+
+    Chained as two functions, the encoder would run twice, as its result is wanted by itself and by the decoder.
+    """
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("ids binary, back string")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        m = model_of(model_file)
+        raw = [None if t is None else x.astype("<u4").tobytes() for t, x in zip(texts, m.encode([t or "" for t in texts]), strict=True)]
+        return pd.DataFrame({"ids": pd.Series(raw, dtype=object), "back": pd.Series([None if x is None else m.decode(np.frombuffer(x, "<u4")) for x in raw], dtype=object)})
+
+    return docs.withColumn("_both", both(F.col(text_col).cast("string"))).withColumns({out: F.col("_both.ids"), back: F.col("_both.back")}).drop("_both")

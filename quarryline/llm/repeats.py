@@ -338,16 +338,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
     return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Add n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) to the documents."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, text: bool = False) -> DataFrame:
+    """Add n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) to the documents.
+
+    With ``text``, also kept_text: the remaining bytes as text, without those of characters that a cut went through.
+    """
     spans = repeated_spans(docs, length, group_limit)
     # Copies give equal rows: distinct before the list, which the text bounds.
     spans = spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("q0", "q1")).alias("spans")).withColumnsRenamed({"k1": "s1", "k2": "s2"})
-    text = text_or_empty()
-    own = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept").withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(7), text), "_bytes": F.encode(text, "UTF-8")})
+    whole = text_or_empty()
+    own = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *["kept_text"] * text).withColumns({"_k1": F.xxhash64(whole), "_k2": F.xxhash64(F.lit(7), whole), "_bytes": F.encode(whole, "UTF-8")})
     joined = own.join(spans, (F.col("_k1") == F.col("s1")) & (F.col("_k2") == F.col("s2")), "left")
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *["kept_text"] * text]
+
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + ", kept_text string" * text)
     def cut(data: pd.Series, found: pd.Series) -> pd.DataFrame:
         rows = []
         for raw, x in zip(data, found, strict=True):
@@ -358,18 +363,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
                 parts.append(raw[at:a])
                 at = b
             kept = b"".join([*parts, raw[at:]])
-            rows.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            rows.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore") if text else None)[: len(columns)])
+        return pd.DataFrame(rows, columns=columns)
 
-    out = joined.withColumn("_cut", cut("_bytes", "spans"))
+    # Told to be random, the function runs once, also where a filter asks for what it gives.
+    out = joined.withColumn("_cut", cut.asNondeterministic()("_bytes", "spans"))
     return out.select(*[c for c in own.columns if not c.startswith("_")], "_cut.*")
 
-
-def valid_text(data: str):
-    """The bytes of a column as text; bytes of characters that a cut went through are left out."""
-
-    @F.pandas_udf("string")
-    def decode(raw: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else bytes(r).decode("utf-8", "ignore") for r in raw], dtype=object)
-
-    return decode(F.col(data))

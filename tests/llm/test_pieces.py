@@ -5,7 +5,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarryline.llm.pieces import PieceModel, decode_pieces, encode_pieces, model_of
+from quarryline.llm.pieces import PieceModel, decode_pieces, encode_pieces, model_of, round_trip
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 LIB = sentencepiece.SentencePieceProcessor(model_file=PATH)
@@ -59,6 +59,17 @@ def test_table(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'clash' as piece_ids", "0 as decoded")
     got = decode_pieces(encode_pieces(df, PATH), PATH).collect()
     assert sorted((r["doc_id"], r["text"]) for r in got if r["text"]) == sorted((r["doc_id"], r["decoded"]) for r in got if r["decoded"])
+    assert sorted(map(str, got)) == sorted(map(str, round_trip(df, PATH).collect()))
     for r in got:
         assert (r["piece_ids"] is None) == (r["text"] is None) and r["decoded"] == r["text"]
     assert encode_pieces(df.limit(0), PATH).count() == 0
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    """Parts of a text, small lattices and a small table of pairs give the same ids."""
+    monkeypatch.setattr("quarryline.llm.pieces.CHARS", 11)
+    monkeypatch.setattr("quarryline.llm.pieces.CELLS", 16)
+    monkeypatch.setattr("quarryline.llm.pieces.PAIR_BITS", 3)
+    m = PieceModel(PATH)
+    for text in ("the quick  brown fox é漢 jumps over ▁ the lazy   dog " * 4, "x" * 300, "a b c d e f g h i j k l m n o p q r s t ", "word " * 40, " lead and trail  "):
+        assert m.encode([text, "", text])[2].tolist() == LIB.encode(text)
