@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from quarryline.llm.mixing import mix_sources, training_order
 from quarryline.llm.near_texts import drop_near_duplicates
-from quarryline.llm.pieces import decode_pieces, encode_pieces
-from quarryline.llm.repeats import remove_repeats, valid_text
+from quarryline.llm.pieces import round_trip
+from quarryline.llm.repeats import remove_repeats
 from quarryline.llm.shared import materialize, read_table
 from quarryline.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -37,8 +37,8 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; a document of which nothing but white space is left goes too. A cut character goes whole."""
-    cut = remove_repeats(docs)
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(valid_text("kept"))
+    cut = remove_repeats(docs, text=True)
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
     out = cut.withColumn("text", text).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
@@ -51,7 +51,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their piece ids, their number, and whether decoding gives the text back."""
     path = public_tokenizers.path(VOCABULARY)
-    d = decode_pieces(encode_pieces(docs, path), path)
+    d = round_trip(docs, path)
     return d.withColumn("n_pieces", (F.octet_length("piece_ids") / 4).cast("long")).withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
 
 
