@@ -5,12 +5,15 @@ parsed against each: the longest match from the current place is a phrase, and t
 text shares long passages with the sample needs few phrases; phrases times the logarithm of the sample's length, per
 character, estimates the cross entropy in bits. The language with the fewest such bits wins.
 
-Texts are parsed whole, in blocks of ``BLOCK`` characters that advance together, a numpy step for the next character of all
-blocks of a batch. The automata are tables [state, character] for a language's ``ALPHABET`` most usual characters; moves by
-its other characters stand in sorted keys.
+Texts are parsed whole and in one go: those of a batch advance together, a numpy step for the next character of all; once
+fewer than ``LANES`` are left, each is walked to its end. The automata are tables [state, character] for a language's
+``ALPHABET`` most usual characters; moves by its other characters stand in sorted keys, so that every character counts.
 
-What is learnt is bounded: about ``DOCS`` documents a language, chosen by hash, and ``CHARS`` characters of them, of a
-text the first ``SAMPLED_TEXT``. Prediction reads the text alone.
+What is learnt is bounded by parameters of ``sample_languages``: about ``docs_each`` documents a language, chosen by hash, of
+a text ``text_chars`` characters, and ``chars_each`` characters of them all. Prediction reads the text alone.
+
+Letters are characters of the Unicode categories L; marks (M), as vowel signs, stay with them. Whatever else stands between
+is one space.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0, as is every text if nothing was learnt; rows
 are predicted alone, so repeats agree; equal bits go to the language that comes first in code point order; an empty table
@@ -20,33 +23,32 @@ gives no rows; extra columns stay.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.shared import small_batches
 
-DOCS = 150
-CHARS = 40_000
-#: Characters of a text that may be sampled.
-SAMPLED_TEXT = 20_000
+#: Bounds of the sample: documents of a language, characters of a text, characters of a language.
+DOCS, SAMPLED_TEXT, CHARS = 150, 20_000, 40_000
 #: Characters with a column in the table.
 ALPHABET = 120
-BLOCK = 256
-#: Blocks that advance together.
-TOGETHER = 16_384
+#: Texts that advance together, and from how few on each is walked alone.
+TOGETHER, LANES = 16_384, 64
 UNKNOWN = "und"
-OTHER = re.compile(r"[\W\d_]+")
+OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 
 
 def normalise(text: str | None) -> str:
-    """Lower-case letters, with one space for whatever stands between."""
-    return OTHER.sub(" ", (text or "").lower()).strip()
+    """Lower-case letters and their marks, with one space for whatever stands between; empty without a letter."""
+    plain = OTHER.sub(" ", (text or "").lower()).strip()
+    return plain if LETTER.search(plain) else ""
 
 
 def suffix_automaton(text: str) -> list[dict[str, int]]:
@@ -103,16 +105,18 @@ class Automaton:
                 if s == 0:
                     self.begin[k] = t
         self.keys, self.to = np.array(sorted(rare), np.int64).reshape(-1, 2).T
+        self.rare = dict(rare)
         self.next = self.next.ravel()
+        self.moves, self.begins = memoryview(self.next), self.begin.tolist()
         self.bits = math.log2(len(sample) + 1)
 
     def phrases(self, chars: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Phrases of each block; blocks are sorted by falling size."""
+        """Phrases of each text; texts are sorted by falling size."""
         codes = self.code[chars]
         rare = bool((codes >= self.width).any())
-        state, count = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32)
-        for k in range(size[0] if len(size) else 0):
-            n = np.searchsorted(-size, -k, "left")
+        state, count = np.zeros(len(start), np.int32), np.zeros(len(start), np.int64)
+        k, n = 0, len(start)
+        while n >= LANES:
             c = codes[start[:n] + k]
             at = state[:n]
             to = self.next[at * self.width + np.where(c < self.width, c, 0)] if rare else self.next[at * self.width + c]
@@ -124,6 +128,20 @@ class Automaton:
             # A phrase begins where the last one can't go on, at the start, and after a character of no sample.
             count[:n] += missed | (at == 0)
             state[:n] = np.where(missed, self.begin[c], to)
+            k += 1
+            n = np.searchsorted(-size, -k, "left")
+        for lane in range(n):
+            count[lane] += self.walk(codes[start[lane] + k : start[lane] + size[lane]].tolist(), int(state[lane]))
+        return count
+
+    def walk(self, codes: list[int], state: int) -> int:
+        """The phrases that begin in the rest of a text, from a state on."""
+        moves, begins, rare, width, codes_n, count = self.moves, self.begins, self.rare, self.width, self.codes, 0
+        for c in codes:
+            to = moves[state * width + c] if c < width else rare.get(state * codes_n + c, -1)
+            if to < 0 or state == 0:
+                count += 1
+            state = begins[c] if to < 0 else to
         return count
 
 
@@ -141,17 +159,13 @@ class LanguageModel:
             return names, scores
         sizes = np.array([len(plain[k]) for k in own])
         chars = np.frombuffer("".join([plain[k] for k in own]).encode("utf-32-le", "surrogatepass"), "<u4")
-        blocks = -(-sizes // BLOCK)
-        doc = np.repeat(np.arange(len(own)), blocks)
-        inside = (np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
-        start = np.repeat(np.cumsum(sizes) - sizes, blocks) + inside
-        size = np.minimum(BLOCK, sizes[doc] - inside)
-        order = np.argsort(-size, kind="stable")
+        start = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
         bits = np.zeros((len(self.names), len(own)))
         for k, a in enumerate(self.automata):
             for b in range(0, len(order), TOGETHER):
                 at = order[b : b + TOGETHER]
-                bits[k] += np.bincount(doc[at], a.phrases(chars, start[at], size[at]), len(own))
+                bits[k, at] = a.phrases(chars, start[at], sizes[at])
             bits[k] *= a.bits / sizes
         best = bits.argmin(axis=0)
         share = (1 / bits[best, np.arange(len(own))]) / (1 / bits).sum(axis=0)
@@ -166,20 +180,20 @@ def model_of(samples: tuple[tuple[str, str], ...]) -> LanguageModel:
     return LanguageModel(dict(samples))
 
 
-def sample_languages(docs: DataFrame, learn_from: Column) -> tuple[tuple[str, str], ...]:
-    """(lang, text sample) of each language among the documents that may be learnt from; bounded as the module says."""
+def sample_languages(docs: DataFrame, learn_from: Column, docs_each: int = DOCS, text_chars: int = SAMPLED_TEXT, chars_each: int = CHARS) -> tuple[tuple[str, str], ...]:
+    """(lang, text sample) of each language among the documents that may be learnt from; bounded by the parameters."""
     own = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # One number a language; the languages' automata stand on the driver anyway.
     n = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
     if not n:
         return ()
-    share = F.create_map(*[F.lit(x) for lang, count in sorted(n.items()) for x in (lang, DOCS / count)])
+    share = F.create_map(*[F.lit(x) for lang, count in sorted(n.items()) for x in (lang, docs_each / count)])
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
-    few = own.where(draw < share[F.col("lang")]).select("lang", F.substring("text", 1, SAMPLED_TEXT).alias("text"), draw.alias("draw"))
+    few = own.where(draw < share[F.col("lang")]).select("lang", F.substring("text", 1, text_chars).alias("text"), draw.alias("draw"))
     texts: dict[str, list[str]] = {}
     for r in few.dropDuplicates(["lang", "text"]).orderBy("draw", "text").toLocalIterator():
         texts.setdefault(r["lang"], []).append(normalise(r["text"]))
-    return tuple((k, " ".join(v)[:CHARS]) for k, v in sorted(texts.items()) if any(v))
+    return tuple((k, " ".join(v)[:chars_each]) for k, v in sorted(texts.items()) if any(v))
 
 
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text_col: str = "text") -> DataFrame:

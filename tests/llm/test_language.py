@@ -1,19 +1,18 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quarryline.llm.language import BLOCK, LanguageModel, identify, normalise, sample_languages, suffix_automaton
+from quarryline.llm.language import LanguageModel, identify, normalise, sample_languages, suffix_automaton
 from quarryline.llm.q_language import op7_language
 
 
 def brute_phrases(sample, text):
-    n = 0
-    for a in range(0, len(text), BLOCK):
-        block, at = text[a : a + BLOCK], 0
-        while at < len(block):
-            size = 1
-            while at + size < len(block) and block[at : at + size + 1] in sample and block[at] in sample:
-                size += 1
-            at, n = at + size, n + 1
+    """Longest matches from the current place, one after the other, over the whole text."""
+    at = n = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in sample:
+            size += 1
+        at, n = at + size, n + 1
     return n
 
 
@@ -72,8 +71,24 @@ def test_every_sampled_character_counts():
         bits = {k: brute_phrases(s, normalise(t)) * np.log2(len(s) + 1) for k, s in samples.items()}
         assert bits[name] == min(bits.values())
         assert np.isclose(score, (1 / bits[name]) / sum(1 / b for b in bits.values()))
-    # A passage of the sample is a phrase a block, by characters of any rank.
-    assert np.isclose(scores[0], (1 / 4) / (1 / 4 + 1 / brute_phrases(samples["b"], texts[0])), rtol=1e-3)
+    # A passage of the sample is one phrase, by characters of any rank.
+    assert np.isclose(scores[0], 1 / (1 + 1 / brute_phrases(samples["b"], texts[0])), rtol=1e-3)
+
+
+def test_letters_go_by_unicode_category():
+    assert normalise("½ ² ③ 12 _-") == "" and normalise("\u0301 ½") == ""
+    assert normalise("नमस्ते, दुनिया 5") == "नमस्ते दुनिया" and normalise("É1x") == "é x"
+    assert LanguageModel({"a": "abc"}).predict(["½ ² ③", None, "", "abc"])[0] == ["und", "und", "und", "a"]
+
+
+def test_many_texts_and_few_are_parsed_alike():
+    rng = np.random.default_rng(8)
+    samples = {"a": "".join(rng.choice(list("abcd e"), 700)), "b": "".join(rng.choice(list("efgh a漢"), 700))}
+    texts = ["x" + "".join(rng.choice(list("abcdefgh z漢"), int(n))) + "x" for n in rng.integers(1, 400, 150)]
+    m = LanguageModel(samples)
+    alone = [m.predict([t]) for t in texts]
+    names, scores = m.predict(texts)
+    assert names == [n[0] for n, _ in alone] and np.allclose(scores, [s[0] for _, s in alone])
 
 
 def test_a_language_of_long_texts_is_learnt(spark):
