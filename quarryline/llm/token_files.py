@@ -5,11 +5,12 @@ the record. A record is the document's key, the width of an id (2 bytes for voca
 offset index, 16 bytes a record (offset, ids before it in the shard), so that any record can be read alone, in any order.
 The checksum is zlib's CRC-32, rotated and shifted by a constant so that a checksum of data with checksums stays sound.
 
-Documents are range-partitioned by doc_id, so shard k holds a run of the order. A task writes to a name of its own and only
+Documents are range-partitioned by doc_id and a hash of the text, so shard k holds a run of the order, and rows without an
+id, or of one id, spread too. A task writes to a name of its own and only
 the names that the committed manifest lists count, so lost and repeated tasks leave no wrong shard.
 
-Defined results: null text is empty (the end id alone); null doc_ids come last; rows of one doc_id are ordered by text; an
-empty table writes no shard; extra columns are ignored.
+Defined results: null text is empty (the end id alone); null doc_ids come last; rows of one doc_id are ordered by the
+text's hash, then the text; an empty table writes no shard; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ TAIL, TAIL_BYTES = "<I", 4
 #: Before the ids: doc_id, 1 if it is null, bytes of an id.
 KEY, KEY_BYTES = "<qBB", 10
 END_ID = 0
-#: About so many documents to a shard.
-SHARD_DOCS = 20_000
+#: About so many documents and bytes of text to a shard.
+SHARD_DOCS, SHARD_BYTES = 20_000, 32 << 20
 
 
 def masked(data: bytes) -> int:
@@ -72,9 +73,12 @@ def write_shards(docs: DataFrame, path: str, tokenizer_file: str, shards: int |
     """Write all documents under path in ascending doc_id order; returns the manifest, one row per shard."""
     spark = docs.sparkSession
     small_batches(spark)
-    shards = shards or max(spark.sparkContext.defaultParallelism, docs.count() // SHARD_DOCS)
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).repartitionByRange(shards, order[0]).sortWithinPartitions(*order)
+    if not shards:
+        n, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_or_empty()).cast("long"))).first()
+        shards = max(spark.sparkContext.defaultParallelism, n // SHARD_DOCS, (size or 0) // SHARD_BYTES)
+    order = [F.col("doc_id").asc_nulls_last(), F.col("_hash"), F.col("text")]
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("_hash", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange(shards, *order[:2]).sortWithinPartitions(*order).drop("_hash")
     fs, root = filesystem(path)
     fs.create_dir(root, recursive=True)
 

@@ -1,8 +1,9 @@
 """Encoding through a cache of units: a space and the word after it.
 
 A pre-tokenizer that never joins a word to the white space after it may be applied to such units alone; most units of a
-text have been seen before, so the tokenizer runs on the new ones only. Texts in which white space follows white space, or
-that hold control characters on which definitions of white space differ, are encoded whole.
+text have been seen before, so the tokenizer runs on the new ones only. Texts in which white space follows white space,
+that hold control characters on which definitions of white space differ, or one of the tokenizer's added tokens, are encoded
+whole.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ class Codes(dict):
 class UnitCache:
     """encode_many gives the ids of each of a list of strings, encode_words all ids of words after a space, and how many of each. A word is kept under its own name, for the space and itself."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list], encode_words: Callable[[list[str]], tuple], vocabulary: int):
+    def __init__(self, encode_many: Callable[[list[str]], list], encode_words: Callable[[list[str]], tuple], vocabulary: int, added: list[str] = ()):
         self.encode_many, self.encode_words, self.vocabulary = encode_many, encode_words, vocabulary
+        self.unsafe = re.compile("|".join([UNSAFE.pattern, *map(re.escape, filter(None, added))]))
         self.clear()
 
     def clear(self) -> None:
@@ -54,7 +56,6 @@ class UnitCache:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         bytes_of = np.zeros(t.get_vocab_size(), np.int64)
         for token, i in t.get_vocab().items():
             bytes_of[i] = len(token)
@@ -78,7 +79,8 @@ class UnitCache:
                 sizes.append(np.diff(np.searchsorted(np.cumsum(bytes_of[got]), ends) + 1, prepend=0))
             return np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
-        return UnitCache(encode_many, encode_words, len(bytes_of))
+        added = sorted({x.content for x in t.get_added_tokens_decoder().values()})
+        return UnitCache(encode_many, encode_words, len(bytes_of), added)
 
     def learn(self) -> None:
         ids, sizes = self.encode_words(self.codes.new)
@@ -90,7 +92,7 @@ class UnitCache:
         if len(self.codes) > CACHED:
             self.clear()
         out: list[np.ndarray] = [None] * len(texts)  # type: ignore[list-item]
-        plain = [k for k, t in enumerate(texts) if not UNSAFE.search(t)]
+        plain = [k for k, t in enumerate(texts) if not self.unsafe.search(t)]
         words = [texts[k].split(" ") for k in plain]
         odd = sorted(set(range(len(texts))).difference(plain))
         # First words have no space before them: they, and texts with odd white space, are encoded as they are.

@@ -13,7 +13,6 @@ from quarryline.llm.unit_cache import UnitCache
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOK = Tokenizer.from_file(PATH)
-TOK.encode_special_tokens = True
 
 
 @settings(max_examples=300, deadline=None)
@@ -22,6 +21,12 @@ def test_units_give_the_librarys_ids(text):
     assert UnitCache.of_tokenizer(PATH).encode([text])[0].tolist() == TOK.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_the_librarys():
+    assert UnitCache.of_tokenizer(PATH).encode(["a <|endoftext|> b", "x<|endoftext|>y z", " a b"])[0].tolist() == [64, 220, 50256, 275]
+    for t in ("<|endoftext|>", "a b<|endoftext|> c", "<|endoftext|> a"):
+        assert UnitCache.of_tokenizer(PATH).encode([t])[0].tolist() == TOK.encode(t, add_special_tokens=False).ids
+
+
 def test_frames_detect_damage():
     data = frame(b"abc") + frame(b"") + frame(b"x" * 1000)
     a, at = read_frame(data)
