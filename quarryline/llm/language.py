@@ -5,8 +5,11 @@ parsed against each: the longest match from the current place is a phrase, and t
 text shares long passages with the sample needs few phrases; phrases times the logarithm of the sample's length, per
 character, estimates the cross entropy in bits. The language with the fewest such bits wins.
 
-Texts are parsed whole and in one go: those of a batch advance together, a numpy step for the next character of all; once
-fewer than ``LANES`` are left, each is walked to its end. The automata are tables [state, character] for a language's
+Texts are parsed whole. Stretches of ``BLOCK`` characters of all texts of a batch advance together, a numpy step for the next
+character of all, each as if a phrase began with it. Then the parse that comes over a stretch's border follows until it is
+in the same state as the stretch's own, from where on both are one, and the phrases until there are put right. A text in
+which they never meet within a stretch is walked from its start. So the phrases are those of one parse of the whole text.
+The automata are tables [state, character] for a language's
 ``ALPHABET`` most usual characters; moves by its other characters stand in sorted keys, so that every character counts.
 
 What is learnt is bounded by parameters of ``sample_languages``: about ``docs_each`` documents a language, chosen by hash, of
@@ -38,8 +41,8 @@ from quarryline.llm.shared import small_batches
 DOCS, SAMPLED_TEXT, CHARS = 150, 20_000, 40_000
 #: Characters with a column in the table.
 ALPHABET = 120
-#: Texts that advance together, and from how few on each is walked alone.
-TOGETHER, LANES = 16_384, 64
+#: Characters of a stretch, and stretches that advance together. Neither changes a result.
+BLOCK, TOGETHER = 256, 16_384
 UNKNOWN = "und"
 OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 LETTER = regex.compile(r"\p{L}")
@@ -110,32 +113,56 @@ class Automaton:
         self.moves, self.begins = memoryview(self.next), self.begin.tolist()
         self.bits = math.log2(len(sample) + 1)
 
-    def phrases(self, chars: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Phrases of each text; texts are sorted by falling size."""
+    def step(self, at: np.ndarray, c: np.ndarray, rare: bool) -> tuple[np.ndarray, np.ndarray]:
+        """States after a character, and whether a phrase begins with it: at the start, where the last one can't go on, and after a character of no sample."""
+        to = self.next[at * self.width + np.where(c < self.width, c, 0)] if rare else self.next[at * self.width + c]
+        if rare and len(own := np.flatnonzero(c >= self.width)):
+            key = at[own].astype(np.int64) * self.codes + c[own]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            to[own] = np.where(self.keys[place] == key, self.to[place], -1)
+        missed = to < 0
+        return np.where(missed, self.begin[c], to), missed | (at == 0)
+
+    def phrases(self, chars: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Phrases of each text; the texts follow one another in chars."""
         codes = self.code[chars]
         rare = bool((codes >= self.width).any())
-        state, count = np.zeros(len(start), np.int32), np.zeros(len(start), np.int64)
-        k, n = 0, len(start)
-        while n >= LANES:
-            c = codes[start[:n] + k]
-            at = state[:n]
-            to = self.next[at * self.width + np.where(c < self.width, c, 0)] if rare else self.next[at * self.width + c]
-            if rare and len(own := np.flatnonzero(c >= self.width)):
-                key = at[own].astype(np.int64) * self.codes + c[own]
-                place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                to[own] = np.where(self.keys[place] == key, self.to[place], -1)
-            missed = to < 0
-            # A phrase begins where the last one can't go on, at the start, and after a character of no sample.
-            count[:n] += missed | (at == 0)
-            state[:n] = np.where(missed, self.begin[c], to)
-            k += 1
-            n = np.searchsorted(-size, -k, "left")
-        for lane in range(n):
-            count[lane] += self.walk(codes[start[lane] + k : start[lane] + size[lane]].tolist(), int(state[lane]))
-        return count
+        blocks = -(-sizes // BLOCK)
+        doc = np.repeat(np.arange(len(sizes)), blocks)
+        inside = (np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
+        start = np.repeat(np.cumsum(sizes) - sizes, blocks) + inside
+        size = np.minimum(BLOCK, sizes[doc] - inside)
+        count, state = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int32)
+        order = np.argsort(-size, kind="stable")
+        for b in range(0, len(order), TOGETHER):
+            own = order[b : b + TOGETHER]
+            for k in range(size[own[0]]):
+                own = own[: np.searchsorted(-size[own], -k, "left")]
+                state[own], new = self.step(state[own], codes[start[own] + k], rare)
+                count[own] += new
+        # Over the borders: two parses of each stretch but a text's first, until they meet.
+        own = np.flatnonzero(inside)
+        come, alone, apart = state[own - 1], np.zeros(len(own), np.int32), []
+        for k in range(BLOCK):
+            if not len(own):
+                break
+            c = codes[start[own] + k]
+            (come, a), (alone, b) = self.step(come, c, rare), self.step(alone, c, rare)
+            count[own] += a.astype(np.int64) - b
+            live = come != alone
+            over = live & (size[own] == k + 1)
+            # A text's last stretch may end before they meet: its phrases are right all the same.
+            apart.append(doc[own[over & (inside[own] + k + 1 < sizes[doc[own]])]])
+            live &= ~over
+            own, come, alone = own[live], come[live], alone[live]
+        out = np.bincount(doc, count, len(sizes)).astype(np.int64)
+        ends = np.cumsum(sizes)
+        for d in np.unique(np.concatenate([*apart, np.zeros(0, np.int64)])).tolist():
+            out[d] = self.walk(codes[ends[d] - sizes[d] : ends[d]].tolist(), 0)
+        return out
 
     def walk(self, codes: list[int], state: int) -> int:
-        """The phrases that begin in the rest of a text, from a state on."""
+        """The phrases of a text, a character at a time."""
         moves, begins, rare, width, codes_n, count = self.moves, self.begins, self.rare, self.width, self.codes, 0
         for c in codes:
             to = moves[state * width + c] if c < width else rare.get(state * codes_n + c, -1)
@@ -159,14 +186,7 @@ class LanguageModel:
             return names, scores
         sizes = np.array([len(plain[k]) for k in own])
         chars = np.frombuffer("".join([plain[k] for k in own]).encode("utf-32-le", "surrogatepass"), "<u4")
-        start = np.cumsum(sizes) - sizes
-        order = np.argsort(-sizes, kind="stable")
-        bits = np.zeros((len(self.names), len(own)))
-        for k, a in enumerate(self.automata):
-            for b in range(0, len(order), TOGETHER):
-                at = order[b : b + TOGETHER]
-                bits[k, at] = a.phrases(chars, start[at], sizes[at])
-            bits[k] *= a.bits / sizes
+        bits = np.stack([a.phrases(chars, sizes) * a.bits / sizes for a in self.automata])
         best = bits.argmin(axis=0)
         share = (1 / bits[best, np.arange(len(own))]) / (1 / bits).sum(axis=0)
         for j, k in enumerate(own):

@@ -81,16 +81,15 @@ def test_letters_go_by_unicode_category():
     assert LanguageModel({"a": "abc"}).predict(["½ ² ③", None, "", "abc"])[0] == ["und", "und", "und", "a"]
 
 
-def test_many_texts_and_few_are_parsed_alike():
+def test_stretches_change_nothing(monkeypatch):
     rng = np.random.default_rng(8)
-    samples = {"a": "".join(rng.choice(list("abcd e"), 700)), "b": "".join(rng.choice(list("efgh a漢"), 700))}
-    texts = ["x" + "".join(rng.choice(list("abcdefgh z漢"), int(n))) + "x" for n in rng.integers(1, 400, 150)]
+    samples = {"a": "".join(rng.choice(list("abcd e"), 700)), "b": "".join(rng.choice(list("efgh a漢"), 700)), "c": "x" * 90}
+    texts = ["x" + "".join(rng.choice(list("abcdefgh z漢"), int(n))) + "x" for n in rng.integers(1, 400, 150)] + [samples["a"] + "q" + samples["b"][100:400], "x" * 500, "abab" * 99]
     m = LanguageModel(samples)
-    alone = [m.predict([t]) for t in texts]
-    names, scores = m.predict(texts)
-    assert names == [n[0] for n, _ in alone] and np.allclose(scores, [s[0] for _, s in alone])
-
-
-def test_a_language_of_long_texts_is_learnt(spark):
-    df = spark.createDataFrame([(1, "hello there general " * 1500, "en"), (2, "bonjour à tous les amis", "fr")], "doc_id long, text string, lang string")
-    assert [k for k, _ in sample_languages(df, F.lit(True))] == ["en", "fr"]
+    want = {k: [brute_phrases(s, normalise(t)) for t in texts] for k, s in zip(m.names, map(samples.get, m.names), strict=True)}
+    for block in (1, 3, 16, 256, 10_000):
+        monkeypatch.setattr("quarryline.llm.language.BLOCK", block)
+        plain = [normalise(t) for t in texts]
+        chars = np.frombuffer("".join(plain).encode("utf-32-le"), "<u4")
+        for name, a in zip(m.names, m.automata, strict=True):
+            assert a.phrases(chars, np.array(list(map(len, plain)))).tolist() == want[name]
