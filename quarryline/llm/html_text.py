@@ -11,8 +11,8 @@ Text comes in blocks: character references decoded, white space runs made one sp
 order. ``br`` counts as white space, table cells as blocks.
 
 Defined results: null and empty pages, and pages of markup alone, give empty text; unclosed and misplaced tags close as
-browsers close them for these cases; very long pages are read whole; rows are independent; an empty table gives no rows;
-extra columns stay.
+browsers close them for these cases; a quote that never closes in a tag doesn't hide the tag's end; very long pages are read
+whole, in time that grows with their length; rows are independent; an empty table gives no rows; extra columns stay.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -54,7 +55,8 @@ NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar side rail widget widgets footer foot header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond replies share sharing social related recommended recommendations pagination pager toolbar skip hidden sr".split()
 )
 NAME_PART = re.compile(r"[a-z]+")
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 CONTAINERS = ("article", "main")
 
@@ -70,10 +72,10 @@ class Tree:
     flow: list[tuple[int, str | None]] = field(default_factory=list)
 
 
-def _is_noise(tag: str, attributes: str, within: list[str]) -> bool:
+def _is_noise(tag: str, attributes: str, inside: bool) -> bool:
+    """``inside``: whether an article or main is open."""
     if tag in NOISE:
         return True
-    inside = any(t in CONTAINERS for t in within)
     if tag == "header":
         return not inside
     if not attributes or attributes.isspace() or tag in ("html", "body", "article", "main"):
@@ -91,9 +93,53 @@ def _is_noise(tag: str, attributes: str, within: list[str]) -> bool:
     return False
 
 
+class Scanner:
+    """Marks of a page in order, each place looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        #: False once quotes took a tag's end away: from there on they count no more.
+        self.quotes = True
+
+    def mark(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the next mark from a place on; name is empty for comments and the like."""
+        page = self.page
+        while True:
+            start = page.find("<", at)
+            if start < 0 or start > self.last[">"] and not page.startswith("<!--", start):
+                return None
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", "", ""
+            if page.startswith("<![CDATA[", start) and (end := page.find("]]>", start + 9)) >= 0:
+                return start, end + 3, "", "", page[start + 9 : end]
+            if page.startswith(("<!", "<?"), start):
+                return start, page.find(">", start) + 1, "", "", ""
+            m = NAME.match(page, start + 1)
+            if m:
+                end = self.tag_end(m.end())
+                return start, end + 1, m[1], m[2].lower(), page[m.end() : end]
+            at = start + 1
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > that ends a tag whose attributes begin here; there is one further on."""
+        k = at
+        while self.quotes and (m := QUOTE_OR_END.search(self.page, k)):
+            if m[0] == ">":
+                return m.start()
+            # The last quote of its kind closes nothing.
+            k = m.end() if m.start() == self.last[m[0]] else self.page.find(m[0], m.end()) + 1
+        self.quotes = False
+        return self.page.find(">", at)
+
+
 def parse(page: str) -> Tree:
     t = Tree()
     stack = [0]
+    # How many elements of a name are open: what isn't open needn't be looked for.
+    opened: Counter[str] = Counter()
+    scanner = Scanner(page)
     at = 0
 
     def text(chunk: str) -> None:
@@ -104,9 +150,11 @@ def parse(page: str) -> Tree:
         while len(stack) > depth:
             if t.tags[stack[-1]] in BLOCKS:
                 t.flow.append((stack[-1], None))
-            stack.pop()
+            opened[t.tags[stack.pop()]] -= 1
 
     def open_index(names: set[str], bounds) -> int:
+        if not any(opened[n] for n in names):
+            return 0
         for k in range(len(stack) - 1, 0, -1):
             name = t.tags[stack[k]]
             if name in names:
@@ -115,19 +163,14 @@ def parse(page: str) -> Tree:
                 return 0
         return 0
 
-    while True:
-        m = TAG.search(page, at)
-        if m is None:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                text(m[0][9:-3])
+    while mark := scanner.mark(at):
+        start, end, slash, tag, attributes = mark
+        text(page[at:start])
+        at = end
+        if not tag:
+            text(attributes)
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if slash:
             k = open_index({tag}, () if tag in BLOCKS else BLOCKS)
             if k:
                 close(k)
@@ -144,14 +187,16 @@ def parse(page: str) -> Tree:
         n = len(t.tags)
         t.tags.append(tag)
         t.parents.append(stack[-1])
-        t.noise.append(t.noise[stack[-1]] or _is_noise(tag, m[3], [t.tags[s] for s in stack]))
+        t.noise.append(t.noise[stack[-1]] or _is_noise(tag, attributes, any(opened[c] for c in CONTAINERS)))
         if tag in BLOCKS:
             t.flow.append((n, None))
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not m[3].endswith("/"):
+            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            at = stop.end() if stop else len(page)
+        elif tag not in VOID and not attributes.endswith("/"):
             stack.append(n)
+            opened[tag] += 1
+    text(page[at:])
     close(1)
     return t
 

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 from quarryline.llm import q_html_text, q_language, q_mixing, q_ogg, q_pieces, q_repeats, q_simhash, q_sketches, q_token_files, q_toxicity
 
-MODULES = (q_mixing, q_simhash, q_sketches, q_sketches, q_token_files, q_html_text, q_pieces, q_language, q_toxicity, q_repeats, q_ogg)
+MODULES = (q_mixing, q_simhash, q_sketches, q_token_files, q_html_text, q_pieces, q_language, q_toxicity, q_repeats, q_ogg)
 QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

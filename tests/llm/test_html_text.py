@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from quarryline.llm.html_text import extract_text, main_text, parse
+from quarryline.llm.html_text import densities, extract_text, main_text, parse
 
 WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore".split()
 P = [" ".join(WORDS[k % 7 :] * (2 + k % 3)) + f" {k}." for k in range(12)]
@@ -63,3 +63,53 @@ def test_sibling_articles_stay(wrap, sizes):
     for before, after in (("", ""), (f"<nav>{MENU}</nav>", f"<div>{MENU}</div>")):
         for extra in ("", teaser):
             assert main_text(page(before + wrap.format(articles + extra) + after)) == "\n".join(x for part in parts for x in part)
+
+
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    pages = ["<b>" * 340_000 + "text", "<p title='" + "<p " * 340_000, "<p title='" + "<p " * 340_000 + ">x", '<p "a>" ' * 130_000, "<div><span>" * 90_000 + "x" + "</b></i>" * 40_000, "<!-" * 300_000, "<" * 1_000_000, "<article>" + "<p>words and more words" * 45_000]
+    for page in pages:
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 20, page[:40]
+
+
+def test_densities_are_those_of_brute_force():
+    import math
+    import random
+
+    rng = random.Random(3)
+
+    def node(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return " ".join(rng.choice(("alpha", "b", "gamma & delta")) for _ in range(rng.randrange(0, 9)))
+        tag = rng.choice(("div", "section", "span", "a", "b"))
+        return f"<{tag}>" + "".join(node(depth - 1) for _ in range(rng.randrange(1, 5))) + f"</{tag}>"
+
+    for _ in range(60):
+        t = parse("<html><body>" + node(6) + "</body></html>")
+        density, sums, _, body = densities(t)
+        n = len(t.tags)
+        inside = [[k == i or i in path for i in range(n)] for k in range(n) for path in [above(t, k)]]
+        size = [sum(len(" ".join(s.split())) for k, s in t.flow if s and inside[k][i]) for i in range(n)]
+        link = [sum(len(" ".join(s.split())) for k, s in t.flow if s and inside[k][i] and any(t.tags[j] == "a" for j in (k, *above(t, k)))) for i in range(n)]
+        below = [[k for k in range(n) if k != i and inside[k][i]] for i in range(n)]
+        want = []
+        for i in range(n):
+            c, lc, tags, lt = size[i], link[i], max(1, len(below[i])), max(1, sum(t.tags[k] == "a" for k in below[i]))
+            if not c:
+                want.append(0.0)
+                continue
+            base = math.log(c / max(1, c - lc) * lc + link[body] / size[body] * c + math.e)
+            want.append(c / tags * math.log(max(1.0, c / max(1, lc) * tags / lt)) / max(math.log(base), 0.1))
+        assert all(math.isclose(x, y, abs_tol=1e-9) for x, y in zip(density, want, strict=True))
+        assert all(math.isclose(sums[i], sum(want[k] for k in range(n) if t.parents[k] == i), abs_tol=1e-9) for i in range(n))
+
+
+def above(t, k):
+    out = []
+    while t.parents[k] >= 0:
+        k = t.parents[k]
+        out.append(k)
+    return out

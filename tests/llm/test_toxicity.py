@@ -47,3 +47,41 @@ def test_edge_cases(spark):
     assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
     assert fit_toxicity(docs.limit(0), labels.limit(0), F.lit(True)).ratios == {}
     assert score_toxicity(docs.limit(0), m).count() == 0
+
+
+def test_figures_are_those_of_brute_force(spark):
+    """Discounted counts of both classes with shared backoff, as told by plain counting."""
+    import math
+    from collections import Counter
+
+    from quarryline.llm.toxicity import DISCOUNT, END, LEAST_G, LEAST_RATIO, LONGEST, SHORTEST, count_grams, log_ratios
+
+    rows = [(1, f"you loser{k % 7} and idiot word{k % 5}") for k in range(60)] + [(0, f"the quiet word{k % 5} and lovely{k % 9} day{k}") for k in range(80)]
+    grams = count_grams(spark.createDataFrame(rows, "label int, text string"))
+    counts = (Counter(), Counter())
+    for label, text in rows:
+        found = set()
+        for w in words_of(text):
+            found |= {w + END} | {w[:k] for k in range(SHORTEST, min(LONGEST, len(w)) + 1)}
+        counts[label].update(found)
+    assert {(r["gram"], r["d0"], r["d1"]) for r in grams.collect()} == {(g, counts[0][g], counts[1][g]) for g in counts[0] | counts[1]}
+    kind = lambda g: 0 if g.endswith(END) else len(g)
+    n = [Counter(), Counter()]
+    types = [Counter(), Counter()]
+    for c in (0, 1):
+        for g, k in counts[c].items():
+            n[c][kind(g)] += k
+            types[c][kind(g)] += 1
+    lines, want = (80, 60), {}
+    for g in counts[0] | counts[1]:
+        d, k = (counts[0][g], counts[1][g]), kind(g)
+        if not types[0][k] or not types[1][k]:
+            continue
+        shared = sum(d) / (n[0][k] + n[1][k])
+        p = [(max(d[c] - DISCOUNT, 0) + DISCOUNT * types[c][k] * shared) / n[c][k] for c in (0, 1)]
+        cells = [(d[c], sum(d) * lines[c] / 140) for c in (0, 1)] + [(lines[c] - d[c], (140 - sum(d)) * lines[c] / 140) for c in (0, 1)]
+        if 2 * sum(o * math.log(o / e) for o, e in cells if o) >= LEAST_G and abs(math.log(p[1] / p[0])) >= LEAST_RATIO:
+            want[g] = math.log(p[1] / p[0])
+    got = log_ratios(grams, lines)
+    assert got.keys() == want.keys() and {"loser", "idiot" + END, "the" + END} <= want.keys()
+    assert all(math.isclose(got[g], want[g], rel_tol=1e-9) for g in want)
