@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What names may say.
@@ -116,6 +116,12 @@ def demote(date: Column, coarse: Column) -> Column:
     return F.when(coarse & date["parsed"] & date["date_kind"].isin("exact_day", "month", "season"), year).otherwise(date)
 
 
+def with_folder_date(df: DataFrame, album: str = "album", out: str = "folder") -> DataFrame:
+    """Adds what albums' names tell; each different name is parsed once, and the few names join back."""
+    parsed = df.select(F.col(album).alias("_album")).distinct().withColumn(out, folder_date(F.col("_album")))
+    return df.join(parsed, F.col(album).eqNullSafe(F.col("_album")), "left").drop("_album")
+
+
 def precision(date: Column) -> Column:
     kind = date["date_kind"]
     return F.when(kind == "exact_day", "day").when(kind.isin("month", "season", "year"), kind).when(kind == "year_span", "span").otherwise("none")

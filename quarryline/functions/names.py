@@ -136,7 +136,8 @@ def over_budget(path: Column, limit: int, reserve: int = 13) -> Column:
 def human_bytes(n: Column) -> Column:
     value, out = n.cast("double"), None
     for k, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
-        text = F.concat(F.format_string("%.0f" if k == 0 else "%.1f", value / 1024**k), F.lit(f" {unit}"))
+        # Half to even first: the format alone rounds half up.
+        text = F.concat(F.format_string("%.0f" if k == 0 else "%.1f", F.bround(value / 1024**k, min(k, 1))), F.lit(f" {unit}"))
         out = text if out is None else F.when(value >= 1024**k, text).otherwise(out)
     return out
 

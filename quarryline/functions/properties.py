@@ -52,6 +52,23 @@ def derived(properties: DataFrame, keys: list[str]) -> DataFrame:
     return p.groupBy(*keys).agg(*columns, matrix, errors)
 
 
+def thumbnail_property(properties: DataFrame, keys: list[str]) -> DataFrame:
+    """The bytes of property 17 of the summary, from its first section that has it."""
+    own = properties.where((F.col("fmtid") == SUMMARY) & (F.col("pid") == 17) & F.col("error").isNull())
+    return own.groupBy(*keys).agg(F.min(F.struct("section_ix", "raw"))["raw"].alias("thumbnail"))
+
+
+def transform_stream(properties: DataFrame, keys: list[str]) -> DataFrame:
+    """matrix (of 16 values) and aspect of a transform set; later sections win. A set with an error has the error and neither."""
+    n = F.col("section_ix")
+    matrix = F.when(F.col("pid") == 0x10000003, F.from_json("value", "array<double>"))
+    aspect = F.when(F.col("pid") == 0x10000000, F.col("value").try_cast("double"))
+    last = lambda v: F.max(F.when(v.isNotNull(), F.struct(n.alias("n"), v.alias("v"))))["v"]
+    found = properties.groupBy(*keys).agg(last(F.when(F.size(matrix) == 16, matrix)).alias("matrix"), last(aspect).alias("aspect"), F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("error"))
+    good = F.col("error") == ""
+    return found.select(*keys, F.when(good, F.col("matrix")).alias("matrix"), F.when(good, F.col("aspect")).alias("aspect"), F.nullif("error", F.lit("")).alias("error"))
+
+
 def colour_space(declared: Column) -> Column:
     """struct(colour_space, assumed): what a file doesn't say is assumed, and said to be."""
     known = F.coalesce(declared.isin("NIF_RGB", "PhotoYCC"), F.lit(False))

@@ -20,8 +20,9 @@ class ZoneError(ValueError):
 def resolve_zone(name: str) -> str:
     """The zone's own name, whatever its case, spaces or alias; refused on the driver if unknown."""
     key = name.strip().lower().replace(" ", "_")
-    key = ALIASES.get(key, key)
-    found = {z.lower(): z for z in available_timezones()}.get(key)
+    zones = {z.lower(): z for z in available_timezones()}
+    # A real zone's name goes before an alias of the same spelling.
+    found = zones.get(key) or zones.get(ALIASES.get(key, ""))
     if not found:
         raise ZoneError(f"unknown time zone {name!r}")
     return found

@@ -1,4 +1,4 @@
-"""What a run did (AGG-05..10, PRJ-13, RUN-02/04)."""
+"""What a run did (AGG-05..10, LIM-02, PRJ-13, RUN-02/04, SRT-01)."""
 
 from __future__ import annotations
 
@@ -26,7 +26,36 @@ def identical_groups(records: DataFrame) -> DataFrame:
     return g.agg(F.count("*").alias("n"), F.min("store_name").alias("first_name"), F.max("store_name").alias("last_name")).where("n > 1")
 
 
+def identical_members(records: DataFrame) -> DataFrame:
+    """The files of those groups: (pixel_sha256, store_name), a row each, so that no group has to fit a list."""
+    own = records.where(F.col("pixel_sha256").isNotNull() & F.col("status").isin(*PRESENT)).select("pixel_sha256", "store_name")
+    return own.join(identical_groups(records).select("pixel_sha256"), "pixel_sha256", "left_semi")
+
+
+def by_album(records: DataFrame) -> DataFrame:
+    """The records sorted by album, whatever its case, then by name."""
+    return records.orderBy(F.lower("album"), "album", "store_name")
+
+
+def failure_preview(records: DataFrame, most: int = 20) -> DataFrame:
+    """The first failures by name, with their errors as one text."""
+    shown = records.where("status = 'failed'").select("store_name", "errors").orderBy("store_name").limit(most)
+    return shown.select("store_name", F.array_join("errors", "; ").alias("errors"))
+
+
+def run_text(report: DataFrame) -> DataFrame:
+    """converted, resumed, failed, with_warnings, attempted, in_manifest, interrupted, complete -> lines for a person."""
+    lines = F.array_compact(F.array(
+        F.format_string("converted %d, resumed %d, failed %d of %d", "converted", "resumed", "failed", "in_manifest"),
+        F.format_string("%d with warnings", "with_warnings"),
+        F.when(F.col("interrupted"), "INTERRUPTED: run again to resume"),
+        F.when(~F.coalesce("complete", F.lit(True)), F.format_string("PARTIAL RUN: %d of %d entries were not handled", F.col("in_manifest") - F.col("attempted"), "in_manifest")),
+    ))
+    return report.select("*", F.array_join(lines, "\n").alias("text"))
+
+
 def completeness(records: DataFrame, selected: int | None, in_manifest: int, interrupted: bool) -> DataFrame:
+    """attempted, complete, not_attempted; a run is complete if it wasn't stopped and attempted all of the manifest."""
     n = F.count("*")
     wanted = in_manifest if selected is None else selected
     return records.agg(n.alias("attempted"), ((n == wanted) & F.lit(wanted == in_manifest) & F.lit(not interrupted)).alias("complete"), F.greatest(F.lit(0), F.lit(in_manifest) - n).alias("not_attempted"))

@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 def stratified_cover(rows: DataFrame, key: str, axes: dict[str, int], size: int) -> DataFrame:
     """The first k rows of every value on each axis, then the next rows in order up to a size.
 
-    The cover is bounded by the axes' values; the rest is a top-n, so neither step sorts the table as a whole.
+    The cover is bounded by the axes' values: each axis keeps its first rows where they are read, before anything is
+    shuffled, and only keys are ranked. The rest is a top-n, so no step sorts the table as a whole. Keys are unique.
     """
-    d = rows
-    for axis in axes:
-        d = d.withColumn(f"_{axis}", F.row_number().over(Window.partitionBy(axis).orderBy(key)))
-    covered = F.greatest(*[(F.col(f"_{a}") <= k).cast("int") for a, k in axes.items()])
-    d = d.withColumn("_in", covered).select(*rows.columns, "_in")
-    cover = d.where("_in = 1").drop("_in")
-    more = d.where("_in = 0").drop("_in").orderBy(key).limit(size)
+    kept = None
+    for axis, k in axes.items():
+        ranked = rows.select(axis, key).withColumn("_r", F.row_number().over(Window.partitionBy(axis).orderBy(key))).where(F.col("_r") <= k)
+        kept = ranked.select(key) if kept is None else kept.unionByName(ranked.select(key))
+    chosen = kept.distinct()
+    cover = rows.join(chosen, key, "left_semi")
+    more = rows.join(chosen, key, "left_anti").orderBy(key).limit(size)
     n = Window.orderBy("_late", key)
     both = cover.withColumn("_late", F.lit(0)).unionByName(more.withColumn("_late", F.lit(1)))
     return both.withColumn("_n", F.row_number().over(n)).where((F.col("_late") == 0) | (F.col("_n") <= size)).drop("_late", "_n")

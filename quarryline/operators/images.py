@@ -101,7 +101,7 @@ def report_with_sidecars(report: DataFrame, sidecars: DataFrame) -> DataFrame:
     return report.join(s, "store_name", "left").withColumn("date_original", F.coalesce("date_original", "_sidecar")).drop("_sidecar")
 
 
-def read_report(texts: DataFrame, column: str = "value") -> DataFrame:
+def read_report(texts: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:
     """Reports as JSON texts -> their counts; what is missing, cut or no object reads as unfinished."""
     r = F.from_json(F.col(column), "attempted long, failed long, with_warnings long, interrupted boolean, complete boolean", {"mode": "PERMISSIVE"})
-    return texts.select(r.alias("r")).select(*[F.coalesce(F.col(f"r.{c}"), F.lit(0).cast("long")).alias(c) for c in ("attempted", "failed", "with_warnings")], *[F.coalesce(F.col(f"r.{c}"), F.lit(False)).alias(c) for c in ("interrupted", "complete")])
+    return texts.select(*(keep or []), r.alias("r")).select(*(keep or []), *[F.coalesce(F.col(f"r.{c}"), F.lit(0).cast("long")).alias(c) for c in ("attempted", "failed", "with_warnings")], *[F.coalesce(F.col(f"r.{c}"), F.lit(False)).alias(c) for c in ("interrupted", "complete")])

@@ -29,8 +29,8 @@ SHAPES = {
         CASE WHEN l_suppkey % 5 > 0 THEN md5(CAST(l_partkey AS STRING)) END AS pixel_sha256 FROM lineitem""",
     "file_sources": """SELECT md5(coalesce(text, '')) AS sha256, source || '/' || lang || '/' || CASE WHEN doc_id % 3 = 0 THEN 'DCP_0' ELSE 'scan ' END || CAST(doc_id AS STRING) || '.FPX' AS relpath,
         CASE WHEN doc_id % 3 = 0 THEN 'DCP_0' ELSE 'scan ' END || CAST(doc_id AS STRING) || '.FPX' AS name, CAST(n_chars AS BIGINT) AS size FROM documents""",
-    "before_tree": "SELECT doc_id AS k, source || '/' || CAST(doc_id AS STRING) AS path, n_chars AS size, n_chars * 1000 AS mtime_ns FROM documents WHERE doc_id % 17 <> 3",
-    "after_tree": "SELECT doc_id AS k, source || '/' || CAST(doc_id AS STRING) AS path, n_chars + CASE WHEN doc_id % 13 = 5 THEN 1 ELSE 0 END AS size, n_chars * 1000 + CASE WHEN doc_id % 29 = 1 THEN 7 ELSE 0 END AS mtime_ns FROM documents WHERE doc_id % 19 <> 4",
+    "before_tree": "SELECT doc_id AS k, CASE WHEN doc_id % 17 = 3 THEN 'gone/' ELSE source || '/' END || CAST(doc_id AS STRING) AS path, n_chars AS size, n_chars * 1000 AS mtime_ns FROM documents",
+    "after_tree": "SELECT doc_id AS k, CASE WHEN doc_id % 19 = 4 THEN 'new/' ELSE source || '/' END || CAST(doc_id AS STRING) AS path, n_chars + CASE WHEN doc_id % 13 = 5 THEN 1 ELSE 0 END AS size, n_chars * 1000 + CASE WHEN doc_id % 29 = 1 THEN 7 ELSE 0 END AS mtime_ns FROM documents",
     "frames": """SELECT p_partkey, 100 + p_size * 7 AS width, 80 + p_size * 5 AS height,
         CASE p_partkey % 6 WHEN 5 THEN NULL WHEN 4 THEN 0.0 ELSE CAST(100 + p_size * 7 AS DOUBLE) / (80 + p_size * 5) * CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 ELSE 0.5 END END AS aspect,
         CASE p_partkey % 7 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 0.5 WHEN 3 THEN 0.75 WHEN 4 THEN 0.9 WHEN 5 THEN 2.0 ELSE 1.0 END AS m0,

@@ -1,4 +1,4 @@
-"""Where the catalogue goes (SNK-01..03, SNK-05, SNK-08): tables, one JSON document, sidecars, the deduplicated store."""
+"""Where the catalogue goes, and reading it back (SNK-01..03, SNK-05, SRC-06, PRJ-14): tables, one JSON document, sidecars, the deduplicated store."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PIECE = 1 << 20
@@ -34,6 +34,34 @@ def export_manifest(entries: DataFrame, counts: DataFrame, verified: bool, path:
     os.replace(temporary, path)
 
 
+ENTRY = "sha256 string, size long, store_name string, preferred_name string, preferred_relpath string, is_human_named boolean, albums array<string>, trees array<string>, sources array<string>, duplicate_count long"
+
+
+def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(header, entries) of an exported manifest; a header without a verification is unverified."""
+    whole = spark.read.schema(f"manifest_version int, verification struct<ok boolean>, counts map<string, long>, entries array<struct<{ENTRY.replace(' ', ': ').replace(',:', ',')}>>").option("multiLine", "true").json(path)
+    return whole.drop("entries"), whole.select(F.explode("entries").alias("e")).select("e.*")
+
+
+def sidecar_documents(entries: DataFrame, extracted: DataFrame) -> DataFrame:
+    """An entry and what was extracted from its file -> (sha256, sidecar): one JSON document of 16 keys, with defaults.
+
+    ``extracted``: sha256, stream_inventory, property_sets, extension_storages, derived_metadata, extraction_errors.
+    """
+    none = F.array().cast("array<string>")
+    e = extracted.withColumnRenamed("sha256", "_sha256")
+    d = entries.join(e, F.col("sha256") == F.col("_sha256"), "left")
+    name = F.coalesce("store_name", "sha256")
+    keys = {
+        "sidecar_version": F.lit(1), "sha256": F.col("sha256"), "size": F.coalesce("size", F.lit(0)), "store_name": name,
+        "preferred_name": F.coalesce("preferred_name", name), "preferred_relpath": F.coalesce("preferred_relpath", name), "preferred_name_is_human_authored": F.coalesce("is_human_named", F.lit(False)),
+        "albums": F.coalesce("albums", none), "trees": F.coalesce("trees", none), "duplicate_count": F.coalesce("duplicate_count", F.lit(1)), "contributing_sources": F.coalesce("sources", none),
+        "stream_inventory": F.coalesce("stream_inventory", none), "property_sets": F.col("property_sets"), "extension_storages": F.col("extension_storages"),
+        "derived_metadata": F.col("derived_metadata"), "extraction_errors": F.coalesce("extraction_errors", none),
+    }
+    return d.select("sha256", F.to_json(F.struct(*[v.alias(k) for k, v in keys.items()]), {"ignoreNullFields": "false"}).alias("sidecar"))
+
+
 def is_verified(header: DataFrame) -> Column:
     """Whether a manifest's header says that the tree was unchanged; no word of it is no."""
     return F.col("verification.ok").eqNullSafe(F.lit(True)) if "verification" in header.columns else F.lit(False)
@@ -50,6 +78,8 @@ def sidecars(properties: DataFrame, keys: list[str]) -> DataFrame:
 def copy_to_store(entries: DataFrame, store: str) -> DataFrame:
     """(sha256, size, source_path, store_name) -> (store_name, status, bytes): copied, skipped or failed.
 
+    The store is a folder that every executor mounts, as are the sources.
+
     A file is skipped if size and hash already match. A copy goes to a name of its own, is hashed as it stands on disk, and
     is then put in place, so a task that is lost or runs twice leaves no half file.
     """

@@ -174,7 +174,10 @@ def property_rows(data: bytes) -> Iterator[tuple]:
     if order != 0xFFFE:
         yield bad(None, f"byte order mark is 0x{order:04X}")
         return
-    for ix in range(min(sections, 64)):
+    there = max(0, len(data) - 28) // 20
+    if sections > there:
+        yield bad(None, f"{sections} sections in {len(data)} bytes")
+    for ix in range(min(sections, there)):
         try:
             fmtid, start = data[28 + 20 * ix : 44 + 20 * ix].hex(), struct.unpack_from("<I", data, 44 + 20 * ix)[0]
             size, n = struct.unpack_from("<II", data, start)
@@ -204,6 +207,40 @@ def property_rows(data: bytes) -> Iterator[tuple]:
 PROPERTY = "section_ix int, fmtid string, pid long, type_code int, type_name string, value string, raw binary, error string"
 
 
+# Names of the property sets that a photograph holds.
+SETS = ["SummaryInformation", "Global Info", "Extension List", "Operation 000001", "Transform 000001", "Data Object 000001", "Data Object 000002"]
+STORE_SETS = ["Image Contents", "Image Info", "SummaryInformation"]
+PROPERTY_STREAMS = [*(f"\x05{n}" for n in SETS), *(f"Data Object Store 000001/\x05{n}" for n in STORE_SETS)]
+
+
+def property_streams(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys and files' bytes -> a row a property set: stream, data, error. Sets of extension storages follow the standard ones."""
+
+    def streams(data: bytes | None) -> Iterator[tuple]:
+        if data is None:
+            yield None, None, "no content"
+            return
+        c = read_compound(data)
+        if c.error:
+            yield None, None, c.error
+        for name in PROPERTY_STREAMS:
+            if name in c.streams:
+                yield name, c.streams[name], None
+        for name in sorted(c.streams):
+            if name not in PROPERTY_STREAMS and name.rpartition("/")[2].startswith("\x05"):
+                yield name, c.streams[name], None
+
+    return _rows(df, keys, column, streams, "stream string, data binary, error string")
+
+
+def file_properties(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys and files' bytes -> keys, stream and a row a property (PROPERTY), errors of files and sets as rows."""
+    found = property_streams(df, keys, column)
+    parsed = parse_properties(found.where("stream is not null"), [*keys, "stream"], "data")
+    nothing = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in PROPERTY.split(", ")[:-1]]
+    return parsed.unionByName(found.where("stream is null").select(*keys, "stream", *nothing, "error"))
+
+
 def _each(rows_of, keys: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of a reader over the last column, after the first ones, which are kept."""
     for d in batches:
@@ -242,6 +279,25 @@ def inventory(content: Column) -> Column:
     return read(content)
 
 
+def inventory_of(path: Column) -> Column:
+    """The inventory of files that executors can open; a file is read by the task that lists it and never enters a row."""
+
+    @F.pandas_udf("is_ole boolean, streams array<string>, error string")
+    def read(paths: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p in paths:
+            try:
+                with open(p, "rb") as f:
+                    data = f.read()
+                c = read_compound(data)
+                rows.append((data[:8] == MAGIC, sorted(c.streams), c.error))
+            except OSError as e:
+                rows.append((None, [], str(e)))
+        return pd.DataFrame(rows, columns=["is_ole", "streams", "error"])
+
+    return read(path)
+
+
 def tile_rows(data: bytes | None) -> Iterator[tuple]:
     """(width, height, tiles, tile_ix, offset, size, compression, table_id, error) of a subimage header."""
     data = data or b""

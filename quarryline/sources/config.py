@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class ConfigError(ValueError):
@@ -72,6 +73,39 @@ def album_dates_frame(spark: SparkSession, dates: Mapping[str, datetime.date]) -
     return spark.createDataFrame(sorted(dates.items()), "album_key string, owner_date date")
 
 
+def with_owner_date(entries: DataFrame, dates: DataFrame, album: str = "album") -> DataFrame:
+    """Adds owner_date, by the album that an entry is filed under, whatever its case; Root is no album."""
+    key = F.nullif(F.lower(F.trim(F.col(album))), F.lit("root"))
+    return entries.withColumn("_key", key).join(dates.withColumnRenamed("album_key", "_key"), "_key", "left").drop("_key")
+
+
+def parse_overrides(text: str) -> dict[str, str]:
+    """A JSON object of album pattern to zone, in its order; all texts, nothing else."""
+    try:
+        value = json.loads(text) if text.strip() else {}
+    except ValueError as e:
+        raise ConfigError(f"not JSON: {text!r}") from e
+    if not isinstance(value, dict) or not all(isinstance(v, str) and k.strip() and v.strip() for k, v in value.items()):
+        raise ConfigError(f"not an object of pattern to zone: {text!r}")
+    return {k.strip().lower(): v.strip() for k, v in value.items()}
+
+
+def default_zone(explicit: str | None, configured: str | None, machine: str | None) -> str:
+    """The first zone that somebody names; without one the run is refused."""
+    for zone in (explicit, configured, machine):
+        if zone and zone.strip():
+            return zone.strip()
+    raise ConfigError("no time zone is known: name one, as Europe/London")
+
+
+def stop_requested(marker: str, since: float) -> bool:
+    """Whether a stop marker was left since the run began."""
+    try:
+        return os.stat(marker).st_mtime >= since
+    except OSError:
+        return False
+
+
 def dump_album_dates(dates: Mapping[str, datetime.date]) -> str:
     return json.dumps({"album dates": {k: dates[k].isoformat() for k in sorted(dates)}}, indent=2)
 

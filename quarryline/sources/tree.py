@@ -1,4 +1,4 @@
-"""A file tree as a table (SRC-01..03, SRC-16): a Python data source that lists also what Spark's own hides.
+"""A file tree as a table (SRC-01..03, SRC-05, SRC-16): a Python data source that lists also what Spark's own hides.
 
 ``spark.read.format("archive_tree").option("mode", "scan" | "stat").load(root)``. Top-level entries are dealt out as
 partitions, so a tree is walked and hashed by many tasks; files are hashed in pieces and their bytes never enter a row.
@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -72,8 +73,22 @@ def tree_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("archive_tree").option("mode", "stat").load(root)
 
 
+def assemble_scan(spark: SparkSession, root: str, work: str) -> tuple[DataFrame, DataFrame]:
+    """(snapshot, files): the tree as it stood before any file was opened, and a row a file with hash and inventory.
+
+    The snapshot is written under ``work`` first, so what is read later can be held against it (compare.snapshot_diff).
+    """
+    from quarryline.sources.binary import inventory_of
+
+    path = os.path.join(work, f"snapshot-{uuid.uuid4().hex}")
+    tree_snapshot(spark, root).write.parquet(path)
+    files = scan_tree(spark, root)
+    found = inventory_of(F.concat(F.lit(root.rstrip("/") + "/"), "relpath"))
+    return spark.read.parquet(path), files.withColumn("_i", found).select("*", "_i.is_ole", "_i.streams", F.col("_i.error").alias("ole_error")).drop("_i")
+
+
 def size_estimate(files: DataFrame, most: int = 50_000) -> DataFrame:
     """Bytes of the first files, up to a number, and whether there were more."""
-    few = files.limit(most + 1).agg(F.count("*").alias("n"), F.sum("size").alias("all"))
-    one = files.limit(most).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
-    return one.crossJoin(few.select((F.col("n") > most).alias("was_capped")))
+    # A limit leaves one partition of a bounded number of rows.
+    few = files.limit(most + 1).select("size", F.row_number().over(Window.orderBy(F.lit(1))).alias("k"))
+    return few.agg(F.coalesce(F.sum(F.when(F.col("k") <= most, F.col("size"))), F.lit(0)).alias("bytes"), (F.count("*") > most).alias("was_capped"))

@@ -6,9 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quarryline.plans import bindings
+from quarryline.plans import bindings, more  # noqa: F401
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("QUERY_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
