@@ -4,7 +4,9 @@ SimHash alone can't tell them: at 0.8 fingerprints differ in some 10 bits of 64
 texts stand too. So no pair is linked or given up by its fingerprint. Fingerprints that are near, and the least text of
 each shared shingle, give first pairs, which join large groups at little cost. The other pairs come from a prefix of each
 set: its shingles stand in one order for all sets, rare ones first, and two sets that are alike share one among the first
-``n - similarity * n + 1`` of both. The order comes from a sample; any order finds all pairs, rare ones first makes them few.
+``n - similarity * n + 1`` of both. The order comes from counts over all texts, in a table of a fixed number of cells: any
+order finds all pairs, rare ones first makes them few. Pairs whose parities of hash buckets differ too often go as they are
+formed (an exact bound of how much two sets differ).
 Every pair is compared by its texts before it is linked. Before that, pairs whose shingles fall into hash buckets so
 unequally that they can't be alike go: what two sets share is at most the sum of the lesser counts of all buckets. Texts
 don't stand in any table of the search; those of the pairs that are left are fetched from the documents by row key.
@@ -15,6 +17,7 @@ Defined results: null, empty and blank texts are copies of one another; texts of
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,33 +30,62 @@ from quarryline.llm.graph import connected_components
 from quarryline.llm.shared import materialize, small_batches
 from quarryline.llm.simhash import BLOCK, SEED, fold, near_links, shingle_hashes
 
-#: Texts that the order of shingles is drawn from, and how often one must stand there to be put behind the rare ones.
-ORDER_TEXTS, OFTEN, MOST_OFTEN = 4000, 3, 50_000
+#: Cells that shingles of all texts are counted in, a byte each when they are broadcast; how many go in a piece of the table.
+CELLS, PIECE = 1 << 24, 1 << 16
+#: Steps of a byte for each doubling of a count, and the most that a partition counts.
+STEPS, MOST = 8, (1 << 32) - 1
 #: About so many hashes of a set to a bucket of its spread.
 BUCKET_HASHES = 8
 SLACK = 1e-9
 
 
-def often(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the usual shingles of a sample of (text)."""
+def shingle_counts(docs: DataFrame, shingle: int, cells: int = CELLS) -> np.ndarray:
+    """How often shingles fall into each cell, counted over all (text), as steps of a logarithm in a byte.
 
-    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Every partition sums its own table and gives it out in compressed pieces, which are added up as they arrive.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(cells, dtype="<u4")
+        for d in batches:
+            own = [cell_of(np.unique(shingle_hashes(t, shingle)), cells) for t in d["text"]]
+            at, times = np.unique(np.concatenate([np.zeros(0, "<i8"), *own]), return_counts=True)
+            total[at] = np.minimum(total[at] + times, MOST)
+        for k, part in enumerate(total.reshape(-1, PIECE)):
+            if part.any():
+                yield pd.DataFrame({"piece": [k], "counts": [zlib.compress(part.tobytes(), 1)]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
         for d in batches:
-            yield pd.DataFrame({"h": np.concatenate([np.zeros(0, "<u8"), *(np.unique(shingle_hashes(t, shingle)) for t in d["text"])]).view("<i8")})
+            for k, packed in zip(d["piece"], d["counts"], strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(packed), "<u4").astype("<i8")
+        for k, total in sums.items():
+            yield pd.DataFrame({"piece": [k], "counts": [np.minimum(np.rint(STEPS * np.log2(1 + total)), 255).astype(np.uint8).tobytes()]})
+
+    parts = docs.select("text").mapInPandas(count, "piece int, counts binary").repartition("piece").mapInPandas(add, "piece int, counts binary")
+    table = np.zeros(cells, dtype=np.uint8)
+    for r in parts.collect():  # a byte a cell at most, whatever the corpus
+        table[r["piece"] * PIECE :][:PIECE] = np.frombuffer(r["counts"], np.uint8)
+    return table
+
 
-    n = docs.count()
-    drawn = docs.sample(fraction=min(1.0, ORDER_TEXTS / n), seed=1) if n else docs
-    rows = drawn.mapInPandas(shingles, "h long").groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(MOST_OFTEN).collect()
-    h, c = np.array([r["h"] for r in rows], dtype="<i8").view("<u8"), np.array([r["count"] for r in rows], dtype="<i8")
-    by = np.argsort(h)
-    return h[by], c[by]
+def cell_of(h: np.ndarray, cells: int) -> np.ndarray:
+    return (h & np.uint64(cells - 1)).astype("<i8")
 
 
-def prefix(h: np.ndarray, usual: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+def prefix(h: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """Distinct hashes -> those of which a set that is alike must share one, in the order of all sets."""
-    at = np.minimum(np.searchsorted(usual[0], h), max(0, len(usual[0]) - 1))
-    count = np.where(usual[0][at] == h, usual[1][at], 0) if len(usual[0]) else np.zeros(len(h), dtype="<i8")
-    return h[np.lexsort((h, count))][: len(h) - math.ceil(similarity * len(h) - SLACK) + 1]
+    return h[np.lexsort((h, counts[cell_of(h, len(counts))]))][: len(h) - math.ceil(similarity * len(h) - SLACK) + 1]
+
+
+def parities(h: np.ndarray) -> np.ndarray:
+    """Four longs of bits that tell whether an odd number of the distinct hashes falls on them.
+
+    Two sets differ in as many hashes at least as their parities differ in bits.
+    """
+    odd = np.bincount((h >> np.uint64(32) & np.uint64(255)).astype("<i8"), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def spread(h: np.ndarray) -> bytes:
@@ -73,18 +105,18 @@ def shared_at_most(a: bytes, b: bytes) -> float:
 
 
 def with_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Adds set_id (the same for equal sets), n (shingles), fp (SimHash), spread and prefix to rows with a text."""
-    usual = often(docs.select("text"), shingle)
+    """Adds set_id (the same for equal sets), n (shingles), fp (SimHash), odd (parities), spread and prefix to rows with a text."""
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, shingle))
 
-    @F.pandas_udf("set_id long, n int, fp long, spread binary, prefix array<long>")
+    @F.pandas_udf("set_id long, n int, fp long, odd array<long>, spread binary, prefix array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             all_h = shingle_hashes(t, shingle)
             h = np.unique(all_h)
             name = np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view("<i8")
-            out.append((int(name), len(h), fold(all_h), spread(h), prefix(h, usual, similarity).view("<i8")))
-        return pd.DataFrame(out, columns=["set_id", "n", "fp", "spread", "prefix"])
+            out.append((int(name), len(h), fold(all_h), parities(h), spread(h), prefix(h, counts.value, similarity).view("<i8")))
+        return pd.DataFrame(out, columns=["set_id", "n", "fp", "odd", "spread", "prefix"])
 
     return docs.withColumn("_set", of("text")).select("*", "_set.*").drop("_set")
 
@@ -123,7 +155,7 @@ def alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, simi
 
 
 def alike_components(sets: DataFrame, docs: DataFrame, similarity: float, radius: int, shingle: int, block: int = BLOCK) -> DataFrame:
-    """One row a set (set_id, n, fp, spread, prefix, _key) -> (node, root) of the sets that are linked; docs: _key, text."""
+    """One row a set (set_id, n, fp, odd, spread, prefix, _key) -> (node, root) of the sets that are linked; docs: _key, text."""
 
     def can(a: str, b: str):
         """Sizes and places allow the similarity; true at least at the first shingle that two alike sets share."""
@@ -149,9 +181,13 @@ def alike_components(sets: DataFrame, docs: DataFrame, similarity: float, radius
     # What is left: pairs that share a shingle and aren't of one component yet.
     rooted = shared.select("h", "own").join(roots, F.col("own.set_id") == F.col("node"), "left").select("h", "own", F.coalesce("root", "own.set_id").alias("root"))
     open_groups = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    rooted = materialize(rooted.join(open_groups, "h", "left_semi"), "near-open")
-    x, y = (rooted.select("h", F.col("own").alias(k), F.col("root").alias(f"{k}_root")) for k in "xy")
-    rest = x.join(y, "h").where((F.col("x_root") != F.col("y_root")) & (F.col("x.set_id") < F.col("y.set_id"))).where(can("x", "y"))
+    odd = sets.select(F.col("set_id").alias("node"), *(F.col("odd")[k].alias(f"odd{k}") for k in range(4)))
+    opened = rooted.join(open_groups, "h", "left_semi").join(odd, F.col("own.set_id") == F.col("node"))
+    opened = materialize(opened.select("h", "own", "root", *(f"odd{k}" for k in range(4))), "near-open")
+    x, y = (opened.select("h", F.col("own").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in opened.columns[2:])) for k in "xy")
+    differ = sum(F.bit_count(F.col(f"x_odd{k}").bitwiseXOR(F.col(f"y_odd{k}"))) for k in range(4))
+    near_enough = differ * (1 + similarity) <= (1 - similarity) * (F.col("x.n") + F.col("y.n")) + SLACK
+    rest = x.join(y, "h").where((F.col("x_root") != F.col("y_root")) & (F.col("x.set_id") < F.col("y.set_id"))).where(can("x", "y") & near_enough)
     rest = rest.select(F.col("x.set_id").alias("u"), F.col("y.set_id").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
     return connected_components(links.unionByName(alike(rest, sets, docs, shingle, similarity)))
 
@@ -161,9 +197,9 @@ def alike_groups(docs: DataFrame, similarity: float, radius: int = 7, shingle: i
     small_batches(docs.sparkSession)
     docs = docs.withColumn("text", F.col("text").cast("string"))
     own = materialize(with_sets(docs, shingle, similarity).drop("text"), "near-own")
-    sets = own.select("set_id", "n", "fp", "spread", "prefix", "_key").dropDuplicates(["set_id"])
+    sets = own.select("set_id", "n", "fp", "odd", "spread", "prefix", "_key").dropDuplicates(["set_id"])
     roots = alike_components(sets, docs, similarity, radius, shingle, block)
-    return own.drop("n", "fp", "spread", "prefix").join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id")).drop("node", "set_id")
+    return own.drop("n", "fp", "odd", "spread", "prefix").join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id")).drop("node", "set_id")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, radius: int = 7, shingle: int = 5, block: int = BLOCK) -> DataFrame:

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.llm.near_texts import alike_groups, drop_near_duplicates, shared_at_most, spread
+from quarryline.llm.near_texts import CELLS, PIECE, STEPS, alike_groups, cell_of, drop_near_duplicates, parities, shared_at_most, shingle_counts, spread
+from quarryline.llm.simhash import shingle_hashes
 
 
 def shingles(text):
@@ -57,9 +58,9 @@ def planted():
     return [(i, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("often", [3, 10**9])
-def test_groups_are_those_of_brute_force(spark, monkeypatch, often):
-    monkeypatch.setattr("quarryline.llm.near_texts.OFTEN", often)
+@pytest.mark.parametrize("cells", [CELLS, PIECE])
+def test_groups_are_those_of_brute_force(spark, monkeypatch, cells):
+    monkeypatch.setattr("quarryline.llm.near_texts.shingle_counts", lambda docs, shingle: shingle_counts(docs, shingle, cells))
     rows = planted()
     got = {}
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("_key", F.col("doc_id"))
@@ -102,3 +103,22 @@ def test_spreads_bound_what_sets_share():
         if both == 0 and a:
             assert shared_at_most(spread(x), spread(y)) < 0.8 * (a + b) / 1.8  # unlike sets aren't compared by their texts
     assert shared_at_most(b"", spread(h)) == math.inf
+
+
+def test_counts_cover_all_texts(spark):
+    texts = [t for _, t in planted()]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    want = np.zeros(PIECE, dtype=np.int64)
+    for t in texts:
+        np.add.at(want, cell_of(np.unique(shingle_hashes(t, 5)), PIECE), 1)
+    assert (shingle_counts(df, 5, PIECE) == np.rint(STEPS * np.log2(1 + want))).all()
+    assert not shingle_counts(df.limit(0), 5, PIECE).any()
+
+
+def test_parities_bound_how_much_sets_differ():
+    rng = np.random.default_rng(2)
+    for a, b, both in ((0, 0, 0), (1, 1, 1), (300, 300, 290), (300, 200, 150), (5000, 4000, 100)):
+        h = rng.integers(0, 2**63, a + b, dtype=np.uint64) * np.uint64(2)
+        x, y = h[:a], np.r_[h[:both], h[a : a + b - both]]
+        bits = sum(int(k).bit_count() for k in (parities(x) ^ parities(y)).view("<u8"))
+        assert bits <= a + b - 2 * both and (bits > 0) == (a + b > 2 * both)
