@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.shared import materialize, text_or_empty
+from quarryline.llm.shared import fresh, materialize, row_key, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the order key that name a bucket.
@@ -37,11 +37,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, order_key) of every document, written once."""
+def sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, source, size, order_key) of every document, and more columns of it, written once."""
     text = text_or_empty()
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text)))
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"), key.alias("order_key"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"), key.alias("order_key"), *more)
 
 
 def source_targets(sizes: DataFrame, schedule: Sequence[tuple[float, Column]] | None = None, total_share: float = 1.0, max_repeat: int = 3) -> DataFrame:
@@ -81,21 +81,23 @@ def _position(offset: Column) -> Column:
     return phase["start"] + (due - phase["before"]) / phase["share"]
 
 
-def mix_sources(docs: DataFrame, schedule: Sequence[tuple[float, Column]] | None = None, total_share: float = 1.0, max_repeat: int = 3) -> DataFrame:
+def mix_sources(docs: DataFrame, schedule: Sequence[tuple[float, Column]] | None = None, total_share: float = 1.0, max_repeat: int = 3, key: Column | None = None) -> DataFrame:
     """Plan the mix: one row per document with what the mix takes of it.
 
     Columns: doc_id, source, order_key, size, source_size, target, taken (words, repeats counted), copies (passes that take
-    at least half of the document), positions (of those copies, rising). A pass over a source that the target doesn't
+    at least half of the document), positions (of those copies, rising), and row_key if a key
+    of rows is given, which also orders rows of one doc_id and text. A pass over a source that the target doesn't
     fill ends inside a document, so the words taken of a source are its target to the word.
     """
-    narrow = materialize(sized(docs).withColumn("bucket", F.substring("order_key", 1, BUCKET_DIGITS)), "mix")
+    named = [] if key is None else ["row_key"]
+    narrow = materialize(sized(docs, *(key.alias(n) for n in named)).withColumn("bucket", F.substring("order_key", 1, BUCKET_DIGITS)), "mix")
     buckets = narrow.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     buckets = buckets.withColumn("bucket_start", F.coalesce(before, F.lit(0)))
     targets = source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), schedule, total_share, max_repeat)
     plan = buckets.join(targets.withColumnRenamed("source", "src"), F.col("source").eqNullSafe(F.col("src"))).drop("src")
     plan = plan.withColumnsRenamed({"source": "src", "bucket": "b"})
-    inside = Window.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size", *named).rowsBetween(Window.unboundedPreceding, -1)
     d = narrow.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     d = d.join(plan, (F.col("bucket") == F.col("b")) & F.col("source").eqNullSafe(F.col("src")))
     d = d.withColumn("start", F.col("bucket_start") + F.col("inside")).withColumn("goal", F.floor("target").cast("long"))
@@ -106,20 +108,17 @@ def mix_sources(docs: DataFrame, schedule: Sequence[tuple[float, Column]] | None
     d = d.withColumn("copies", (F.col("passes") + (F.col("start") * 2 + F.col("size") < F.col("rest") * 2).cast("long")).cast("int"))
     starts = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: _position(k * F.col("source_size") + F.col("start")))
     d = d.withColumn("positions", F.when(F.col("copies") > 0, starts).otherwise(F.array().cast("array<double>")))
-    return d.select("doc_id", "source", "order_key", "size", "source_size", "target", "taken", "copies", "positions")
+    return d.select("doc_id", "source", "order_key", "size", "source_size", "target", "taken", "copies", "positions", *named)
 
 
-def training_order(docs: DataFrame, mix: DataFrame) -> DataFrame:
+def training_order(docs: DataFrame, schedule: Sequence[tuple[float, Column]] | None = None, total_share: float = 1.0, max_repeat: int = 3) -> DataFrame:
     """The documents of the mix with all their columns, a row per copy, range-sorted by training position.
 
-    Rows that agree in doc_id, source and text are one row here with the positions of all of them, so that documents meet
-    their positions in one shuffle; the sort is the other.
+    Rows that agree in all columns are one row here with the positions of all of them, so that documents meet
+    their positions in one shuffle; the sort is the other. Extra columns stay, whatever their names.
     """
-
-    def row_key(order_key: Column) -> Column:
-        return F.md5(F.concat(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), F.lit(":"), order_key))
-
-    copies = mix.select(row_key(F.col("order_key")).alias("_key"), F.explode("positions").alias("_position"))
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text_or_empty())))
-    own = docs.withColumn("source", F.col("source").cast("string")).withColumn("_key", row_key(key)).dropDuplicates(["_key"])
-    return own.join(copies, "_key").orderBy("_position", "_key").select(*docs.columns)
+    key, position = fresh(docs, "_key"), fresh(docs, "_position")
+    mix = mix_sources(docs, schedule, total_share, max_repeat, key=row_key(docs))
+    copies = mix.select(F.col("row_key").alias(key), F.explode("positions").alias(position))
+    own = docs.withColumn(key, row_key(docs)).dropDuplicates([key])
+    return own.join(copies, key).orderBy(position, key).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -12,6 +12,8 @@ unequally that they can't be alike go: what two sets share is at most the sum of
 don't stand in any table of the search; those of the pairs that are left are fetched from the documents by row key.
 
 Defined results: null, empty and blank texts are copies of one another; texts of fewer words than a shingle are one shingle.
+Of a group the row of the least doc_id stays, null last; of equal ids the one of the least hash of all columns, so reruns agree.
+Extra columns stay, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.graph import connected_components
-from quarryline.llm.shared import materialize, small_batches
+from quarryline.llm.shared import fresh, materialize, row_key, small_batches
 from quarryline.llm.simhash import BLOCK, SEED, fold, near_links, shingle_hashes
 
 #: Cells that shingles of all texts are counted in, a byte each when they are broadcast; how many go in a piece of the table.
@@ -204,9 +206,8 @@ def alike_groups(docs: DataFrame, similarity: float, radius: int = 7, shingle: i
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, radius: int = 7, shingle: int = 5, block: int = BLOCK) -> DataFrame:
     """One row of each group stays: that of the least doc_id, null last; of the same id, the least by hash of its columns."""
-    # Hashes skip nulls, so which columns are null is hashed too.
-    values = [*docs.columns, *(F.col(c).isNull() for c in docs.columns)]
-    keyed = docs.withColumn("_key", F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b")))
-    groups = alike_groups(keyed.select("doc_id", "text", "_key"), similarity, radius, shingle, block)
+    key = fresh(docs, "_key")
+    keyed = docs.withColumn(key, row_key(docs))
+    groups = alike_groups(keyed.select("doc_id", "text", F.col(key).alias("_key")), similarity, radius, shingle, block)
     least = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")).alias("least"))
-    return keyed.dropDuplicates(["_key"]).join(least.select("least._key"), "_key", "left_semi").drop("_key")
+    return keyed.dropDuplicates([key]).join(least.select(F.col("least._key").alias(key)), key, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: what a batch holds must fit a Python worker, however long its texts are.
@@ -46,7 +46,23 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def _bytes(value: str) -> int:
-    return int(value.lower().removesuffix("b").replace("k", "000").replace("m", "000000").replace("g", "000000000"))
+    """A number of bytes as Spark's settings write it, with or without a unit."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", value.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(df: DataFrame) -> Column:
+    """128 bits of hash over all columns; rows that agree in all have the same. Which columns are null is hashed too, as hashes skip nulls."""
+    values = [*(F.col(f"`{c}`") for c in df.columns), *(F.col(f"`{c}`").isNull() for c in df.columns)]
+    return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b"))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -57,8 +57,18 @@ def test_curriculum_follows_the_phases(spark):
 def test_training_order(spark):
     d = docs(spark)
     mix = mix_sources(d)
-    out = training_order(d, mix)
+    out = training_order(d)
     assert out.columns == d.columns and out.count() == mix.agg(F.sum("copies")).first()[0]
     where = {(r["doc_id"], r["source"]): r["positions"] for r in mix.collect()}
     first = [where[(r["doc_id"], r["source"])][0] for r in out.limit(20).collect() if len(where[(r["doc_id"], r["source"])]) == 1]
     assert first == sorted(first)
+
+
+def test_training_order_keeps_rows_that_differ_in_any_column(spark):
+    rows = [(1, "a b c", "s", "en", "x"), (1, "a b c", "s", "fr", "y"), (1, "a b c", "s", None, "x"), (2, None, None, "en", None), (None, "d e f", "s", "en", "z"), (None, "d e f", "s", "en", "z")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, _key string").withColumn("_position", F.col("lang")).withColumn("a.b", F.lit(1))
+    out = training_order(d, max_repeat=1)
+    assert out.columns == d.columns
+    got = [tuple(r)[:5] for r in out.collect()]
+    assert set(got) == {r for r in rows if r[1]} and got == [tuple(r)[:5] for r in training_order(d, max_repeat=1).collect()]
+    assert got.count((None, "d e f", "s", "en", "z")) == 2

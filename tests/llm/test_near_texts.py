@@ -122,3 +122,12 @@ def test_parities_bound_how_much_sets_differ():
         x, y = h[:a], np.r_[h[:both], h[a : a + b - both]]
         bits = sum(int(k).bit_count() for k in (parities(x) ^ parities(y)).view("<u8"))
         assert bits <= a + b - 2 * both and (bits > 0) == (a + b > 2 * both)
+
+
+def test_clashing_names_stay(spark):
+    rows = [(2, "a b c d e f", 1, "x"), (2, "a b c d e f", 2, "x"), (1, "other words stand here now", 3, None), (None, None, 4, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key long, root string")
+    got = drop_near_duplicates(df)
+    assert got.columns == df.columns
+    kept = {tuple(r) for r in got.collect()}
+    assert kept <= set(rows) and len(kept) == 3 and rows[2] in kept and rows[3] in kept
