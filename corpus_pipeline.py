@@ -10,11 +10,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.mixing import mix_sources, training_order
+from quarryline.llm.mixing import training_order
 from quarryline.llm.near_texts import drop_near_duplicates
 from quarryline.llm.pieces import round_trip
 from quarryline.llm.repeats import remove_repeats
-from quarryline.llm.shared import materialize, read_table
+from quarryline.llm.shared import fresh, materialize, read_table
 from quarryline.llm.toxicity import fit_toxicity, score_toxicity
 
 TOXIC_FROM = 0.7
@@ -27,7 +27,8 @@ VOCABULARY = "piece_bpe_32k.model"
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score toxic go. The models learn from the labels of documents that are there."""
     model = fit_toxicity(docs, read_table(spark, sf_dir, "labels"), F.lit(True))
-    return score_toxicity(docs, model, out="_toxicity").where(F.col("_toxicity") < TOXIC_FROM).select(*docs.columns)
+    score = fresh(docs, "_toxicity")
+    return score_toxicity(docs, model, out=score).where(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources come near their targets: documents beyond them go, others come up to three times, in training order."""
-    return training_order(docs, mix_sources(docs))
+    return training_order(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
