@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import names
-
-#: What a given name may end in besides the file's own stem.
-GIVEN = r"(?:_[0-9a-f]{8}(?:-[0-9]+)?)+$"
+from quarryline.session import cut
 
 
 def preferred(sources: DataFrame) -> DataFrame:
@@ -45,37 +42,26 @@ def manifest_counts(entries: DataFrame) -> DataFrame:
 def assign_names(entries: DataFrame, name: str = "name", scope: str | None = None, out: str = "given") -> DataFrame:
     """sha256 and name (and scope) -> the stem each entry gets.
 
-    In the order of (sha256, name) the first to ask has its stem bare; others add 8 digits of their hash, then -2, -3 and on.
-    Names that can collide fall into one class, their stem without such ends. In a class where no stem has such an end,
-    ranks tell the answer; only the other classes go through the rule row by row, a class at a time.
+    In the order of (sha256, name) the first to ask has its stem bare; others add 8 digits of their hash, then -2, -3 and on. Stems
+    differ by more than case. That is found in rounds: every entry asks for a stem, of all that ask for one the first in order
+    keeps it, also from one that had it, and the others ask for their next. When all keep theirs, all have what they had in one pass in
+    order. Of entries that ask for the same stems in the same order the k-th can't have one before the k-th, and begins there.
     """
+    stem = names.stem(F.col(name))
     scoped = F.lower(F.col(scope)) if scope else F.lit("")
-    e = entries.withColumns({"_stem": names.stem(F.col(name)), "_scope": scoped})
-    e = e.withColumn("_low", F.lower("_stem")).withColumn("_class", F.regexp_replace("_low", GIVEN, ""))
-    same = Window.partitionBy("_scope", "_class")
-    e = e.withColumn("_odd", F.max(F.col("_low") != F.col("_class")).over(same))
-    order = ["sha256", name]
-    digits = F.substring("sha256", 1, 8)
-    e = e.withColumn("_first", F.row_number().over(same.orderBy(*order)) == 1)
-    turn = F.row_number().over(Window.partitionBy("_scope", "_class", "_first", digits).orderBy(*order))
-    ranked = F.when(F.col("_first"), F.col("_stem")).otherwise(F.concat("_stem", F.lit("_"), digits, F.when(turn > 1, F.concat(F.lit("-"), turn.cast("string"))).otherwise("")))
-    plain = e.where("not _odd").withColumn(out, ranked).select(*entries.columns, out)
-    odd = e.where("_odd").select(*entries.columns, "_stem", "_scope", "_class")
-
-    kept = [*entries.columns, out]
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        given = []
-        for sha, s in zip(*(group.sort_values(order)[c] for c in ("sha256", "_stem")), strict=True):
-            tries = (s if k == 0 else f"{s}_{sha[:8]}" if k == 1 else f"{s}_{sha[:8]}-{k}" for k in range(len(group) + 2))
-            pick = next(t for t in tries if t.lower() not in taken)
-            taken.add(pick.lower())
-            given.append(pick)
-        return group.sort_values(order).assign(**{out: given})[kept]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema.fields) + f", {out} string"
-    return plain.unionByName(odd.groupBy("_scope", "_class").applyInPandas(walk, schema))
+    e = entries.withColumns({"_stem": stem, "_scope": F.coalesce(scoped, F.lit("")), "_digits": F.substring("sha256", 1, 8)})
+    alike = Window.partitionBy("_scope", F.lower("_stem"), "_digits").orderBy("sha256", name)
+    e = e.withColumn("_k", F.row_number().over(alike) - 1)
+    e = cut(e.withColumn("_turn", F.struct("sha256", name, "_k")))
+    k = F.col("_k")
+    asked = F.concat("_stem", F.when(k == 0, "").when(k == 1, F.concat(F.lit("_"), "_digits")).otherwise(F.concat(F.lit("_"), "_digits", F.lit("-"), k.cast("string"))))
+    while True:
+        e = e.withColumn(out, asked).withColumn("_asked", F.lower(out))
+        first = e.groupBy("_scope", "_asked").agg(F.min("_turn").alias("_first"))
+        e = cut(e.join(first, ["_scope", "_asked"]).withColumn("_lost", F.col("_turn") != F.col("_first")).drop("_first"))
+        if e.where("_lost").isEmpty():
+            return e.select(*entries.columns, out)
+        e = e.withColumn("_k", k + F.col("_lost").cast("int"))
 
 
 def first_entries(named: DataFrame, limit: int | None) -> DataFrame:

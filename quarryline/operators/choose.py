@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.session import cut
+
 
 def stratified_cover(rows: DataFrame, key: str, axes: dict[str, int], size: int) -> DataFrame:
     """The first k rows of every value on each axis, then the next rows in order up to a size.
@@ -25,6 +27,22 @@ def stratified_cover(rows: DataFrame, key: str, axes: dict[str, int], size: int)
 
 
 def running_progress(lines: DataFrame, run: str, order: list[str]) -> DataFrame:
-    """done, total, failed, interrupted of each line -> the same as they stand after it, within a run."""
-    w = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.select(run, *order, F.max("done").over(w).alias("done"), F.last("total", ignorenulls=True).over(w).alias("total"), F.coalesce(F.sum(F.col("failed").cast("long")).over(w), F.lit(0)).alias("failed"), F.coalesce(F.bool_or("interrupted").over(w), F.lit(False)).alias("interrupted"))
+    """done, total, failed, interrupted of each line -> the same as they stand after it, within a run: the largest done, the last
+    total, all that failed, whether it was ever interrupted.
+
+    A prefix scan of two levels: lines are dealt by ranges of run and order, each range is summed up, what the ranges before say is
+    carried into it, and rows add up inside their range. So a run of any length spreads over tasks. The order tells the lines of a run apart.
+    """
+    dealt = lines.select(run, *order, "done", "total", F.col("failed").cast("long").alias("failed"), "interrupted").repartitionByRange(run, *order)
+    dealt = cut(dealt.withColumn("_part", F.spark_partition_id()))
+    at = F.struct(*order)
+    parts = dealt.groupBy(run, "_part").agg(F.max("done").alias("done"), F.max_by("total", F.when(F.col("total").isNotNull(), at)).alias("total"), F.sum("failed").alias("failed"), F.bool_or("interrupted").alias("interrupted"))
+
+    def so_far(w) -> dict[str, Column]:
+        return {"done": F.max("done").over(w), "total": F.last("total", ignorenulls=True).over(w), "failed": F.coalesce(F.sum("failed").over(w), F.lit(0)), "interrupted": F.coalesce(F.bool_or("interrupted").over(w), F.lit(False))}
+
+    before = so_far(Window.partitionBy(run).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = parts.select(F.col(run).alias("_run"), F.col("_part").alias("_p"), *(c.alias(f"_{n}") for n, c in before.items()))
+    inside = so_far(Window.partitionBy(run, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = dealt.select(run, *order, "_part", *(c.alias(n) for n, c in inside.items())).join(carried, F.col(run).eqNullSafe(F.col("_run")) & (F.col("_part") == F.col("_p")))
+    return both.select(run, *order, F.greatest("_done", "done").alias("done"), F.coalesce("total", "_total").alias("total"), (F.col("_failed") + F.col("failed")).alias("failed"), (F.col("_interrupted") | F.col("interrupted")).alias("interrupted"))

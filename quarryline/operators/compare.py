@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.session import cut
+
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """path, size, mtime_ns of a tree before and after -> (path, kind) of what vanished, was modified or was added."""
@@ -60,16 +62,45 @@ def first_pattern(rows: DataFrame, text: Column, patterns: list[tuple[str, str]]
     return rows.withColumn(out, found)
 
 
-def collisions(paths: DataFrame, path: str = "path") -> DataFrame:
-    """Rows whose path another row claims too."""
-    return paths.withColumn("_n", F.count("*").over(Window.partitionBy(F.lower(path)))).where("_n > 1").drop("_n")
+def collisions(paths: DataFrame, order: list[str], path: str = "path") -> DataFrame:
+    """Rows whose path, whatever its case, a row before them in order claims. The first claimant has it."""
+    turn = F.row_number().over(Window.partitionBy(F.lower(path)).orderBy(*order))
+    return paths.withColumn("_n", turn).where("_n > 1").drop("_n")
+
+
+def refused_entries(claims: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """(entry, path), several paths an entry, in the order of entry -> (entry, path): entries refused, with a claimed path of each.
+
+    An entry one of whose paths is taken, by an earlier entry that was not refused itself or by what an earlier run
+    left (taken: path), is refused as a whole and claims nothing. In rounds: who comes first for all its paths has them, who
+    wants one of those is refused; the others are asked again. Paths count whatever their case.
+    """
+    open_ = cut(claims.select("entry", F.lower("path").alias("key"), "path").dropDuplicates(["entry", "key"]))
+    out = open_.select("entry", "path").limit(0)
+    won = open_.select("key").limit(0) if taken is None else taken.select(F.lower("path").alias("key")).distinct()
+    while True:
+        refused = cut(open_.join(won, "key", "left_semi").groupBy("entry").agg(F.min("path").alias("path")))
+        out = out.unionByName(refused)
+        open_ = open_.join(refused.select("entry"), "entry", "left_anti")
+        first = open_.groupBy("key").agg(F.min("entry").alias("first"))
+        ahead = open_.join(first, "key").groupBy("entry").agg(F.bool_and(F.col("entry") == F.col("first")).alias("has_all")).where("has_all").select("entry")
+        ahead = cut(ahead)
+        if ahead.isEmpty():
+            return out
+        won = open_.join(ahead, "entry", "left_semi").select("key")
+        open_ = open_.join(ahead, "entry", "left_anti")
+        won, open_ = cut(won), cut(open_)
 
 
 def check_tags(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """(path, tag, value, forbidden) against (path, tag, value): problems. A tag that is there with null is there."""
-    a = actual.select("path", "tag", F.col("value").alias("actual"), F.lit(True).alias("there"))
-    there = F.col("there").isNotNull()
-    problem = F.when(F.col("forbidden"), F.when(there, "forbidden")).when(~there, "missing").when(~F.col("actual").eqNullSafe(F.col("value")), "different")
+    """(path, tag, value, forbidden) against (path, tag, value): problems.
+
+    A tag may stand in several rows, and one of them must have the value. A tag that is there with null is there.
+    """
+    a = actual.groupBy("path", "tag").agg(F.collect_set(F.struct(F.col("value").alias("v"))).alias("values"))
+    there = F.col("values").isNotNull()
+    same = F.exists("values", lambda x: x["v"].eqNullSafe(F.col("value")))
+    problem = F.when(F.col("forbidden"), F.when(there, "forbidden")).when(~there, "missing").when(~same, "different")
     return expected.join(a, ["path", "tag"], "left").select("path", "tag", problem.alias("problem")).where("problem is not null")
 
 

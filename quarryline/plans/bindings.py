@@ -379,11 +379,11 @@ def sanitise_and_budget(spark, d):
     return read(spark, d, "pages").select("page_id", names.sanitise(F.col("url")).alias("safe"), names.over_budget(F.col("url"), 40).alias("over"))
 
 
-@query("WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END || '/' || CAST(c_custkey // 3 AS VARCHAR) AS path FROM customer) SELECT c_custkey, path FROM (SELECT *, count(*) OVER (PARTITION BY lower(path)) AS n FROM p) WHERE n > 1")
+@query("WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END || '/' || CAST(c_custkey // 3 AS VARCHAR) AS path FROM customer) SELECT c_custkey, path FROM (SELECT *, row_number() OVER (PARTITION BY lower(path) ORDER BY c_custkey) AS n FROM p) WHERE n > 1")
 def path_collision(spark, d):
     k = F.col("c_custkey")
     folder = F.when(k % 2 == 0, F.upper("c_mktsegment")).otherwise(F.lower("c_mktsegment"))
-    return compare.collisions(read(spark, d, "customer").select(k, F.concat(folder, F.lit("/"), F.floor(k / 3).cast("string")).alias("path")))
+    return compare.collisions(read(spark, d, "customer").select(k, F.concat(folder, F.lit("/"), F.floor(k / 3).cast("string")).alias("path")), ["c_custkey"])
 
 
 @query(_SOURCES + r", n AS (SELECT relpath, name, split_part(relpath, '/', 1) AS tree, split_part(relpath, '/', 2) AS album FROM file_sources) SELECT relpath, tree, album, tree || '/' || album AS parent, regexp_replace(name, '(?i)\.fpx$', '') AS stem, regexp_matches(regexp_replace(name, '(?i)\.fpx$', ''), '(?i)^(?:dcp|dc|p)[\s_-]?\d+$') AS camera, " + _DESCRIPTIVE + " AS descriptive FROM n")

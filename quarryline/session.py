@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +24,17 @@ def local_session(cores: int | str = 8, app: str = "quarryline", memory: str = "
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app).config("spark.driver.memory", memory)
     conf = {**DEFAULTS, "spark.sql.shuffle.partitions": os.environ.get("SHUFFLE_PARTITIONS", "8"), **extra}
     return builder.config(map=conf).getOrCreate()
+
+
+def cut(df):
+    """df as a table of its own: a reliable checkpoint in the folder that driver and executors share, which ends its lineage.
+
+    The folder is spark.checkpoint.dir; where none is set, a local session (tests) gets a new one, a cluster must name one.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        path = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
+    return df.checkpoint()

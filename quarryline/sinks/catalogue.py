@@ -7,7 +7,7 @@ import json
 import os
 import shutil
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -120,8 +120,70 @@ def copy_totals(copied: DataFrame) -> DataFrame:
     return copied.agg(F.count_if(F.col("status") == "copied").alias("copied"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.count_if(F.col("status") == "failed").alias("failed"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
 
 
-def tag_arguments(original: Column, offset: Column, title: Column, keywords: Column, make: Column) -> Column:
-    """Tag assignments in order, each only if its value is there; a file without a date gets no date tag."""
-    stamp = F.date_format(original, "yyyy:MM:dd HH:mm:ss")
-    one = [F.when(v.isNotNull() & (v != ""), F.concat(F.lit(f"-{t}="), v)) for t, v in (("DateTimeOriginal", stamp), ("OffsetTimeOriginal", F.when(original.isNotNull(), offset)), ("Title", title), ("Make", make))]
-    return F.concat(F.filter(F.array(*one), lambda a: a.isNotNull()), F.transform(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: F.concat(F.lit("-Keywords="), k)))
+#: What each fact of a picture is written as, in the order of the arguments.
+ASSIGNED = {
+    "make": ("EXIF:Make", "XMP-tiff:Make"),
+    "model": ("EXIF:Model", "XMP-tiff:Model"),
+    "software": ("EXIF:Software", "XMP-tiff:Software"),
+    "digitized": ("EXIF:CreateDate", "XMP-xmp:CreateDate"),
+    "digitized_offset": ("EXIF:OffsetTimeDigitized",),
+    "original": ("EXIF:DateTimeOriginal", "XMP-photoshop:DateCreated"),
+    "original_offset": ("EXIF:OffsetTimeOriginal",),
+    "keywords": ("IPTC:Keywords", "XMP-dc:Subject"),
+    "title": ("XMP-dc:Title", "IPTC:ObjectName", "EXIF:ImageDescription"),
+}
+#: Where each is read back, as sources.tags names it.
+READ_BACK = {
+    "make": ("exif:Make",), "model": ("exif:Model",), "software": ("exif:Software",), "digitized": ("exif:DateTimeDigitized",), "digitized_offset": ("exif:OffsetTimeDigitized",),
+    "original": ("exif:DateTimeOriginal",), "original_offset": ("exif:OffsetTimeOriginal",), "keywords": ("iptc:Keywords", "xmp:subject"), "title": ("xmp:title", "iptc:ObjectName", "exif:ImageDescription"),
+}
+
+
+def _facts(facts: DataFrame) -> dict[str, Column]:
+    """Values by name, arrays of texts, empty where there is nothing to write. Facts that the table doesn't have are none."""
+    col = lambda c: F.col(c) if c in facts.columns else F.lit(None)
+    text = lambda c: F.nullif(c.cast("string"), F.lit(""))
+    stamp = lambda c: F.date_format(col(c).cast("timestamp_ntz"), "yyyy:MM:dd HH:mm:ss")
+    one = {
+        # A scanner stands in for a camera that isn't known.
+        "make": F.coalesce(text(col("make")), text(col("scanner_make"))), "model": F.coalesce(text(col("model")), text(col("scanner_model"))), "software": text(col("software")),
+        "digitized": stamp("digitized"), "digitized_offset": text(col("digitized_offset")), "original": stamp("original"), "original_offset": F.when(stamp("original").isNotNull(), text(col("original_offset"))), "title": text(col("title")),
+    }
+    none = F.array().cast("array<string>")
+    out = {name: F.when(v.isNotNull(), F.array(v)).otherwise(none) for name, v in one.items()}
+    return out | {"keywords": F.filter(F.coalesce(col("keywords").cast("array<string>"), none), lambda k: k.isNotNull() & (k != ""))}
+
+
+def _for_all(values: dict[str, Column], targets: dict[str, tuple[str, ...]], make: Callable[[str, Column], Column]) -> Column:
+    """What make gives for each target of each value, in order."""
+
+    def of(names: tuple[str, ...]) -> Callable[[Column], Column]:
+        return lambda v: F.array(*[make(n, v) for n in names])
+
+    return F.flatten(F.concat(*[F.transform(values[fact], of(names)) for fact, names in targets.items()]))
+
+
+def tag_arguments(facts: DataFrame, out: str = "arguments") -> DataFrame:
+    """Adds the tag assignments of a picture, each only if its value is there; a picture without a date gets no date of its own.
+
+    make, model, software, scanner_make, scanner_model, digitized, digitized_offset, original, original_offset, title, keywords (array).
+    """
+    values = _facts(facts)
+    each = _for_all(values, ASSIGNED, lambda target, v: F.concat(F.lit(f"-{target}="), v))
+    return facts.withColumn(out, each)
+
+
+def expected_tags(facts: DataFrame, path: str = "path") -> DataFrame:
+    """(path, tag, value, forbidden): what must be read back of a picture; without a date of its own that tag must not be there."""
+    values = _facts(facts)
+    row = lambda tag, v, no: F.struct(F.lit(tag).alias("tag"), v.alias("value"), F.lit(no).alias("forbidden"))
+    each = _for_all(values, READ_BACK, lambda tag, v: row(tag, v, False))
+    undated = F.when(F.size(values["original"]) == 0, F.array(row("exif:DateTimeOriginal", F.lit(None).cast("string"), True)))
+    rows = F.concat(each, F.coalesce(undated, F.array().cast("array<struct<tag:string,value:string,forbidden:boolean>>")))
+    return facts.select(F.col(path).alias("path"), F.explode(rows).alias("_r")).select("path", "_r.*")
+
+
+def tags_to_write(facts: DataFrame, out: str = "tags") -> DataFrame:
+    """Adds tags as sinks.image_files takes them."""
+    values = _facts(facts)
+    return facts.withColumn(out, _for_all(values, READ_BACK, lambda tag, v: F.struct(F.lit(tag).alias("tag"), v.alias("value"))))

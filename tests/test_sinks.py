@@ -48,9 +48,17 @@ def test_properties_to_a_row_and_a_sidecar(spark):
 
 
 def test_tag_arguments(spark):
-    df = spark.createDataFrame([(dt.datetime(2001, 2, 3, 4, 5, 6), "t", ["a", "b"], ""), (None, None, None, "M")], "o timestamp_ntz, t string, k array<string>, m string")
-    got = [r[0] for r in df.select(sinks.tag_arguments(F.col("o"), F.lit("-06:00"), F.col("t"), F.col("k"), F.col("m"))).collect()]
-    assert got == [["-DateTimeOriginal=2001:02:03 04:05:06", "-OffsetTimeOriginal=-06:00", "-Title=t", "-Keywords=a", "-Keywords=b"], ["-Make=M"]]
+    rows = [(dt.datetime(2001, 2, 3, 4, 5, 6), "t", ["a", "b"], "", "scan"), (None, None, None, "M", "scan"), (None, "", ["", None], None, None)]
+    df = spark.createDataFrame(rows, "original timestamp_ntz, title string, keywords array<string>, make string, scanner_make string").withColumn("original_offset", F.lit("-06:00")).withColumn("path", F.col("make"))
+    got = [r["arguments"] for r in sinks.tag_arguments(df).collect()]
+    assert got == [
+        ["-EXIF:Make=scan", "-XMP-tiff:Make=scan", "-EXIF:DateTimeOriginal=2001:02:03 04:05:06", "-XMP-photoshop:DateCreated=2001:02:03 04:05:06", "-EXIF:OffsetTimeOriginal=-06:00",
+         "-IPTC:Keywords=a", "-XMP-dc:Subject=a", "-IPTC:Keywords=b", "-XMP-dc:Subject=b", "-XMP-dc:Title=t", "-IPTC:ObjectName=t", "-EXIF:ImageDescription=t"],
+        ["-EXIF:Make=M", "-XMP-tiff:Make=M"], [],
+    ]
+    must = {(r["path"], r["tag"], r["value"], r["forbidden"]) for r in sinks.expected_tags(df).collect()}
+    assert ("M", "exif:Make", "M", False) in must and ("M", "exif:DateTimeOriginal", None, True) in must and ("", "exif:DateTimeOriginal", None, True) not in must
+    assert [(t["tag"], t["value"]) for t in sinks.tags_to_write(df).first()["tags"]][:2] == [("exif:Make", "scan"), ("exif:DateTimeOriginal", "2001:02:03 04:05:06")]
 
 
 def test_colours_and_dates(spark):
