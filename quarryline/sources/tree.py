@@ -1,21 +1,34 @@
-"""A file tree as a table (SRC-01..03, SRC-05, SRC-16): a Python data source that lists also what Spark's own hides.
+"""A file tree as a table (SRC-01..03, SRC-05, SRC-16) and as a stream (STM-01), with what Spark's own listing hides.
 
-``spark.read.format("archive_tree").option("mode", "scan" | "stat").load(root)``. Top-level entries are dealt out as
-partitions, so a tree is walked and hashed by many tasks; files are hashed in pieces and their bytes never enter a row.
+``list_tree`` lists folders level by level, each level by many tasks; what it finds is dealt out by hash, so a folder of any
+number of files is many tasks when files are asked for their sizes, and as many tasks as their bytes need when they are hashed.
+Files are hashed in pieces and their bytes never enter a row. Links to folders aren't followed; folders that can't be opened
+and files that vanish are left out.
+
+``spark.readStream.format("archive_tree").option("log", folder).load(root)`` gives files as they arrive or change. The reader's
+offset is the number of a listing; each listing's new files stand in a log of its own under ``log``, so a restart, or a
+batch that is run again, gets the same files. What was seen is held by the driver, as Spark's own file streams do.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+from quarryline.session import cut
 
 PIECE = 1 << 20
+#: Bytes that a task hashes, about, and files that a task of a stream reads.
+TASK_BYTES, TASK_FILES = 1 << 30, 500
 
 
 def sha256_of(path: str) -> str:
@@ -50,6 +63,68 @@ class TreeReader(DataSourceReader):
                 continue
 
 
+class TreeStream(DataSourceStreamReader):
+    """Files that are new, or whose size or time has changed, since the listing before."""
+
+    def __init__(self, root: str, log: str, suffix: str):
+        self.root, self.log, self.suffix = root, Path(log), suffix
+        self.seen: dict[str, list[int]] | None = None
+        self.last = 0
+
+    def initialOffset(self) -> dict:
+        return {"listing": 0}
+
+    def _load(self) -> None:
+        self.log.mkdir(parents=True, exist_ok=True)
+        self.seen = {}
+        for path in sorted(self.log.glob("*.json")):
+            self.seen.update(json.loads(path.read_text(encoding="utf-8")))
+            self.last = int(path.stem)
+
+    def latestOffset(self) -> dict:
+        if self.seen is None:
+            self._load()
+        new = {}
+        for folder, _, files in os.walk(self.root):
+            for name in files:
+                path = os.path.join(folder, name)
+                if name.lower().endswith(self.suffix) and os.path.isfile(path):
+                    st = os.stat(path)
+                    relpath = os.path.relpath(path, self.root).replace(os.sep, "/")
+                    if self.seen.get(relpath) != [st.st_size, st.st_mtime_ns]:
+                        new[relpath] = [st.st_size, st.st_mtime_ns]
+        if new:
+            # A listing counts once its log stands whole.
+            target = self.log / f"{self.last + 1:012}.json"
+            temporary = self.log / f".{uuid.uuid4().hex}"
+            temporary.write_text(json.dumps(new), encoding="utf-8")
+            os.replace(temporary, target)
+            self.seen.update(new)
+            self.last += 1
+        return {"listing": self.last}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        found: dict[str, list[int]] = {}
+        for n in range(start["listing"] + 1, end["listing"] + 1):
+            found.update(json.loads((self.log / f"{n:012}.json").read_text(encoding="utf-8")))
+        paths = sorted(found, key=lambda p: (-found[p][0], p))
+        tasks = -(-len(paths) // TASK_FILES)
+        # Dealt in turns from the largest on, so that tasks have like sizes.
+        return [InputPartition(paths[k::tasks]) for k in range(tasks)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for relpath in partition.value:
+            path = os.path.join(self.root, relpath)
+            try:
+                st = os.stat(path)
+                yield relpath, os.path.basename(relpath), st.st_size, st.st_mtime_ns, sha256_of(path)
+            except OSError:
+                continue
+
+    def commit(self, end: dict) -> None:
+        """Logs stay: they tell what has been seen."""
+
+
 class ArchiveTree(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -62,21 +137,97 @@ class ArchiveTree(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return TreeReader(self.options["path"], self.options.get("mode", "scan") == "scan", self.options.get("suffix", ".fpx").lower())
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return TreeStream(self.options["path"], self.options["log"], self.options.get("suffix", ".fpx").lower())
 
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    spark.dataSource.register(ArchiveTree)
-    return spark.read.format("archive_tree").option("mode", "scan").load(root)
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(relpath, name) of every file below root. A round lists the folders of one level."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["folder"]:
+                found = []
+                try:
+                    with os.scandir(os.path.join(root, folder)) as entries:
+                        for e in entries:
+                            is_folder = e.is_dir(follow_symlinks=False)
+                            if is_folder or e.is_file():
+                                found.append((f"{folder}/{e.name}" if folder else e.name, e.name, is_folder))
+                except OSError:
+                    continue
+                yield pd.DataFrame(found, columns=["relpath", "name", "is_folder"])
+
+    tasks = spark.sparkContext.defaultParallelism
+    folders, files = spark.createDataFrame([("",)], "folder string"), []
+    while True:
+        found = cut(folders.mapInPandas(scan, "relpath string, name string, is_folder boolean"))
+        files.append(found.where("not is_folder").select("relpath", "name"))
+        below = found.where("is_folder").select(F.col("relpath").alias("folder"))
+        if below.isEmpty():
+            break
+        folders = below.repartition(tasks, "folder")
+    out = files[0]
+    for more in files[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _with_stat(files: DataFrame, root: str) -> DataFrame:
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for relpath, name in zip(batch["relpath"], batch["name"], strict=True):
+                try:
+                    st = os.stat(os.path.join(root, relpath))
+                    out.append((relpath, name, st.st_size, st.st_mtime_ns))
+                except OSError:
+                    continue
+            yield pd.DataFrame(out, columns=["relpath", "name", "size", "mtime_ns"])
+
+    dealt = files.repartition(files.sparkSession.sparkContext.defaultParallelism * 4, "relpath")
+    return dealt.mapInPandas(ask, "relpath string, name string, size long, mtime_ns long")
+
+
+def scan_tree(spark: SparkSession, root: str, suffix: str = ".fpx") -> DataFrame:
+    """(relpath, name, size, mtime_ns, sha256) of the files that end in suffix, in any case."""
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                try:
+                    yield pd.DataFrame([(*row, sha256_of(os.path.join(root, row.relpath)))], columns=[*batch.columns, "sha256"])
+                except OSError:
+                    continue
+
+    wanted = list_tree(spark, root).where(F.endswith(F.lower("name"), F.lit(suffix.lower())))
+    files = cut(_with_stat(wanted, root))
+    total = files.agg(F.sum("size")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    return files.repartition(tasks, "relpath", "size").mapInPandas(digest, "relpath string, name string, size long, mtime_ns long, sha256 string")
 
 
 def tree_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size, mtime_ns) of every file."""
+    return _with_stat(list_tree(spark, root), root).select(F.col("relpath").alias("path"), "size", "mtime_ns")
+
+
+def in_listing_order(files: DataFrame, path: str = "relpath") -> DataFrame:
+    """By path without case, then as it stands."""
+    return files.orderBy(F.lower(path), path)
+
+
+def arriving_files(spark: SparkSession, root: str, log: str, suffix: str = ".fpx") -> DataFrame:
+    """A stream of (relpath, name, size, mtime_ns, sha256) as files arrive or change."""
     spark.dataSource.register(ArchiveTree)
-    return spark.read.format("archive_tree").option("mode", "stat").load(root)
+    return spark.readStream.format("archive_tree").option("log", log).option("suffix", suffix).load(root)
 
 
 def assemble_scan(spark: SparkSession, root: str, work: str) -> tuple[DataFrame, DataFrame]:
     """(snapshot, files): the tree as it stood before any file was opened, and a row a file with hash and inventory.
 
-    The snapshot is written under ``work`` first, so what is read later can be held against it (compare.snapshot_diff).
+    The snapshot is written under ``work`` first, so what is read later can be held against it (compare.snapshot_diff); the files are
+    written there too, so the archive is hashed once.
     """
     from quarryline.sources.binary import inventory_of
 
@@ -84,7 +235,10 @@ def assemble_scan(spark: SparkSession, root: str, work: str) -> tuple[DataFrame,
     tree_snapshot(spark, root).write.parquet(path)
     files = scan_tree(spark, root)
     found = inventory_of(F.concat(F.lit(root.rstrip("/") + "/"), "relpath"))
-    return spark.read.parquet(path), files.withColumn("_i", found).select("*", "_i.is_ole", "_i.streams", F.col("_i.error").alias("ole_error")).drop("_i")
+    whole = files.withColumn("_i", found).select("*", "_i.is_ole", "_i.streams", F.col("_i.error").alias("ole_error")).drop("_i")
+    scanned = os.path.join(work, f"files-{uuid.uuid4().hex}")
+    whole.write.parquet(scanned)
+    return spark.read.parquet(path), spark.read.schema(whole.schema).parquet(scanned)
 
 
 def size_estimate(files: DataFrame, most: int = 50_000) -> DataFrame:
