@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.graph import connected_components
-from quarryline.llm.shared import fresh, materialize, row_key, small_batches
+from quarryline.llm.shared import fresh, materialize, row_key, small_batches, tidy
 from quarryline.llm.simhash import BLOCK, SEED, fold, near_links, shingle_hashes
 
 #: Cells that shingles of all texts are counted in, a byte each when they are broadcast; how many go in a piece of the table.
@@ -65,7 +65,7 @@ def shingle_counts(docs: DataFrame, shingle: int, cells: int = CELLS) -> np.ndar
         for k, total in sums.items():
             yield pd.DataFrame({"piece": [k], "counts": [np.minimum(np.rint(STEPS * np.log2(1 + total)), 255).astype(np.uint8).tobytes()]})
 
-    parts = docs.select("text").mapInPandas(count, "piece int, counts binary").repartition("piece").mapInPandas(add, "piece int, counts binary")
+    parts = docs.select("text").mapInPandas(tidy(count), "piece int, counts binary").repartition("piece").mapInPandas(tidy(add), "piece int, counts binary")
     table = np.zeros(cells, dtype=np.uint8)
     for r in parts.collect():  # a byte a cell at most, whatever the corpus
         table[r["piece"] * PIECE :][:PIECE] = np.frombuffer(r["counts"], np.uint8)
@@ -153,7 +153,7 @@ def alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, simi
     wanted = sets.select("set_id", "_key").join(ids, "set_id")
     texts = materialize(docs.select("_key", "text").join(wanted, "_key").select("set_id", "text").dropDuplicates(["set_id"]), "near-texts")
     ends = [texts.select(F.col("set_id").alias(k), F.col("text").alias(f"{k}_text")) for k in "uv"]
-    return materialize(likely.join(ends[1], "v").join(ends[0], "u").select("u", "v", "u_text", "v_text").mapInPandas(compare, "u long, v long"), "near-links")
+    return materialize(likely.join(ends[1], "v").join(ends[0], "u").select("u", "v", "u_text", "v_text").mapInPandas(tidy(compare), "u long, v long"), "near-links")
 
 
 def alike_components(sets: DataFrame, docs: DataFrame, similarity: float, radius: int, shingle: int, block: int = BLOCK) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.shared import materialize, small_batches, text_or_empty
+from quarryline.llm.shared import give_back, materialize, small_batches, text_or_empty, tidy
 
 LENGTH = 400
 GRAM = 32
@@ -315,7 +315,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
         raise ValueError(f"length must be {GRAM + 2 * SYMBOL} at least")
     small_batches(docs.sparkSession)
     keyed = _keyed(docs)
-    found = keyed.mapInPandas(lambda it: _find_anchors(it, length), "k1 long, k2 long, h long, c long, p int, q0 int, q1 int, own long")
+    found = keyed.mapInPandas(tidy(lambda it: _find_anchors(it, length)), "k1 long, k2 long, h long, c long, p int, q0 int, q1 int, own long")
     context, anchor = Window.partitionBy("h", "c"), Window.partitionBy("h")
     found = found.withColumn("times", F.count("*").over(context)).withColumn("turn", F.row_number().over(context.orderBy("k1", "k2", "p")))
     found = found.withColumn("several", F.min("c").over(anchor) != F.max("c").over(anchor))
@@ -325,14 +325,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
     # The list is bounded by the text: a text has one row for an anchor.
     wanted = found.where("kind > 0").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "p", "q0", "q1", "kind")).alias("found"))
     texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    contexts = texts.join(wanted, ["k1", "k2"]).mapInPandas(lambda it: _cut_contexts(it, length), "h long, context binary, offset int, k1 long, k2 long, q0 int, known boolean")
+    contexts = texts.join(wanted, ["k1", "k2"]).mapInPandas(tidy(lambda it: _cut_contexts(it, length)), "h long, context binary, offset int, k1 long, k2 long, q0 int, known boolean")
     contexts = materialize(contexts, "repeats-contexts")
     large = contexts.groupBy("h").count().where(F.col("count") > group_limit).select(F.col("h").alias("large"))
     marked = contexts.join(large, F.col("h") == F.col("large"), "left")
     usual = marked.where("large is null").drop("large").repartition("h").sortWithinPartitions("h", "k1", "k2", "q0")
-    spans = asis.unionByName(usual.mapInPandas(lambda it: _sort_contexts(it, length), "k1 long, k2 long, q0 int, q1 int"))
+    spans = asis.unionByName(usual.mapInPandas(tidy(lambda it: _sort_contexts(it, length)), "k1 long, k2 long, q0 int, q1 int"))
     if not large.isEmpty():
-        windows = marked.where("large is not null").drop("large").mapInPandas(lambda it: _list_windows(it, length), "h long, o int, w1 long, w2 long, k1 long, k2 long, q0 int")
+        windows = marked.where("large is not null").drop("large").mapInPandas(tidy(lambda it: _list_windows(it, length)), "h long, o int, w1 long, w2 long, k1 long, k2 long, q0 int")
         again = windows.groupBy("h", "o", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
         spans = spans.unionByName(windows.join(again, ["h", "o", "w1", "w2"], "left_semi").select("k1", "k2", "q0", F.col("q0").alias("q1")))
     return spans
@@ -346,8 +346,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
     spans = repeated_spans(docs, length, group_limit)
     # Copies give equal rows: distinct before the list, which the text bounds.
     spans = spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("q0", "q1")).alias("spans")).withColumnsRenamed({"k1": "s1", "k2": "s2"})
-    whole = text_or_empty()
-    own = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *["kept_text"] * text).withColumns({"_k1": F.xxhash64(whole), "_k2": F.xxhash64(F.lit(7), whole), "_bytes": F.encode(whole, "UTF-8")})
+    kept_columns = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *["kept_text"] * text).columns
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept_columns)).alias("_row"), text_or_empty().alias("_text"))
+    whole = F.col("_text")
+    own = own.withColumns({"_k1": F.xxhash64(whole), "_k2": F.xxhash64(F.lit(7), whole), "_bytes": F.encode(whole, "UTF-8")})
     joined = own.join(spans, (F.col("_k1") == F.col("s1")) & (F.col("_k2") == F.col("s2")), "left")
 
     columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *["kept_text"] * text]
@@ -364,9 +366,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
                 at = b
             kept = b"".join([*parts, raw[at:]])
             rows.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore") if text else None)[: len(columns)])
+        give_back()
         return pd.DataFrame(rows, columns=columns)
 
     # Told to be random, the function runs once, also where a filter asks for what it gives.
     out = joined.withColumn("_cut", cut.asNondeterministic()("_bytes", "spans"))
-    return out.select(*[c for c in own.columns if not c.startswith("_")], "_cut.*")
+    return out.select("_row.*", "_cut.*")
 

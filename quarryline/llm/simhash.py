@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarryline.llm.graph import connected_components
-from quarryline.llm.shared import materialize, small_batches
+from quarryline.llm.shared import materialize, small_batches, tidy
 
 SEED = 42
 #: Fingerprints of one file that are compared in one task.
@@ -237,7 +237,7 @@ def near_links(fps: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame
             (F.col("own") > o).cast("long").alias("side"))))
     rows = filed.select("fp", "file", F.explode(meets).alias("m")).select("fp", "file", "m.part", "m.side")
     rows = rows.repartition("file", "part").sortWithinPartitions("file", "part", "fp")
-    return rows.mapInPandas(lambda it: _link_files(it, radius), "u long, v long").distinct()
+    return rows.mapInPandas(tidy(lambda it: _link_files(it, radius)), "u long, v long").distinct()
 
 
 def near_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, block: int = BLOCK, text_col: str = "text") -> DataFrame:

@@ -105,3 +105,11 @@ def test_null_ids_and_empty_table(spark):
     got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"]) for r in remove_repeats(df).collect())
     assert got == [(0, 0, 0), (399, 0, 0), (399, 0, 0), (401, 401, 1)]
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_columns_with_any_name_stay(spark):
+    rows = [(1, "passage " * 80, "x", 1), (2, "other words, then " + "passage " * 80, None, 2), (3, None, "y", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string, spans long").withColumn("s1", F.lit(7))
+    out = remove_repeats(df)
+    assert out.columns[:5] == df.columns
+    assert {tuple(r)[:4] for r in out.collect()} == set(rows)
