@@ -85,8 +85,10 @@ def turn_images(images: DataFrame) -> DataFrame:
 
 
 def resolution_index(wanted: Column, count: Column) -> Column:
-    """The top resolution unless one is asked for; null where there is no such one."""
-    return F.when(wanted.isNull(), F.lit(0)).when((wanted >= 0) & (wanted < count), wanted)
+    """struct(index, error): the top resolution unless one is asked for; one that isn't there is refused, not decoded as another."""
+    there = F.coalesce((wanted >= 0) & (wanted < count), F.lit(False))
+    refused = F.concat(F.lit("no resolution "), wanted.cast("string"), F.lit(" of "), F.coalesce(count, F.lit(0)).cast("string"))
+    return F.struct(F.when(wanted.isNull(), F.lit(0)).when(there, wanted).alias("index"), F.when(wanted.isNotNull() & ~there, refused).alias("error"))
 
 
 def sample_profile(status: Column, rotated: Column, cropped: Column, width: Column, height: Column, colour: Column) -> Column:
@@ -95,10 +97,18 @@ def sample_profile(status: Column, rotated: Column, cropped: Column, width: Colu
     return F.struct(outcome.alias("outcome"), F.concat(width.cast("string"), F.lit("x"), height.cast("string")).alias("size"), colour.alias("colour"))
 
 
+def sidecar_dates(texts: DataFrame, column: str = "sidecar") -> DataFrame:
+    """store_name and a sidecar's JSON text -> store_name, date_original, sort_date; a text that is cut or says nothing gives nulls."""
+    r = F.from_json(F.col(column), "derived_metadata struct<timestamps:struct<datetime_original_exif:string,sort_datetime:string>>", {"mode": "PERMISSIVE"})
+    stamp = lambda name: F.nullif(r["derived_metadata"]["timestamps"][name], F.lit(""))
+    return texts.select("store_name", stamp("datetime_original_exif").alias("date_original"), stamp("sort_datetime").alias("sort_date"))
+
+
 def report_with_sidecars(report: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """store_name, date_original of the report, else of the sidecar; entries without a sidecar stay."""
-    s = sidecars.select("store_name", F.col("date_original").alias("_sidecar"))
-    return report.join(s, "store_name", "left").withColumn("date_original", F.coalesce("date_original", "_sidecar")).drop("_sidecar")
+    """The report's rows: date_original of the report, else of the sidecar; sort_date of the sidecar where it has one; '(no album)' for none. Entries without a sidecar stay."""
+    s = sidecars.select("store_name", F.col("date_original").alias("_sidecar"), *(["sort_date"] if "sort_date" in sidecars.columns else []))
+    out = report.join(s, "store_name", "left").withColumn("date_original", F.coalesce(F.nullif("date_original", F.lit("")), "_sidecar")).drop("_sidecar")
+    return out.withColumn("album", F.coalesce(F.nullif("album", F.lit("")), F.lit("(no album)"))) if "album" in out.columns else out
 
 
 def read_report(texts: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:

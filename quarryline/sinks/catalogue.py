@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import shutil
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,43 +75,51 @@ def sidecars(properties: DataFrame, keys: list[str]) -> DataFrame:
     return properties.groupBy(*keys).agg(F.to_json(F.struct(F.array_sort(F.collect_list(row)).alias("properties"))).alias("sidecar"))
 
 
+def _file_system(path: str):
+    """The file system of a path or address, and the path in it. Addresses (hdfs://, s3://, file://) need a library that knows theirs."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def copy_to_store(entries: DataFrame, store: str) -> DataFrame:
     """(sha256, size, source_path, store_name) -> (store_name, status, bytes): copied, skipped or failed.
 
-    The store is a folder that every executor mounts, as are the sources.
-
-    A file is skipped if size and hash already match. A copy goes to a name of its own, is hashed as it stands on disk, and
-    is then put in place, so a task that is lost or runs twice leaves no half file.
+    Store and sources are paths that every executor mounts, or addresses of a file system. A file is skipped if size and hash already match. A
+    copy goes to a name of its own beside its target, in pieces, is hashed as it stands there, and is then renamed, so a task that is lost or
+    runs twice leaves no half file under a store's name.
     """
 
-    def digest(path: str) -> str:
+    def digest(system: fs.FileSystem, path: str) -> str:
         h = hashlib.sha256()
-        with open(path, "rb") as f:
+        with system.open_input_stream(path) as f:
             while piece := f.read(PIECE):
                 h.update(piece)
         return h.hexdigest()
 
+    def one(sha: str, size: int, source: str, name: str) -> tuple[str, str, int]:
+        target_fs, folder = _file_system(store)
+        target = f"{folder.rstrip('/')}/{name}"
+        there = target_fs.get_file_info(target)
+        if there.type == fs.FileType.File and there.size == size and digest(target_fs, target) == sha:
+            return name, "skipped", 0
+        source_fs, source = _file_system(source)
+        temporary = f"{target}.{uuid.uuid4().hex}.part"
+        try:
+            target_fs.create_dir(target.rpartition("/")[0], recursive=True)
+            with source_fs.open_input_stream(source) as a, target_fs.open_output_stream(temporary) as b:
+                while piece := a.read(PIECE):
+                    b.write(piece)
+            if digest(target_fs, temporary) != sha:
+                raise OSError(f"{source} isn't what it was")
+            target_fs.move(temporary, target)
+            return name, "copied", size
+        except OSError:
+            if target_fs.get_file_info(temporary).type == fs.FileType.File:
+                target_fs.delete_file(temporary)
+            return name, "failed", 0
+
     def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(store, exist_ok=True)
         for d in batches:
-            out = []
-            for sha, size, source, name in d.itertuples(index=False):
-                target = os.path.join(store, name)
-                try:
-                    if os.path.exists(target) and os.path.getsize(target) == size and digest(target) == sha:
-                        out.append((name, "skipped", 0))
-                        continue
-                    temporary = f"{target}.{uuid.uuid4().hex}.part"
-                    shutil.copyfile(source, temporary)
-                    if digest(temporary) != sha:
-                        os.unlink(temporary)
-                        out.append((name, "failed", 0))
-                        continue
-                    os.replace(temporary, target)
-                    out.append((name, "copied", size))
-                except OSError:
-                    out.append((name, "failed", 0))
-            yield pd.DataFrame(out, columns=["store_name", "status", "bytes"])
+            yield pd.DataFrame([one(*r) for r in d.itertuples(index=False, name=None)], columns=["store_name", "status", "bytes"])
 
     return entries.select("sha256", "size", "source_path", "store_name").mapInPandas(copy, "store_name string, status string, bytes long")
 

@@ -154,12 +154,20 @@ def _bytes(data: bytes, at: int, n: int) -> bytes:
     return data[at : at + n]
 
 
+# Channel numbers of the colour spaces.
+CHANNELS = {"NIF_RGB": [0x00030000, 0x00030001, 0x00030002], "PhotoYCC": [0x00020000, 0x00020001, 0x00020002]}
+
+
 def sniff(raw: bytes, base: int) -> dict:
     """What a blob seems to be."""
     if base == 71:
         return {"kind": "clipboard"} | ({"width": struct.unpack_from("<i", raw, 12)[0], "height": struct.unpack_from("<i", raw, 16)[0]} if len(raw) >= 20 else {})
+    if len(raw) == 20:
+        free, count, *channels = struct.unpack("<5I", raw)
+        space = next((n for n, c in CHANNELS.items() if channels == c), "UNKNOWN")
+        return {"kind": "colour", "uncalibrated": bool(free), "channels": count, "channel_ids": [f"0x{c:08X}" for c in channels], "colour_space": space}
     if raw[:2] == b"\xff\xd8":
-        return {"kind": "jpeg_tables"}
+        return {"kind": "jpeg_tables", "whole": raw.endswith(b"\xff\xd9")}
     return {"kind": "generic"}
 
 
@@ -279,25 +287,6 @@ def inventory(content: Column) -> Column:
     return read(content)
 
 
-def inventory_of(path: Column) -> Column:
-    """The inventory of files that executors can open; a file is read by the task that lists it and never enters a row."""
-
-    @F.pandas_udf("is_ole boolean, streams array<string>, error string")
-    def read(paths: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p in paths:
-            try:
-                with open(p, "rb") as f:
-                    data = f.read()
-                c = read_compound(data)
-                rows.append((data[:8] == MAGIC, sorted(c.streams), c.error))
-            except OSError as e:
-                rows.append((None, [], str(e)))
-        return pd.DataFrame(rows, columns=["is_ole", "streams", "error"])
-
-    return read(path)
-
-
 def tile_rows(data: bytes | None) -> Iterator[tuple]:
     """(width, height, tiles, tile_ix, offset, size, compression, table_id, error) of a subimage header."""
     data = data or b""

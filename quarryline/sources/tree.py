@@ -229,7 +229,7 @@ def assemble_scan(spark: SparkSession, root: str, work: str) -> tuple[DataFrame,
     The snapshot is written under ``work`` first, so what is read later can be held against it (compare.snapshot_diff); the files are
     written there too, so the archive is hashed once.
     """
-    from quarryline.sources.binary import inventory_of
+    from quarryline.sources.sectors import inventory_of
 
     path = os.path.join(work, f"snapshot-{uuid.uuid4().hex}")
     tree_snapshot(spark, root).write.parquet(path)

@@ -40,7 +40,7 @@ def test_reports_and_profiles(spark):
     got = [r["severity"] for r in audit.summary(images.read_report(texts)).collect()]
     assert got == ["ok", "incomplete", "incomplete", "incomplete"]
     p = spark.range(1).select(images.sample_profile(F.lit("identity"), F.lit(True), F.lit(True), F.lit(3), F.lit(4), F.lit("NIF_RGB")).alias("p"), images.resolution_index(F.lit(None).cast("int"), F.lit(3)).alias("a"), images.resolution_index(F.lit(3), F.lit(3)).alias("b")).first()
-    assert tuple(p["p"]) == ("rotation+crop", "3x4", "NIF_RGB") and p["a"] == 0 and p["b"] is None
+    assert tuple(p["p"]) == ("rotation+crop", "3x4", "NIF_RGB") and p["a"]["index"] == 0 and p["b"]["index"] is None and p["b"]["error"]
     r = spark.createDataFrame([("a", None), ("b", "2001")], "store_name string, date_original string")
     s = spark.createDataFrame([("a", "1999"), ("b", "1998")], "store_name string, date_original string")
     assert sorted(tuple(x) for x in images.report_with_sidecars(r, s).collect()) == [("a", "1999"), ("b", "2001")]
