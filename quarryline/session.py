@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -26,15 +27,23 @@ def local_session(cores: int | str = 8, app: str = "quarryline", memory: str = "
     return builder.config(map=conf).getOrCreate()
 
 
-def cut(df):
-    """df as a table of its own: a reliable checkpoint in the folder that driver and executors share, which ends its lineage.
-
-    The folder is spark.checkpoint.dir; where none is set, a local session (tests) gets a new one, a cluster must name one.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where none is set, a local session (tests) gets a new one, a cluster must name one."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        path = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not path and not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def mounted_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for files that tasks open themselves, which needs the folder to be mounted."""
+    return f"{shared_folder(spark).removeprefix('file:').replace('///', '/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table of its own: a reliable checkpoint in the shared folder, which ends its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
