@@ -12,8 +12,8 @@ which they never meet within a stretch is walked from its start. So the phrases
 The automata are tables [state, character] for a language's
 ``ALPHABET`` most usual characters; moves by its other characters stand in sorted keys, so that every character counts.
 
-What is learnt is bounded by parameters of ``sample_languages``: about ``docs_each`` documents a language, chosen by hash, of
-a text ``text_chars`` characters, and ``chars_each`` characters of them all. Prediction reads the text alone.
+What is learnt is bounded in labelled rows by a parameter of ``sample_languages``: ``docs_each`` documents a language, chosen by hash,
+with their whole texts. Prediction reads the text alone.
 
 Letters are characters of the Unicode categories L; marks (M), as vowel signs, stay with them. Whatever else stands between
 is one space.
@@ -32,13 +32,13 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.shared import small_batches
 
-#: Bounds of the sample: documents of a language, characters of a text, characters of a language.
-DOCS, SAMPLED_TEXT, CHARS = 150, 20_000, 40_000
+#: Documents of a language that are learnt from.
+DOCS = 20
 #: Characters with a column in the table.
 ALPHABET = 120
 #: Characters of a stretch, and stretches that advance together. Neither changes a result.
@@ -200,20 +200,22 @@ def model_of(samples: tuple[tuple[str, str], ...]) -> LanguageModel:
     return LanguageModel(dict(samples))
 
 
-def sample_languages(docs: DataFrame, learn_from: Column, docs_each: int = DOCS, text_chars: int = SAMPLED_TEXT, chars_each: int = CHARS) -> tuple[tuple[str, str], ...]:
-    """(lang, text sample) of each language among the documents that may be learnt from; bounded by the parameters."""
+def sample_languages(docs: DataFrame, learn_from: Column, docs_each: int = DOCS) -> tuple[tuple[str, str], ...]:
+    """(lang, text sample) of each language: the whole texts of docs_each documents at most that may be learnt from, of equal texts one."""
     own = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # One number a language; the languages' automata stand on the driver anyway.
     n = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
     if not n:
         return ()
-    share = F.create_map(*[F.lit(x) for lang, count in sorted(n.items()) for x in (lang, docs_each / count)])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
-    few = own.where(draw < share[F.col("lang")]).select("lang", F.substring("text", 1, text_chars).alias("text"), draw.alias("draw"))
+    # Some more than are wanted are drawn, as copies of one text count once, and the first of them are taken.
+    share = F.create_map(*[F.lit(x) for lang, count in sorted(n.items()) for x in (lang, 8 * (docs_each + 4) / count)])
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / (1 << 40)
+    few = own.where(draw < share[F.col("lang")]).select("lang", "text", draw.alias("draw")).dropDuplicates(["lang", "text"])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
     texts: dict[str, list[str]] = {}
-    for r in few.dropDuplicates(["lang", "text"]).orderBy("draw", "text").toLocalIterator():
+    for r in few.withColumn("_n", first).where(F.col("_n") <= docs_each).orderBy("lang", "_n").toLocalIterator():
         texts.setdefault(r["lang"], []).append(normalise(r["text"]))
-    return tuple((k, " ".join(v)[:chars_each]) for k, v in sorted(texts.items()) if any(v))
+    return tuple((k, " ".join(v)) for k, v in sorted(texts.items()) if any(v))
 
 
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text_col: str = "text") -> DataFrame:
