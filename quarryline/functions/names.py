@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 PLAIN_ALBUMS = ["", "root", "newzip", "new zip", "stuff", "misc", "miscellaneous", "untitled", "unsorted", "new folder", "images", "image", "photos", "pictures", "temp", "tmp", "output", "scans"]
 # Names that some systems keep for devices.
 DEVICES = ["con", "prn", "aux", "nul", *(f"{d}{n}" for d in ("com", "lpt") for n in range(1, 10))]
+# Names that cameras give, the suffix, characters that names can't have.
 CAMERA = r"(?i)^(?:dcp|dc|p)[\s_-]?\d+$"
 SUFFIX = r"(?i)\.fpx$"
 FORBIDDEN = r'[<>:"/\\|?*\x00-\x1f]'

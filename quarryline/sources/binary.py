@@ -332,10 +332,14 @@ def parse_thumbnails(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     return _rows(df, keys, column, lambda b: [thumbnail(b)], "width int, height int, rgb binary, error string")
 
 
+# PhotoYCC's scales and offsets, as in functions.geometry.
+LUMA, BLUE, BLUE_ZERO, RED, RED_ZERO, GREEN_BLUE, GREEN_RED = 1.3584, 2.2179, 156, 1.8215, 137, 0.194, 0.509
+
+
 def ycc_image(ycc: np.ndarray) -> np.ndarray:
     """(h, w, 3) PhotoYCC bytes to RGB bytes: the same rule as functions.geometry.rgb."""
     y, c1, c2 = (ycc[..., k].astype(np.float64) for k in range(3))
-    luma, blue, red = y * 1.3584, (c1 - 156) * 2.2179, (c2 - 137) * 1.8215
-    return np.clip(np.stack([luma + red, luma - 0.194 * blue - 0.509 * red, luma + blue], -1), 0, 255).astype(np.uint8)
+    luma, blue, red = y * LUMA, (c1 - BLUE_ZERO) * BLUE, (c2 - RED_ZERO) * RED
+    return np.clip(np.stack([luma + red, luma - GREEN_BLUE * blue - GREEN_RED * red, luma + blue], -1), 0, 255).astype(np.uint8)
 
 

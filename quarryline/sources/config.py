@@ -18,18 +18,16 @@ class ConfigError(ValueError):
     """Settings that are refused rather than guessed at."""
 
 
+#: A setting: a key, and a value in a pair of quotes or bare, without the space around it.
+SETTING = re.compile(r"""\s*(?P<key>[^#=\s][^=]*?)\s*=\s*(?:"(?P<double>.*)"|'(?P<single>.*)'|(?P<bare>.*?))\s*""")
+
+
 def read_env(paths: list[str], process: Mapping[str, str] | None = None) -> dict[str, str]:
-    """KEY=value lines of the first file that exists; one pair of quotes goes; the process's own variables win."""
-    out: dict[str, str] = {}
-    first = next((Path(p) for p in paths if Path(p).is_file()), None)
-    for line in first.read_text(encoding="utf-8").splitlines() if first else []:
-        key, eq, value = line.strip().partition("=")
-        if eq and not key.startswith("#") and key.strip():
-            value = value.strip()
-            if len(value) >= 2 and value[0] == value[-1] and value[0] in "'\"":
-                value = value[1:-1]
-            out[key.strip()] = value
-    return out | dict(os.environ if process is None else process)
+    """Settings of the first file that exists, the last of a key; the process's own variables win. Other lines say nothing."""
+    there = [p for p in map(Path, paths) if p.is_file()]
+    lines = there[0].read_text(encoding="utf-8").splitlines() if there else []
+    found = {m["key"]: next(m[g] for g in ("double", "single", "bare") if m[g] is not None) for m in map(SETTING.fullmatch, lines) if m}
+    return {**found, **(os.environ if process is None else process)}
 
 
 def refuse_inside(target: str, source: str) -> None:

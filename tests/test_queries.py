@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quarryline.plans import bindings, more  # noqa: F401
+from quarryline.plans import bindings, files, more, written  # noqa: F401
 
 SF = os.environ.get("QUERY_SF", "/root/testdata/sf0.001")
 
