@@ -55,9 +55,16 @@ def test_stages_follow_one_another(spark):
     assert all(m.encode([r["text"]])[0].astype("<u4").tobytes() == bytes(r["piece_ids"]) for r in coded[:50])
 
 
-def test_null_rows_go_through(spark, tmp_path):
+def test_null_rows_and_clashing_names_go_through(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
-    rows = docs.unionByName(spark.createDataFrame([(1, None, None, None, None), (None, "some words here", "en", None, 3), (2, "", "en", "s", 0), (2, "", "en", "s", 0)], docs.schema)).withColumn("extra", F.lit(1))
-    for _, stage in corpus_pipeline.STAGES:
+    given = [(1, None, None, None, None), (None, "some words here", "en", None, 3), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "some other words stand here", "fr", None, 27), (3, "some other words stand here", "en", None, 27)]
+    rows = docs.unionByName(spark.createDataFrame(given, docs.schema)).withColumns({"_key": F.lit("k"), "_toxicity": F.lit(7.0), "_position": F.col("lang"), "n_removed_": F.lit(1), "s1": F.lit(2)})
+    columns, kept = rows.columns, []
+    for name, stage in corpus_pipeline.STAGES:
         rows = corpus_pipeline.materialize(stage(spark, rows, "/root/testdata/sf0.001"), "nulls")
-    assert rows.count() >= 1
+        assert rows.columns[: len(columns)] == columns and (name == "pieces" or rows.columns == columns), name
+        assert rows.where("_key <> 'k' or _toxicity <> 7 or not (_position <=> lang) or n_removed_ <> 1 or s1 <> 2").isEmpty(), name
+        kept.append(sorted((str(r["doc_id"]), r["text"]) for r in rows.collect()))
+    # Nothing is toxic; null and empty texts are copies, as are those of document 3. One source, so the mix takes its words once; texts without words may go along.
+    assert len(kept[0]) == 6 and kept[1] == kept[2] == [("1", None), ("3", "some other words stand here"), ("None", "some words here")]
+    assert set(kept[3]) <= set(kept[2]) and sum(len((t or "").split()) for _, t in kept[3]) <= 2 * 8 and kept[4] == kept[3] and kept[3]
