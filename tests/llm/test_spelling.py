@@ -85,3 +85,10 @@ def test_empty_table_and_ratio(spark):
     assert spelling_forms(none).count() == 0
     with pytest.raises(ValueError):
         spelling_forms(none, ratio=1)
+
+
+def test_filed_words_are_not_broadcast(spark):
+    words = spark.createDataFrame([(w, 3) for w in ("letter", "lettre", "better", "letters")], "word string, n long")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    for df in (near_words(words), spelling_forms(words)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
