@@ -6,12 +6,16 @@ Coded tiles need an image library that isn't here; they come out as an error of
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.session import many_tasks
 from quarryline.sources.binary import ycc_image
 
 # How a tile is stored, and the table that stands in where a file's own is missing.
@@ -19,6 +23,9 @@ RAW, FILL, CODED = 0, 1, 2
 SHARED_TABLE = 254
 SIDE = 64
 IMAGE = "width int, height int, rgb binary, pixel_sha256 string, error string"
+NAMES = [x.split()[0] for x in IMAGE.split(", ")]
+#: Bytes and rows of a batch of images.
+BATCH_BYTES, BATCH_ROWS = 16 << 20, 5000
 
 
 def tile_tables(tiles: DataFrame, tables: DataFrame) -> DataFrame:
@@ -42,46 +49,71 @@ def decode_tile(kind: int, data: bytes | None, subtype: int, channels: int = 3)
     raise ValueError(f"tiles of kind {kind} need an image library")
 
 
+def _picture(width: int, height: int, colour_space: str, tiles: list[tuple]) -> bytes:
+    """The RGB bytes of (tile_ix, compression, subtype, data); raises ValueError for tiles that make no image."""
+    across, down = -(-width // SIDE), -(-height // SIDE)
+    if sorted(t[0] for t in tiles) != list(range(across * down)):
+        raise ValueError(f"{len(tiles)} tiles for {across} by {down}")
+    canvas = np.empty((down * SIDE, across * SIDE, 3), np.uint8)
+    for ix, kind, sub, data in tiles:
+        r, c = divmod(ix, across)
+        canvas[r * SIDE : (r + 1) * SIDE, c * SIDE : (c + 1) * SIDE] = decode_tile(kind, data, sub)
+    canvas = canvas[:height, :width]
+    return (ycc_image(canvas) if colour_space == "PhotoYCC" else canvas).tobytes()
+
+
 def stitch(tiles: DataFrame) -> DataFrame:
     """(file, width, height, colour_space, tile_ix, compression, subtype, data) -> one image per file, or its error.
 
-    A file's tiles are one image, so a group is bounded by what a picture holds.
+    A file's tiles are one image, so what is held at once is bounded by what a picture holds. Files are dealt out by hash into a number
+    of tasks that doesn't come from bytes, as tiles that compress well would make few of them.
     """
-
-    def whole(d: pd.DataFrame) -> pd.DataFrame:
-        width, height = int(d["width"].iloc[0]), int(d["height"].iloc[0])
-        across, down = -(-width // SIDE), -(-height // SIDE)
-        error, rgb = None, None
-        try:
-            if sorted(d["tile_ix"]) != list(range(across * down)):
-                raise ValueError(f"{len(d)} tiles for {across} by {down}")
-            canvas = np.zeros((down * SIDE, across * SIDE, 3), np.uint8)
-            for ix, kind, sub, data in zip(d["tile_ix"], d["compression"], d["subtype"], d["data"], strict=True):
-                r, c = divmod(int(ix), across)
-                canvas[r * SIDE : (r + 1) * SIDE, c * SIDE : (c + 1) * SIDE] = decode_tile(int(kind), data, int(sub))
-            canvas = canvas[:height, :width]
-            rgb = (ycc_image(canvas) if d["colour_space"].iloc[0] == "PhotoYCC" else canvas).tobytes()
-        except ValueError as e:
-            error = str(e)
-        digest = hashlib.sha256(rgb).hexdigest() if rgb is not None else None
-        return pd.DataFrame({"file": [d["file"].iloc[0]], "width": [width], "height": [height], "rgb": [rgb], "pixel_sha256": [digest], "error": [error]})
-
     kind = dict(tiles.dtypes)["file"]
-    return tiles.groupBy("file").applyInPandas(whole, f"file {kind}, {IMAGE}")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        types = [first.schema.field("file").type, pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
+        done, held = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=["file", *NAMES])
+
+        for file, group in groupby(rows(chain([first], batches)), key=lambda r: r[0]):
+            group = list(group)
+            width, height, colour_space = int(group[0][1]), int(group[0][2]), group[0][3]
+            rgb, error = None, None
+            try:
+                rgb = _picture(width, height, colour_space, [r[4:] for r in group])
+            except ValueError as e:
+                error = str(e)
+            done.append((file, width, height, rgb, None if rgb is None else hashlib.sha256(rgb).hexdigest(), error))
+            held += len(rgb or b"")
+            if held >= BATCH_BYTES or len(done) >= BATCH_ROWS:
+                yield batch()
+                done, held = [], 0
+        if done:
+            yield batch()
+
+    d = tiles.select("file", "width", "height", "colour_space", *(F.col(c).cast("int") for c in ("tile_ix", "compression", "subtype")), "data")
+    return d.repartition(many_tasks(tiles.sparkSession), "file").sortWithinPartitions("file").mapInArrow(whole, f"file {kind}, {IMAGE}")
 
 
 def turn_images(images: DataFrame) -> DataFrame:
-    """width, height, rgb with rotation 0 or 90 -> turned against the clock; a crop travels as a box and cuts nothing here."""
+    """width, height, rgb with rotation 0 or 90 -> turned against the clock; a crop travels as a box and cuts nothing here. Only images that turn go to Python."""
 
     @F.pandas_udf("binary")
-    def turned(width: pd.Series, height: pd.Series, rgb: pd.Series, rotation: pd.Series) -> pd.Series:
-        out = []
-        for w, h, raw, r in zip(width, height, rgb, rotation, strict=True):
-            out.append(raw if raw is None or r != 90 else np.rot90(np.frombuffer(raw, np.uint8).reshape(h, w, 3)).tobytes())
-        return pd.Series(out, dtype=object)
+    def turned(width: pd.Series, height: pd.Series, rgb: pd.Series) -> pd.Series:
+        return pd.Series([None if raw is None else np.rot90(np.frombuffer(raw, np.uint8).reshape(int(h), int(w), 3)).tobytes() for w, h, raw in zip(width, height, rgb, strict=True)], dtype=object)
 
     swap = F.col("rotation") == 90
-    return images.withColumn("rgb", turned("width", "height", "rgb", "rotation")).withColumns({"width": F.when(swap, F.col("height")).otherwise(F.col("width")), "height": F.when(swap, F.col("width")).otherwise(F.col("height"))})
+    done = images.withColumn("rgb", F.when(swap, turned("width", "height", F.when(swap, F.col("rgb")))).otherwise(F.col("rgb")))
+    return done.withColumns({"width": F.when(swap, F.col("height")).otherwise(F.col("width")), "height": F.when(swap, F.col("width")).otherwise(F.col("height"))})
 
 
 def resolution_index(wanted: Column, count: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarryline.session import many_tasks
+
 #: Album names that tell their date in every way, and some in none.
 ALBUM = """CASE o_orderkey % 11
  WHEN 0 THEN 'Beach ' || CAST(year(o_orderdate) AS STRING) || '-' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || '-' || lpad(CAST(day(o_orderdate) AS STRING), 2, '0')
@@ -53,6 +55,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
+    """A table's rows over all cores: a small file is one task, however much a query makes of each of its rows."""
+    return read(spark, sf_dir, table).repartition(many_tasks(spark), key)
+
+
 def with_shapes(*shapes: str) -> str:
     """The shapes as common table expressions for DuckDB."""
     return "WITH " + ", ".join(f"{n} AS ({SHAPES[n]})" for n in shapes) + " "

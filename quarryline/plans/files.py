@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.operators import images
-from quarryline.plans.adapters import read
+from quarryline.plans.adapters import dealt, read
 from quarryline.plans.bindings import _le, query
 from quarryline.session import cut, mounted_folder
 from quarryline.sinks import catalogue as sink
@@ -158,7 +158,7 @@ def code_pages(spark, d):
     page = F.when(k % 3 == 0, "E404").when(k % 3 == 1, "B501").otherwise("E304")
     body = F.concat(F.lit("02000000"), page, F.lit("0000" + "1E000000" + "06000000" + "636166E9"), F.hex(F.encode((k % 10).cast("string"), "UTF-8")), F.lit("000000"))
     head = F.lit("FEFF" + "0000" + "00000000" + "00" * 16 + "01000000" + "02" * 16 + "30000000" + "30000000" + "02000000" + "01000000" + "18000000" + "02000000" + "20000000")
-    c = read(spark, d, "customer").select(k, F.unhex(F.concat(head, body)).alias("data"))
+    c = dealt(spark, d, "customer", "c_custkey").select(k, F.unhex(F.concat(head, body)).alias("data"))
     return binary.parse_properties(c, ["c_custkey"], "data").where("pid = 2").select(k, F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v").alias("value"))
 
 
@@ -170,7 +170,7 @@ def colour_descriptors(spark, d):
     channels = F.when(k % 3 == 0, "000003000100030002000300").when(k % 3 == 1, "000002000100020002000200").otherwise("010000000200000003000000")
     blob = F.concat(F.lit("41000000" + "14000000"), _le(k % 2), F.lit("03000000"), channels)
     head = F.lit("FEFF" + "0000" + "00000000" + "00" * 16 + "01000000" + "02" * 16 + "30000000" + "2C000000" + "01000000" + "02000002" + "10000000")
-    c = read(spark, d, "customer").select(k, F.unhex(F.concat(head, blob)).alias("data"))
+    c = dealt(spark, d, "customer", "c_custkey").select(k, F.unhex(F.concat(head, blob)).alias("data"))
     x = properties.derived(binary.parse_properties(c, ["c_custkey"], "data"), ["c_custkey"])
     return x.select(k, "colour.colour_space", "colour.decoded_as", "colour.assumed", "colour.uncalibrated")
 
@@ -181,7 +181,7 @@ def stitched_images(spark, d):
     k, w, h = F.col("p_partkey"), (F.col("p_size") + 65).cast("int"), (F.col("p_partkey") % 9 + 60).cast("int")
     first = k % 26 + 65
     down = F.ceil(h / 64).cast("int")
-    t = read(spark, d, "part").select(k.alias("file"), w.alias("width"), h.alias("height"), F.lit("NIF_RGB").alias("colour_space"), first.alias("c"), F.explode(F.sequence(F.lit(0), F.ceil(w / 64).cast("int") * down - 1)).alias("tile_ix"))
+    t = dealt(spark, d, "part", "p_partkey").select(k.alias("file"), w.alias("width"), h.alias("height"), F.lit("NIF_RGB").alias("colour_space"), first.alias("c"), F.explode(F.sequence(F.lit(0), F.ceil(w / 64).cast("int") * down - 1)).alias("tile_ix"))
     kind = F.when((F.col("file") % 5 == 0) & (F.col("tile_ix") == 1), images.CODED).when(F.col("tile_ix") % 2 == 0, images.RAW).otherwise(images.FILL)
     raw = F.encode(F.repeat(F.concat(F.char("c"), F.lit("zx")), images.SIDE * images.SIDE), "UTF-8")
     tiles = t.withColumns({"compression": kind, "subtype": (F.col("c") + ord("z") * 256 + ord("x") * 65536).cast("int"), "data": F.when(F.col("tile_ix") % 2 == 0, raw)})

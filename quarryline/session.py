@@ -43,6 +43,11 @@ def mounted_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).removeprefix('file:').replace('///', '/')}/{name}-{uuid.uuid4().hex}"
 
 
+def many_tasks(spark: SparkSession) -> int:
+    """Tasks for work that bytes don't tell of: several a core, or as many as the session shuffles into."""
+    return max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a table of its own: a reliable checkpoint in the shared folder, which ends its lineage."""
     shared_folder(df.sparkSession)

@@ -44,3 +44,10 @@ def test_reports_and_profiles(spark):
     r = spark.createDataFrame([("a", None), ("b", "2001")], "store_name string, date_original string")
     s = spark.createDataFrame([("a", "1999"), ("b", "1998")], "store_name string, date_original string")
     assert sorted(tuple(x) for x in images.report_with_sidecars(r, s).collect()) == [("a", "1999"), ("b", "2001")]
+
+
+def test_files_in_few_bytes_are_dealt_out(spark):
+    rows = spark.range(4000).select(F.col("id").alias("file"), F.lit(64).alias("width"), F.lit(64).alias("height"), F.lit("NIF_RGB").alias("colour_space"), F.lit(0).alias("tile_ix"), F.lit(images.FILL).alias("compression"), F.lit(7).alias("subtype"), F.lit(None).cast("binary").alias("data"))
+    made = images.stitch(rows.coalesce(1)).select("file", "pixel_sha256", F.spark_partition_id().alias("task")).collect()
+    assert len(made) == len({r["file"] for r in made}) == 4000 and {r["pixel_sha256"] for r in made} == {hashlib.sha256(b"\7\0\0" * 4096).hexdigest()}
+    assert len({r["task"] for r in made}) >= 8
