@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarryline.operators import compare, outputs
-from quarryline.plans.adapters import read
+from quarryline.plans.adapters import dealt, read
 from quarryline.plans.bindings import query
 from quarryline.sinks import catalogue as sink
 from quarryline.sinks import image_files
@@ -40,7 +40,7 @@ def exif_read_back(spark, d):
     dated = F.concat(F.lit("4D4D002A000000080002" + "010F000200000007" + "00000026" + "8769000400000001" + "0000002E" + "00000000"), _hex(make), F.lit("0000" + "0001" + "9003000200000014" + "00000040" + "00000000"), _hex(stamp), F.lit("00"))
     undated = F.concat(F.lit("4D4D002A000000080001" + "010F000200000007" + "0000001A" + "00000000"), _hex(make), F.lit("00"))
     jpeg = _jpeg(("FFE1", F.concat(F.lit("457869660000"), F.when(k % 3 > 0, dated).otherwise(undated))))
-    c = read(spark, d, "customer").select(k, F.when(k % 2 == 0, tiff).otherwise(jpeg).alias("content"))
+    c = dealt(spark, d, "customer", "c_custkey").select(k, F.when(k % 2 == 0, tiff).otherwise(jpeg).alias("content"))
     return tags.tag_rows(tags.read_tags(c), "c_custkey")
 
 
@@ -64,7 +64,7 @@ def xmp_read_back(spark, d):
         .when(j == 4, wrap(F.concat(F.lit('<rdf:Description dc:title="'), v, F.lit(' &amp; co">')), tag("subject", "Bag", li(F.lit("a")), li(F.lit("b")), li(F.lit("c"))), F.lit("</rdf:Description>")))
     )
     content = F.concat(F.lit("687474703A2F2F6E732E61646F62652E636F6D2F7861702F312E302F00"), _hex(packet))
-    r = tags.read_tags(read(spark, d, "customer").select(k, _jpeg(("FFE1", content)).alias("content")))
+    r = tags.read_tags(dealt(spark, d, "customer", "c_custkey").select(k, _jpeg(("FFE1", content)).alias("content")))
     of = lambda name: F.transform(F.filter("tags", lambda x: x["tag"] == name), lambda x: x["value"])
     return r.select(k, "error", F.get(of("xmp:title"), F.lit(0)).alias("title"), F.array_join(of("xmp:subject"), ",").alias("subjects"))
 
@@ -78,7 +78,7 @@ def iptc_read_back(spark, d):
     j = k % 4
     block = F.when(j == 0, F.concat(record(_hex(v)), long)).when(j == 1, F.concat(record(F.lit("4772FC6E")), record(_hex(v)))).when(j == 2, record(F.lit("C3A9"))).otherwise(F.concat(F.lit("1C02190100"), _hex(v)))
     resource = F.concat(F.lit("50686F746F73686F7020332E3000" + "3842494D" + "0425" + "0000" + "00000003" + "01020300" + "3842494D" + "0404" + "0161"), F.lpad(F.hex((F.length(block) / 2).cast("long")), 8, "0"), block)
-    r = tags.read_tags(read(spark, d, "part").select(k, _jpeg(("FFED", resource)).alias("content")))
+    r = tags.read_tags(dealt(spark, d, "part", "p_partkey").select(k, _jpeg(("FFED", resource)).alias("content")))
     return r.select(k, "error", F.array_join(F.transform("tags", lambda x: x["value"]), "|").alias("keywords"))
 
 
@@ -88,7 +88,7 @@ def iptc_read_back(spark, d):
 def read_back_problems(spark, d):
     k = F.col("c_custkey")
     j = k % 10
-    c = read(spark, d, "customer")
+    c = dealt(spark, d, "customer", "c_custkey")
     stamp = F.lit("1999-01-02 03:04:05").cast("timestamp_ntz")
     facts = c.select(k.alias("path"), F.col("c_mktsegment").alias("make"), F.when(j == 5, stamp).alias("original"), F.array(F.lit("album"), F.col("c_mktsegment")).alias("keywords"), F.col("c_name").alias("title"))
     done = c.select(k.alias("path"), F.when(j == 2, "other").otherwise(F.col("c_mktsegment")).alias("make"), F.when(j.isin(3, 5), stamp).alias("original"), F.when(j != 4, F.array(F.lit("album"), F.col("c_mktsegment"))).alias("keywords"), F.col("c_name").alias("title"))
@@ -131,7 +131,7 @@ def stored_pixels(spark, d):
     rgb = F.encode(F.repeat(F.concat(F.char(k % 50 + 65), F.lit("z"), F.char(w % 60 + 48)), w * h), "UTF-8")
     # Rows whose bytes make no image give no file.
     cut = F.when(k % 8 < 7, rgb).otherwise(F.substring(rgb, 2, 1 << 30))
-    p = read(spark, d, "part").select(k, w.alias("w"), h.alias("h"), cut.alias("rgb"))
+    p = dealt(spark, d, "part", "p_partkey").select(k, w.alias("w"), h.alias("h"), cut.alias("rgb"))
     both = [p.select(k, F.lit(f).alias("fmt"), image_files.encoded(f, F.col("w"), F.col("h"), F.col("rgb")).alias("content")) for f in ("tiff", "png")]
     return both[0].unionByName(both[1]).select(k, "fmt", image_files.stored_pixels(F.col("content")).alias("x")).select(k, "fmt", "x.width", "x.height", "x.pixel_sha256")
 
@@ -142,7 +142,7 @@ def header_checks(spark, d):
     k, w = F.col("p_partkey"), (F.col("p_size") + 40).cast("long")
     tiff = image_files.encoded("tiff", w.cast("int"), F.lit(48), F.unhex(F.repeat(F.lit("01"), (w * 48 * 3).cast("int"))))
     jpeg = _jpeg(width=w, sampling=F.when(k % 3 == 0, "22").otherwise("11"))
-    p = read(spark, d, "part").select(k, w.alias("declared_width"), F.when(k % 2 == 0, tiff).otherwise(jpeg).alias("content"))
+    p = dealt(spark, d, "part", "p_partkey").select(k, w.alias("declared_width"), F.when(k % 2 == 0, tiff).otherwise(jpeg).alias("content"))
     facts = tags.read_tags(p)
     size = F.struct((F.col("declared_width") + F.when(k % 5 == 0, 1).otherwise(0)).alias("width"), F.lit(48).cast("long").alias("height"))
     none = F.lit(None).cast("struct<width:bigint,height:bigint>")
