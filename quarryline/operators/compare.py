@@ -92,15 +92,21 @@ def refused_entries(claims: DataFrame, taken: DataFrame | None = None) -> DataFr
         won, open_ = cut(won), cut(open_)
 
 
+def tag_problem(forbidden: Column, value: Column, values: Column) -> Column:
+    """What is wrong with the values (none: an empty array) of a tag of which one should be value, or none be there; else null."""
+    there = F.size(values) > 0
+    same = F.exists(values, lambda v: v.eqNullSafe(value))
+    return F.when(forbidden, F.when(there, "forbidden")).when(~there, "missing").when(~same, "different")
+
+
 def check_tags(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(path, tag, value, forbidden) against (path, tag, value): problems.
 
     A tag may stand in several rows, and one of them must have the value. A tag that is there with null is there.
     """
     a = actual.groupBy("path", "tag").agg(F.collect_set(F.struct(F.col("value").alias("v"))).alias("values"))
-    there = F.col("values").isNotNull()
-    same = F.exists("values", lambda x: x["v"].eqNullSafe(F.col("value")))
-    problem = F.when(F.col("forbidden"), F.when(there, "forbidden")).when(~there, "missing").when(~same, "different")
+    values = F.coalesce(F.transform("values", lambda x: x["v"]), F.array().cast("array<string>"))
+    problem = tag_problem(F.col("forbidden"), F.col("value"), values)
     return expected.join(a, ["path", "tag"], "left").select("path", "tag", problem.alias("problem")).where("problem is not null")
 
 

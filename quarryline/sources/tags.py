@@ -260,11 +260,17 @@ def read_back_problems(expected: DataFrame, read: DataFrame) -> DataFrame:
 
     A file that can't be read, or isn't there, has one problem with a null tag, and its other checks are left out.
     """
-    from quarryline.operators.compare import check_tags
-
-    state = read.select("path", F.concat(F.lit("tags can't be read: "), "error").alias("problem"), F.lit(True).alias("there"))
-    files = expected.select("path").distinct().join(state, "path", "left")
-    files = files.withColumn("problem", F.when(F.col("there").isNull(), "no such file").otherwise(F.col("problem")))
-    good = files.where("problem is null").select("path")
-    failed = files.where("problem is not null").select("path", F.lit(None).cast("string").alias("tag"), "problem")
-    return failed.unionByName(check_tags(expected.join(good, "path", "left_semi"), tag_rows(read, "path")))
+    from quarryline.operators.compare import tag_problem
+
+    # One row a path on either side: files are read once, and what is expected of a file meets all its tags in a row.
+    asked = expected.groupBy("path").agg(F.collect_list(F.struct("tag", "value", "forbidden")).alias("asked"))
+    found = read.groupBy("path").agg(F.collect_list(F.concat(F.lit("tags can't be read: "), "error")).alias("failed"), F.count("*").alias("files"), F.flatten(F.collect_list("tags")).alias("tags"))
+    d = asked.join(found, "path", "left")
+    row = lambda tag, problem: F.struct(tag.alias("tag"), problem.alias("problem"))
+    none = F.lit(None).cast("string")
+    failed = F.transform(F.when(F.col("files").isNull(), F.array(F.lit("no such file"))).otherwise(F.col("failed")), lambda p: row(none, p))
+    # Files that can't be read have no tags.
+    values = lambda tag: F.transform(F.filter("tags", lambda t: t["tag"] == tag), lambda t: t["value"])
+    checked = F.transform("asked", lambda e: row(e["tag"], tag_problem(e["forbidden"], e["value"], values(e["tag"]))))
+    some = F.when(F.col("files") > F.size("failed"), F.filter(checked, lambda r: r["problem"].isNotNull()))
+    return d.select("path", F.explode(F.concat(failed, F.coalesce(some, F.array().cast("array<struct<tag:string,problem:string>>")))).alias("_p")).select("path", "_p.*")

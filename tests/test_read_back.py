@@ -124,3 +124,21 @@ def test_a_job_that_fails_leaves_nothing(spark, tmp_path):
         with pytest.raises(Exception, match=words):
             I.write_images(df, str(tmp_path / "out"))
         assert not os.path.exists(tmp_path / "out") or os.listdir(tmp_path / "out") == []
+
+
+@pytest.mark.parametrize("name", ["iptc_read_back", "read_back_problems", "exif_read_back", "xmp_read_back", "stored_pixels", "header_checks", "stitched_images", "code_pages"])
+def test_files_made_of_a_small_table_are_many_tasks(spark, name):
+    from quarryline.plans import files, written  # noqa: F401
+    from quarryline.plans.bindings import QUERIES
+
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("p")).distinct().count() >= 8
+
+
+def test_files_are_read_once_and_problems_stay_a_row_each(spark):
+    want = [("a", "iptc:Keywords", "x", False)] * 2 + [("a", "exif:Make", None, True), ("b", "exif:Make", "M", False), ("b", "exif:Model", "N", False), ("c", "exif:Make", "M", False), (None, "exif:Make", "M", False)]
+    tags = [("exif:Make", "M")]
+    read = spark.createDataFrame([("a", tags, None), ("b", [], "one"), ("b", [], "two"), ("b", tags, None), ("d", tags, None)], "path string, tags array<struct<tag:string,value:string>>, error string")
+    out = T.read_back_problems(spark.createDataFrame(want, "path string, tag string, value string, forbidden boolean"), read)
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    assert got == sorted([("a", "exif:Make", "forbidden"), ("a", "iptc:Keywords", "missing"), ("a", "iptc:Keywords", "missing"), ("b", "exif:Model", "missing"), ("b", None, "tags can't be read: one"), ("b", None, "tags can't be read: two"), ("c", None, "no such file"), (None, None, "no such file")], key=str)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + out._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 2
