@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import os
+import shutil
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.session import many_tasks
+
 PIECE = 1 << 20
+#: What a manifest's header says of the lines below it.
+LAYOUT, BY_LINE = "layout", "an entry a line"
 #: Larger blobs stand in a sidecar by digest and length.
 INLINE = 64 * 1024
 
@@ -24,25 +30,73 @@ def write_manifest(entries: DataFrame, path: str) -> None:
 
 
 def export_manifest(entries: DataFrame, counts: DataFrame, verified: bool, path: str) -> None:
-    """The manifest as one ASCII JSON document for people; rows come one partition at a time, and the file is put in place whole."""
+    """The manifest as one ASCII JSON document for people, an entry a line; the file is put in place whole.
+
+    Tasks write their lines to parts in a folder beside it, then copy them to their places in the document; the driver places the parts
+    by their sizes and writes the header and the end. The folder must be mounted by driver and executors.
+    """
+    spark = entries.sparkSession
     temporary = f"{path}.{uuid.uuid4().hex}"
-    with open(temporary, "w", encoding="ascii") as f:
-        f.write(json.dumps({"manifest_version": 1, "verification": {"ok": verified}, "counts": counts.first().asDict()})[:-1] + ', "entries": [')
-        for k, row in enumerate(entries.orderBy("sha256").toLocalIterator()):
-            f.write((",\n" if k else "\n") + json.dumps(row.asDict(recursive=True), default=str))
-        f.write("\n]}\n")
-    os.replace(temporary, path)
+    folder = f"{temporary}.parts"
+    os.makedirs(folder)
+
+    def write(number: int, rows: Iterator[Row]) -> Iterator[tuple[int, str, int]]:
+        # A task that runs twice writes another file; the one whose name comes back counts.
+        part, size = os.path.join(folder, uuid.uuid4().hex), 0
+        with open(part, "wb") as f:
+            for row in rows:
+                line = json.dumps(row.asDict(recursive=True), default=str).encode("ascii")
+                size += f.write(b",\n" + line if size else line)
+        yield number, part, size
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            for part, at, more in zip(d["part"], d["at"], d["more"], strict=True):
+                with open(part, "rb") as a, open(temporary, "r+b") as b:
+                    b.seek(at)
+                    shutil.copyfileobj(a, b, PIECE)
+                    b.write(b",\n" if more else b"\n]}\n")
+            yield d[["at"]]
+
+    try:
+        parts = [(part, size) for _, part, size in sorted(entries.orderBy("sha256").rdd.mapPartitionsWithIndex(write).collect()) if size]
+        head = json.dumps({"manifest_version": 1, LAYOUT: BY_LINE, "verification": {"ok": verified}, "counts": counts.first().asDict()})[:-1] + ', "entries": [\n'
+        at, placed = len(head), []
+        for k, (part, size) in enumerate(parts, 1):
+            placed.append((part, at, k < len(parts)))
+            at += size + 2
+        with open(temporary, "w", encoding="ascii", newline="") as f:
+            f.write(head if parts else head + "]}\n")
+        if placed:
+            spark.createDataFrame(placed, "part string, at long, more boolean").repartition(min(len(placed), many_tasks(spark))).mapInPandas(place, "at long").count()
+        os.replace(temporary, path)
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(temporary)
 
 
 ENTRY = "sha256 string, size long, store_name string, preferred_name string, preferred_relpath string, is_human_named boolean, albums array<string>, trees array<string>, sources array<string>, duplicate_count long"
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(header, entries) of an exported manifest; a header without a verification is unverified."""
-    whole = spark.read.schema(f"manifest_version int, verification struct<ok boolean>, counts map<string, long>, entries array<struct<{ENTRY.replace(' ', ': ').replace(',:', ',')}>>").option("multiLine", "true").json(path)
+    """(header, entries) of an exported manifest; a header without a verification is unverified.
+
+    A document that says that it holds an entry a line is read by many tasks; any other is read whole, by one.
+    """
+    head = "manifest_version int, verification struct<ok boolean>, counts map<string, long>"
+    entry = f"struct<{ENTRY.replace(' ', ': ').replace(',:', ',')}>"
+    first = spark.read.text(path).select(F.substring("value", 1, PIECE).alias("v")).first()
+    if first is not None and first["v"].startswith(f'{{"manifest_version": 1, "{LAYOUT}": "{BY_LINE}"') and first["v"].endswith('"entries": ['):
+        header = spark.createDataFrame([(first["v"] + "]}",)], "v string").select(F.from_json("v", head).alias("h")).select("h.*")
+        # The header is the one line that names the layout first; an entry begins with a name of its own.
+        lines = spark.read.text(path).where(~F.startswith("value", F.lit('{"manifest_version": ')) & (F.col("value") != "]}"))
+        return header, lines.select(F.from_json(F.regexp_replace("value", ",$", ""), entry).alias("e")).select("e.*")
+    whole = spark.read.schema(f"{head}, entries array<{entry}>").option("multiLine", "true").json(path)
     return whole.drop("entries"), whole.select(F.explode("entries").alias("e")).select("e.*")
 
 
+
 def sidecar_documents(entries: DataFrame, extracted: DataFrame) -> DataFrame:
     """An entry and what was extracted from its file -> (sha256, sidecar): one JSON document of 16 keys, with defaults.
 

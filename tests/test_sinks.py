@@ -2,6 +2,7 @@ import datetime as dt
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarryline.functions import properties
@@ -65,3 +66,31 @@ def test_colours_and_dates(spark):
     r = spark.createDataFrame([("PhotoYCC", None, "x"), ("odd", "2001-02-03 04:05:06", "y")], "c string, s string, d string").select(properties.colour_space(F.col("c")), properties.scan_date(F.col("s"), F.col("d")), properties.make_and_model(F.lit(" "), F.col("d"))).collect()
     assert tuple(r[0][0]) == ("PhotoYCC", False) and tuple(r[1][0]) == ("NIF_RGB", True)
     assert r[0][1]["error"] == "unreadable date x" and r[1][1]["scan_date"] == dt.datetime(2001, 2, 3, 4, 5, 6) and r[0][2] == "x"
+
+
+def test_manifest_is_written_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    n, path = 3000, str(tmp_path / "m.json")
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *a, **k: pytest.fail("entries go through the driver"))
+    e = spark.range(n).repartition(5).select(F.sha2(F.col("id").cast("string"), 256).alias("sha256"), F.col("id").alias("size"), F.lit('a\n"]}\n,é').alias("preferred_name"), F.array(F.lit("x,"), F.lit(None)).alias("albums"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        sinks.export_manifest(e, e.agg(F.count("*").alias("files")), False, path)
+        text = (tmp_path / "m.json").read_text()
+        data = json.loads(text)
+        assert [x["sha256"] for x in data["entries"]] == sorted(r["sha256"] for r in e.collect()) and text.count("\n") == n + 2
+        header, back = sinks.read_manifest(spark, path)
+        assert not header.select(sinks.is_verified(header)).first()[0] and header.first()["counts"] == {"files": n}
+        assert sorted(map(str, back.select(e.columns).collect())) == sorted(map(str, e.collect()))
+        assert back.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        # Others' documents are read whole, whatever their lines; an empty one has no entries.
+        (tmp_path / "o.json").write_text(json.dumps(data, indent=1))
+        assert sinks.read_manifest(spark, str(tmp_path / "o.json"))[1].count() == n
+        sinks.export_manifest(e.limit(0), e.agg(F.count("*").alias("files")), True, path)
+        assert json.loads((tmp_path / "m.json").read_text())["entries"] == [] and sinks.read_manifest(spark, path)[1].count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["m.json", "o.json"]
