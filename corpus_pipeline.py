@@ -21,6 +21,8 @@ TOXIC_FROM = 0.7
 NEAR_BITS = 7
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: Words of a passage that goes where it is repeated, also if it has fewer bytes than op9's strings.
+PASSAGE_WORDS = 51
 VOCABULARY = "piece_bpe_32k.model"
 
 
@@ -37,8 +39,8 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go; a document of which nothing but white space is left goes too. A cut character goes whole."""
-    cut = remove_repeats(docs, text=True)
+    """Repeated passages go, by bytes and of over 50 words; a document of which nothing but white space is left goes too. A cut character goes whole."""
+    cut = remove_repeats(docs, text=True, words=PASSAGE_WORDS)
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
     out = cut.withColumn("text", text).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)

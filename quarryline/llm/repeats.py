@@ -19,6 +19,11 @@ pointers. No suffix is renamed recursively.
 
 An anchor with more than ``group_limit`` different contexts doesn't go to one task: its windows are counted by hash.
 
+With ``words``, every so many words that also start anywhere else go too, from the first word's first byte to the last
+one's last, whatever white space stands between them. These are found in the same way and in the same passes, in a second
+form of the text that has the 8-byte hash of each word: there the windows are of 8 * ``words`` bytes, and those that start
+with a word count. The lowest bit of an anchor's hash tells the form.
+
 Defined results: null text is empty; texts shorter than ``length`` keep all; copies and repeated rows remove each other
 whole; ties don't arise; an empty table gives no rows; extra columns stay with remove_repeats.
 """
@@ -26,6 +31,7 @@ whole; ties don't arise; an empty table gives no rows; extra columns stay with r
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +45,9 @@ from quarryline.llm.shared import give_back, materialize, small_batches, text_or
 LENGTH = 400
 GRAM = 32
 SYMBOL = 32
+#: Bytes of a word's hash, and of the gram of a text's words: that of eight words, as fewer are shared by chance.
+WORD = 8
+WORD_GRAM = 64
 #: Different contexts of one anchor that a task takes.
 GROUP_LIMIT = 50_000
 #: Contexts that are sorted together.
@@ -125,21 +134,34 @@ def shared_prefixes(text: list[int], order: list[int]) -> list[int]:
     return out
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each place, by doubling."""
+class WordHashes(dict):
+    """Hash of each word met; to be dropped with the batch."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = out = xxhash.xxh64_digest(word)
+        return out
+
+
+def form_of(data: bytes, unit: int, seen: WordHashes) -> bytes:
+    """The text as it stands (unit 0), or the hashes of its words (runs of other bytes than white space; unit 1)."""
+    return b"".join(map(seen.__getitem__, data.split())) if unit else data
+
+
+def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Hash of the gram's bytes from each place, by doubling."""
     h = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(ODD[0])
     size, k = 1, 0
-    while size < GRAM:
+    while size < gram:
         h = h[: len(h) - size] * np.uint64(ODD[k % len(ODD)]) + (h[size:] ^ (h[size:] >> np.uint64(29)))
         size, k = 2 * size, k + 1
     h ^= h >> np.uint64(32)
     return h * np.uint64(ODD[1])
 
 
-def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per anchor in order: its hash, place, and the first and last start of the windows that belong to it."""
-    h = gram_hashes(np.frombuffer(data, np.uint8))
-    width = length - GRAM + 1
+    h = gram_hashes(np.frombuffer(data, np.uint8), gram)
+    width = length - gram + 1
     n = len(h)
     packed = ((h >> INDEX_BITS) << INDEX_BITS) | np.arange(n, dtype=np.uint64)
     # Least of each window: running minima forwards and backwards in runs of the window's width.
@@ -225,18 +247,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), text.alias("text"))
 
 
-def _find_anchors(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """Anchors of texts, with a hash c of the context.
+def _find_anchors(batches: Iterator[pd.DataFrame], lengths: list[int]) -> Iterator[pd.DataFrame]:
+    """Anchors of texts in each form, with a hash c of the context.
 
     A context that a text holds more than twice gives two rows; runs of contexts that it holds twice are a row with own = 1.
     """
     for d in batches:
-        parts = []
-        for k1, k2, t in zip(d["k1"], d["k2"], d["text"], strict=True):
-            data = t.encode("utf-8", "replace")
+        parts, seen = [], WordHashes()
+        forms = ((k1, k2, raw, u) for k1, k2, t in zip(d["k1"], d["k2"], d["text"], strict=True) for raw in [t.encode("utf-8", "replace")] for u in range(len(lengths)))
+        for k1, k2, raw, u in forms:
+            data, length = form_of(raw, u, seen), lengths[u]
             if len(data) < length:
                 continue
-            h, at, q0, q1 = anchors(data, length)
+            h, at, q0, q1 = anchors(data, length, WORD_GRAM if u else GRAM)
             c = np.array([xxhash.xxh3_64_intdigest(data[a:b], p - a) >> 1 for a, b, p in zip(q0.tolist(), (q1 + length).tolist(), at.tolist(), strict=True)], np.int64)
             _, back, times = np.unique(c, return_inverse=True, return_counts=True)
             twice = times[back] > 1
@@ -251,19 +274,21 @@ def _find_anchors(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.D
                 own = np.r_[np.zeros(keep.sum(), np.int64), np.ones(len(a), np.int64)]
             else:
                 own = np.zeros(len(c), np.int64)
-            parts.append((np.full(len(c), k1), np.full(len(c), k2), h, c, at, q0, q1, own))
+            parts.append((np.full(len(c), k1), np.full(len(c), k2), h & -2 | u, c, at, q0, q1, own))
         if parts:
             yield pd.DataFrame({n: np.concatenate([p[i] for p in parts]) for i, n in enumerate(("k1", "k2", "h", "c", "p", "q0", "q1", "own"))})
 
 
-def _cut_contexts(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+def _cut_contexts(batches: Iterator[pd.DataFrame], lengths: list[int]) -> Iterator[pd.DataFrame]:
     """(text, its candidates) -> the bytes of each candidate's context."""
     for d in batches:
-        rows = []
+        rows, seen = [], WordHashes()
         for k1, k2, t, found in zip(d["k1"], d["k2"], d["text"], d["found"], strict=True):
-            data = t.encode("utf-8", "replace")
+            raw = t.encode("utf-8", "replace")
+            forms = {u: form_of(raw, u, seen) for u in {x["h"] & 1 for x in found}}
             for x in found:
-                rows.append((x["h"], data[x["q0"] : x["q1"] + length], x["p"] - x["q0"], k1, k2, x["q0"], x["kind"] == 2))
+                u = x["h"] & 1
+                rows.append((x["h"], forms[u][x["q0"] : x["q1"] + lengths[u]], x["p"] - x["q0"], k1, k2, x["q0"], x["kind"] == 2))
                 if len(rows) == 5000:
                     yield pd.DataFrame(rows, columns=CONTEXT)
                     rows = []
@@ -273,14 +298,16 @@ def _cut_contexts(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.D
 CONTEXT = ["h", "context", "offset", "k1", "k2", "q0", "known"]
 
 
-def _sort_contexts(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """Contexts sorted by h -> spans (k1, k2, first, last) of windows that are repeated; whole anchors are sorted together."""
+def _sort_contexts(batches: Iterator[pd.DataFrame], lengths: list[int]) -> Iterator[pd.DataFrame]:
+    """Contexts sorted by h -> spans (k1, k2, first, last, unit) of windows that are repeated; whole anchors are sorted together."""
 
-    def spans(d: pd.DataFrame) -> pd.DataFrame:
-        known = d["known"].tolist()
-        flags = repeated_windows([bytes(c) for c in d["context"]], d["offset"].tolist(), known, length)
-        rows = [(k1, k2, q0 + a, q0 + b) for k1, k2, q0, f, done in zip(d["k1"], d["k2"], d["q0"], flags, known, strict=True) if not done for a, b in runs_of(f)]
-        return pd.DataFrame(rows, columns=["k1", "k2", "q0", "q1"])
+    def spans(both: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for u, d in both.groupby(both["h"].to_numpy() & 1):
+            known = d["known"].tolist()
+            flags = repeated_windows([bytes(c) for c in d["context"]], d["offset"].tolist(), known, lengths[u])
+            rows += [(k1, k2, q0 + a, q0 + b, u) for k1, k2, q0, f, done in zip(d["k1"], d["k2"], d["q0"], flags, known, strict=True) if not done for a, b in runs_of(f)]
+        return pd.DataFrame(rows, columns=["k1", "k2", "q0", "q1", "u"])
 
     held: pd.DataFrame | None = None
     for d in batches:
@@ -299,53 +326,71 @@ def _sort_contexts(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.
         yield spans(held)
 
 
-def _list_windows(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+def _list_windows(batches: Iterator[pd.DataFrame], lengths: list[int]) -> Iterator[pd.DataFrame]:
     """Every window of the contexts, by its hash and the anchor's offset in it."""
     for d in batches:
         for h, c, o, k1, k2, q0 in zip(d["h"], d["context"], d["offset"], d["k1"], d["k2"], d["q0"], strict=True):
-            c = bytes(c)
+            c, length = bytes(c), lengths[h & 1]
             n = len(c) - length + 1
             w = [xxhash.xxh3_128_intdigest(c[q : q + length]) for q in range(n)]
             yield pd.DataFrame({"h": h, "o": o - np.arange(n), "w1": np.array([x >> 65 for x in w], np.int64), "w2": np.array([x & (1 << 63) - 1 for x in w], np.int64), "k1": k1, "k2": k2, "q0": q0 + np.arange(n)})
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """(k1, k2, q0, q1): by key of the text, runs of windows (first and last start) that are repeated in the corpus."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, words: int | None = None) -> DataFrame:
+    """(k1, k2, q0, q1, u): by key of the text, runs of windows (first and last start) that are repeated in the corpus.
+
+    u is 0 for windows of ``length`` bytes and 1 for those of 8 * ``words`` bytes in the hashes of the text's words.
+    """
     if length < GRAM + 2 * SYMBOL:
         raise ValueError(f"length must be {GRAM + 2 * SYMBOL} at least")
+    if words is not None and WORD * words < WORD_GRAM + 2 * SYMBOL:
+        raise ValueError(f"words must be {(WORD_GRAM + 2 * SYMBOL) // WORD} at least")
+    lengths = [length] if words is None else [length, WORD * words]
     small_batches(docs.sparkSession)
     keyed = _keyed(docs)
-    found = keyed.mapInPandas(tidy(lambda it: _find_anchors(it, length)), "k1 long, k2 long, h long, c long, p int, q0 int, q1 int, own long")
+    found = keyed.mapInPandas(tidy(lambda it: _find_anchors(it, lengths)), "k1 long, k2 long, h long, c long, p int, q0 int, q1 int, own long")
     context, anchor = Window.partitionBy("h", "c"), Window.partitionBy("h")
     found = found.withColumn("times", F.count("*").over(context)).withColumn("turn", F.row_number().over(context.orderBy("k1", "k2", "p")))
     found = found.withColumn("several", F.min("c").over(anchor) != F.max("c").over(anchor))
     kind = F.when((F.col("own") == 0) & F.col("several") & (F.col("times") == 1), 1).when((F.col("own") == 0) & F.col("several") & (F.col("turn") == 1), 2).when((F.col("own") == 1) | (F.col("times") > 1), 0)
     found = materialize(found.select("k1", "k2", "h", "p", "q0", "q1", kind.alias("kind")).where("kind is not null").distinct(), "repeats-anchors")
-    asis = found.where("kind <> 1").select("k1", "k2", "q0", "q1").distinct()
+    unit = F.col("h").bitwiseAND(1).cast("int").alias("u")
+    asis = found.where("kind <> 1").select("k1", "k2", "q0", "q1", unit).distinct()
     # The list is bounded by the text: a text has one row for an anchor.
     wanted = found.where("kind > 0").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "p", "q0", "q1", "kind")).alias("found"))
     texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    contexts = texts.join(wanted, ["k1", "k2"]).mapInPandas(tidy(lambda it: _cut_contexts(it, length)), "h long, context binary, offset int, k1 long, k2 long, q0 int, known boolean")
+    contexts = texts.join(wanted, ["k1", "k2"]).mapInPandas(tidy(lambda it: _cut_contexts(it, lengths)), "h long, context binary, offset int, k1 long, k2 long, q0 int, known boolean")
     contexts = materialize(contexts, "repeats-contexts")
     large = contexts.groupBy("h").count().where(F.col("count") > group_limit).select(F.col("h").alias("large"))
     marked = contexts.join(large, F.col("h") == F.col("large"), "left")
     usual = marked.where("large is null").drop("large").repartition("h").sortWithinPartitions("h", "k1", "k2", "q0")
-    spans = asis.unionByName(usual.mapInPandas(tidy(lambda it: _sort_contexts(it, length)), "k1 long, k2 long, q0 int, q1 int"))
+    spans = asis.unionByName(usual.mapInPandas(tidy(lambda it: _sort_contexts(it, lengths)), "k1 long, k2 long, q0 int, q1 int, u int"))
     if not large.isEmpty():
-        windows = marked.where("large is not null").drop("large").mapInPandas(tidy(lambda it: _list_windows(it, length)), "h long, o int, w1 long, w2 long, k1 long, k2 long, q0 int")
+        windows = marked.where("large is not null").drop("large").mapInPandas(tidy(lambda it: _list_windows(it, lengths)), "h long, o int, w1 long, w2 long, k1 long, k2 long, q0 int")
         again = windows.groupBy("h", "o", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
-        spans = spans.unionByName(windows.join(again, ["h", "o", "w1", "w2"], "left_semi").select("k1", "k2", "q0", F.col("q0").alias("q1")))
+        spans = spans.unionByName(windows.join(again, ["h", "o", "w1", "w2"], "left_semi").select("k1", "k2", "q0", F.col("q0").alias("q1"), unit))
     return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, text: bool = False) -> DataFrame:
+def byte_spans(raw: bytes, found: list, length: int, words: int | None) -> list[tuple[int, int]]:
+    """Runs of windows as the bytes that they cover, merged."""
+    out = [(s["q0"], s["q1"] + length) for s in found if not s["u"]]
+    runs = [(-(-s["q0"] // WORD), s["q1"] // WORD) for s in found if s["u"]]
+    if runs:
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        out += [(at[a][0], at[b + words - 1][1]) for a, b in runs if a <= b]
+    return merge(out)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, text: bool = False, words: int | None = None) -> DataFrame:
     """Add n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) to the documents.
 
     With ``text``, also kept_text: the remaining bytes as text, without those of characters that a cut went through.
+    With ``words``, every so many words that also start anywhere else go too.
     """
-    spans = repeated_spans(docs, length, group_limit)
+    spans = repeated_spans(docs, length, group_limit, words)
     # Copies give equal rows: distinct before the list, which the text bounds.
-    spans = spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("q0", "q1")).alias("spans")).withColumnsRenamed({"k1": "s1", "k2": "s2"})
+    spans = spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("q0", "q1", "u")).alias("spans")).withColumnsRenamed({"k1": "s1", "k2": "s2"})
     kept_columns = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *["kept_text"] * text).columns
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept_columns)).alias("_row"), text_or_empty().alias("_text"))
     whole = F.col("_text")
@@ -359,7 +404,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
         rows = []
         for raw, x in zip(data, found, strict=True):
             raw = bytes(raw)
-            gone = merge([(s["q0"], s["q1"] + length) for s in x]) if x is not None else []
+            gone = byte_spans(raw, x, length, words) if x is not None else []
             parts, at = [], 0
             for a, b in gone:
                 parts.append(raw[at:a])

@@ -68,3 +68,12 @@ def test_null_rows_and_clashing_names_go_through(spark):
     # Nothing is toxic; null and empty texts are copies, as are those of document 3. One source, so the mix takes its words once; texts without words may go along.
     assert len(kept[0]) == 6 and kept[1] == kept[2] == [("1", None), ("3", "some other words stand here"), ("None", "some words here")]
     assert set(kept[3]) <= set(kept[2]) and sum(len((t or "").split()) for _, t in kept[3]) <= 2 * 8 and kept[4] == kept[3] and kept[3]
+
+
+def test_repeated_passages_of_over_50_words_go(spark):
+    passage = " ".join(f"w{i}" for i in range(51))
+    assert len(passage) < 400
+    rows = [(1, f"one {passage} ends", "en", "s", 0), (2, f"another {passage} stops", "en", "s", 0), (3, f"third {passage[:-1]}", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_array(spark, docs, "").collect()}
+    assert got == {1: "one  ends", 2: "another  stops", 3: rows[2][1]}

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -113,3 +114,35 @@ def test_columns_with_any_name_stay(spark):
     out = remove_repeats(df)
     assert out.columns[:5] == df.columns
     assert {tuple(r)[:4] for r in out.collect()} == set(rows)
+
+
+def brute_words(texts, length, words):
+    """Kept bytes where strings of so many words go too."""
+    raw = [(t or "").encode() for t in texts]
+    times, at = {}, [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", r)] for r in raw]
+    windows = [[(a, b) for a, b in [(q, q + length) for q in range(len(r) - length + 1)]] for r in raw]
+    keyed = [[(r[a:b], a, b) for a, b in w] for r, w in zip(raw, windows, strict=True)]
+    for r, p, k in zip(raw, at, keyed, strict=True):
+        k += [(tuple(r[a:b] for a, b in p[i : i + words]), p[i][0], p[i + words - 1][1]) for i in range(len(p) - words + 1)]
+        for key, _, _ in k:
+            times[key] = times.get(key, 0) + 1
+    out = []
+    for r, k in zip(raw, keyed, strict=True):
+        kept, at = b"", 0
+        for a, b in merge([(a, b) for key, a, b in k if times[key] > 1]):
+            kept, at = kept + r[at:a], b
+        out.append(kept + r[at:])
+    return out
+
+
+@pytest.mark.parametrize(("seed", "words", "limit"), [(5, 51, 50_000), (6, 16, 50_000), (7, 30, 2)])
+def test_words_against_brute_force(spark, seed, words, limit):
+    texts = corpus(seed)
+    rng = random.Random(seed)
+    passage = [f"p{rng.randrange(999)}" for _ in range(words)]
+    texts += ["x " + " ".join(passage) + " y", " z\n" + "\n\t".join(passage), "v " + " ".join(passage[1:]) + " w", " ".join(passage[:-1]) + "s t"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: bytes(r["kept"]) for r in remove_repeats(df, 400, limit, words=words).collect()}
+    want = brute_words(texts, 400, words)
+    assert want[-4:-2] == [b"x  y", " z\n".encode()] and want[-2] == texts[-2].encode()
+    assert got == dict(enumerate(want))
