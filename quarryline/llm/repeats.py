@@ -21,8 +21,7 @@ An anchor with more than ``group_limit`` different contexts doesn't go to one ta
 
 With ``words``, every so many words that also start anywhere else go too, from the first word's first byte to the last
 one's last, whatever white space stands between them. These are found in the same way and in the same passes, in a second
-form of the text that has the 8-byte hash of each word: there the windows are of 8 * ``words`` bytes, and those that start
-with a word count. The lowest bit of an anchor's hash tells the form.
+form of the text that has the 8-byte hash of each word: there the windows are of 8 * ``words`` bytes and start with a word. The lowest bit of an anchor's hash tells the form.
 
 Defined results: null text is empty; texts shorter than ``length`` keep all; copies and repeated rows remove each other
 whole; ties don't arise; an empty table gives no rows; extra columns stay with remove_repeats.
@@ -31,7 +30,6 @@ whole; ties don't arise; an empty table gives no rows; extra columns stay with r
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,7 +146,7 @@ def form_of(data: bytes, unit: int, seen: WordHashes) -> bytes:
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """Hash of the gram's bytes from each place, by doubling."""
+    """Hash of the gram's bytes (or words) from each place, by doubling."""
     h = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(ODD[0])
     size, k = 1, 0
     while size < gram:
@@ -158,10 +156,8 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h * np.uint64(ODD[1])
 
 
-def anchors(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per anchor in order: its hash, place, and the first and last start of the windows that belong to it."""
-    h = gram_hashes(np.frombuffer(data, np.uint8), gram)
-    width = length - gram + 1
+def least_grams(h: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least-hashed gram, the first if several are, of each ``width`` neighbours."""
     n = len(h)
     packed = ((h >> INDEX_BITS) << INDEX_BITS) | np.arange(n, dtype=np.uint64)
     # Least of each window: running minima forwards and backwards in runs of the window's width.
@@ -173,12 +169,35 @@ def anchors(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.
     backward = np.minimum.accumulate(runs[:, ::-1], axis=1)[:, ::-1].ravel()
     starts = n - width + 1
     least = np.minimum(backward[:starts], forward[width - 1 : width - 1 + starts])
-    at = (least & ((np.uint64(1) << INDEX_BITS) - np.uint64(1))).astype(np.int64)
+    return (least & ((np.uint64(1) << INDEX_BITS) - np.uint64(1))).astype(np.int64)
+
+
+def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per anchor in order: its hash, place, and the first and last start of the windows that belong to it."""
+    h = gram_hashes(np.frombuffer(data, np.uint8))
+    at = least_grams(h, length - GRAM + 1)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    last = np.r_[first[1:] - 1, starts - 1]
+    last = np.r_[first[1:] - 1, len(at) - 1]
     return h[at[first]].view(np.int64), at[first], first, last
 
 
+def word_anchors(forms: bytes, sizes: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+    """Anchors of texts whose word hashes stand one after another, ``sizes`` (``words`` or more) of each text.
+
+    Per anchor in order: the text, its hash, place, first and last start; places are counted in words over all texts.
+    """
+    h = gram_hashes(np.frombuffer(forms, np.uint64), WORD_GRAM // WORD)
+    at = least_grams(h, words - WORD_GRAM // WORD + 1)
+    # Windows that go over a text's end are none.
+    ends = np.cumsum(sizes)
+    own = np.repeat(np.arange(len(sizes)), sizes)[: len(at)]
+    starts = np.flatnonzero(np.arange(len(at)) + words <= ends[own])
+    at = at[starts]
+    edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    first, last = starts[edge], starts[np.r_[edge[1:] - 1, len(at) - 1]]
+    return own[first], h[at[edge]].view(np.int64), at[edge], first, last
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -189,10 +208,11 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_windows(contexts: list[bytes], offsets: list[int], known: list[bool], length: int) -> list[bytearray]:
+def repeated_windows(contexts: list[bytes], offsets: list[int], known: list[bool], length: int, step: int = 1) -> list[bytearray]:
     """For each context, a flag per window that also stands elsewhere in these contexts.
 
-    ``offsets``: where the anchor stands in the context. Known contexts take part, but need no flags.
+    ``offsets``: where the anchor stands in the context. Known contexts take part, but need no flags. With ``step``, of
+    which offsets are multiples, only flags at its multiples count.
     """
     flags = [bytearray(max(0, len(c) - length + 1)) for c in contexts]
     ids: dict[bytes, int] = {}
@@ -222,7 +242,7 @@ def repeated_windows(contexts: list[bytes], offsets: list[int], known: list[bool
             groups[-1].append(order[r])
     for group in groups:
         members = [where[i] for i in group]
-        for o in range(SYMBOL):
+        for o in range(0, SYMBOL, step):
             here = [(k, s - o) for k, s in members if o <= s <= len(contexts[k]) - length + o]
             if len(here) < 2 or all(known[k] or flags[k][q] for k, q in here):
                 continue
@@ -247,36 +267,64 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), text.alias("text"))
 
 
-def _find_anchors(batches: Iterator[pd.DataFrame], lengths: list[int]) -> Iterator[pd.DataFrame]:
-    """Anchors of texts in each form, with a hash c of the context.
+def _context_hashes(data: bytes, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(data[a:b], p - a) >> 1 for a, b, p in zip(begin.tolist(), end.tolist(), at.tolist(), strict=True)], np.int64)
+
+
+def _fold(doc: np.ndarray, k1: np.ndarray, h: np.ndarray, c: np.ndarray, p: np.ndarray, q0: np.ndarray, q1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, h, c, p, q0, q1, own) of anchors in order of text and place.
 
     A context that a text holds more than twice gives two rows; runs of contexts that it holds twice are a row with own = 1.
     """
+    n = len(c)
+    order = np.lexsort((c, doc))
+    new = np.flatnonzero(np.r_[True, (np.diff(doc[order]) != 0) | (np.diff(c[order].view(np.uint64)) != 0)])
+    sizes = np.diff(np.r_[new, n])
+    times, turn = np.empty(n, np.int64), np.empty(n, np.int64)
+    times[order], turn[order] = np.repeat(sizes, sizes), np.arange(n) - np.repeat(new, sizes)
+    twice, keep = times > 1, turn < 2
+    other = np.r_[True, np.diff(doc) != 0]
+    a = np.flatnonzero(twice & (other | ~np.r_[False, twice[:-1]]))
+    b = np.flatnonzero(twice & (np.r_[other[1:], True] | ~np.r_[twice[1:], False]))
+    own = np.r_[np.zeros(keep.sum(), np.int64), np.ones(len(a), np.int64)]
+    both = ((doc, doc[a]), (h, k1[doc[a]]), (c, np.full(len(a), -1)), (p, p[a]), (q0, q0[a]), (q1, q1[b]))
+    return *(np.r_[x[keep], y] for x, y in both), own
+
+
+def _find_anchors(batches: Iterator[pd.DataFrame], lengths: list[int]) -> Iterator[pd.DataFrame]:
+    """Anchors of texts in each form, with a hash c of the context."""
     for d in batches:
-        parts, seen = [], WordHashes()
-        forms = ((k1, k2, raw, u) for k1, k2, t in zip(d["k1"], d["k2"], d["text"], strict=True) for raw in [t.encode("utf-8", "replace")] for u in range(len(lengths)))
-        for k1, k2, raw, u in forms:
-            data, length = form_of(raw, u, seen), lengths[u]
-            if len(data) < length:
-                continue
-            h, at, q0, q1 = anchors(data, length, WORD_GRAM if u else GRAM)
-            c = np.array([xxhash.xxh3_64_intdigest(data[a:b], p - a) >> 1 for a, b, p in zip(q0.tolist(), (q1 + length).tolist(), at.tolist(), strict=True)], np.int64)
-            _, back, times = np.unique(c, return_inverse=True, return_counts=True)
-            twice = times[back] > 1
-            if twice.any():
-                order = np.argsort(back, kind="stable")
-                turn = np.empty(len(c), np.int64)
-                turn[order] = np.arange(len(c)) - np.repeat(np.cumsum(times) - times, times)
-                keep = turn < 2
-                runs = runs_of(bytearray(twice.astype(np.uint8)))
-                a, b = np.array([r[0] for r in runs]), np.array([r[1] for r in runs])
-                h, c, at, q0, q1 = (np.r_[x[keep], y] for x, y in ((h, np.full(len(a), k1)), (c, np.full(len(a), -1)), (at, at[a]), (q0, q0[a]), (q1, q1[b])))
-                own = np.r_[np.zeros(keep.sum(), np.int64), np.ones(len(a), np.int64)]
-            else:
-                own = np.zeros(len(c), np.int64)
-            parts.append((np.full(len(c), k1), np.full(len(c), k2), h & -2 | u, c, at, q0, q1, own))
-        if parts:
-            yield pd.DataFrame({n: np.concatenate([p[i] for p in parts]) for i, n in enumerate(("k1", "k2", "h", "c", "p", "q0", "q1", "own"))})
+        k1, k2 = d["k1"].to_numpy(), d["k2"].to_numpy()
+        raws = [t.encode("utf-8", "replace") for t in d["text"]]
+        parts, rows = [], []
+        for i, raw in enumerate(raws):
+            if len(raw) >= lengths[0]:
+                h, at, q0, q1 = anchors(raw, lengths[0])
+                rows.append((np.full(len(h), i), h, _context_hashes(raw, at, q0, q1 + lengths[0]), at, q0, q1))
+        if rows:
+            doc, *found = map(np.concatenate, zip(*rows, strict=True))
+            parts.append((0, *_fold(doc, k1, *found)))
+        if len(lengths) > 1:
+            parts += _find_word_anchors(raws, k1, lengths[1] // WORD)
+        for u, doc, h, c, p, q0, q1, own in parts:
+            yield pd.DataFrame({"k1": k1[doc], "k2": k2[doc], "h": h & -2 | u, "c": c, "p": p, "q0": q0, "q1": q1, "own": own})
+
+
+def _find_word_anchors(raws: list[bytes], k1: np.ndarray, words: int) -> list[tuple]:
+    seen, kept, forms = WordHashes(), [], []
+    for i, raw in enumerate(raws):
+        # A word and the space after it are two bytes at least.
+        if len(raw) >= 2 * words - 1 and len(form := form_of(raw, 1, seen)) >= WORD * words:
+            kept.append(i)
+            forms.append(form)
+    if not kept:
+        return []
+    sizes = np.array([len(x) // WORD for x in forms])
+    data = b"".join(forms)
+    text, h, at, q0, q1 = word_anchors(data, sizes, words)
+    c = _context_hashes(data, WORD * at, WORD * q0, WORD * (q1 + words))
+    begin = (np.cumsum(sizes) - sizes)[text]
+    return [(1, *_fold(np.array(kept)[text], k1, h, c, *(WORD * (x - begin) for x in (at, q0, q1))))]
 
 
 def _cut_contexts(batches: Iterator[pd.DataFrame], lengths: list[int]) -> Iterator[pd.DataFrame]:
@@ -304,9 +352,9 @@ def _sort_contexts(batches: Iterator[pd.DataFrame], lengths: list[int]) -> Itera
     def spans(both: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for u, d in both.groupby(both["h"].to_numpy() & 1):
-            known = d["known"].tolist()
-            flags = repeated_windows([bytes(c) for c in d["context"]], d["offset"].tolist(), known, lengths[u])
-            rows += [(k1, k2, q0 + a, q0 + b, u) for k1, k2, q0, f, done in zip(d["k1"], d["k2"], d["q0"], flags, known, strict=True) if not done for a, b in runs_of(f)]
+            known, step = d["known"].tolist(), WORD if u else 1
+            flags = repeated_windows([bytes(c) for c in d["context"]], d["offset"].tolist(), known, lengths[u], step)
+            rows += [(k1, k2, q0 + step * a, q0 + step * b, u) for k1, k2, q0, f, done in zip(d["k1"], d["k2"], d["q0"], flags, known, strict=True) if not done for a, b in runs_of(f[::step])]
         return pd.DataFrame(rows, columns=["k1", "k2", "q0", "q1", "u"])
 
     held: pd.DataFrame | None = None
@@ -353,14 +401,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
     found = found.withColumn("times", F.count("*").over(context)).withColumn("turn", F.row_number().over(context.orderBy("k1", "k2", "p")))
     found = found.withColumn("several", F.min("c").over(anchor) != F.max("c").over(anchor))
     kind = F.when((F.col("own") == 0) & F.col("several") & (F.col("times") == 1), 1).when((F.col("own") == 0) & F.col("several") & (F.col("turn") == 1), 2).when((F.col("own") == 1) | (F.col("times") > 1), 0)
-    found = materialize(found.select("k1", "k2", "h", "p", "q0", "q1", kind.alias("kind")).where("kind is not null").distinct(), "repeats-anchors")
+    found = materialize(found.select("k1", "k2", "h", "p", "q0", "q1", kind.alias("kind")).where("kind is not null").distinct(), "repeats-anchors", release=True)
     unit = F.col("h").bitwiseAND(1).cast("int").alias("u")
     asis = found.where("kind <> 1").select("k1", "k2", "q0", "q1", unit).distinct()
     # The list is bounded by the text: a text has one row for an anchor.
     wanted = found.where("kind > 0").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "p", "q0", "q1", "kind")).alias("found"))
     texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     contexts = texts.join(wanted, ["k1", "k2"]).mapInPandas(tidy(lambda it: _cut_contexts(it, lengths)), "h long, context binary, offset int, k1 long, k2 long, q0 int, known boolean")
-    contexts = materialize(contexts, "repeats-contexts")
+    contexts = materialize(contexts, "repeats-contexts", release=True)
     large = contexts.groupBy("h").count().where(F.col("count") > group_limit).select(F.col("h").alias("large"))
     marked = contexts.join(large, F.col("h") == F.col("large"), "left")
     usual = marked.where("large is null").drop("large").repartition("h").sortWithinPartitions("h", "k1", "k2", "q0")
@@ -372,29 +420,45 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
     return spans
 
 
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each word."""
+    data = np.frombuffer(raw, np.uint8)
+    edges = np.flatnonzero(np.diff(np.r_[False, (data != 32) & (data - np.uint8(9) > 4), False]))
+    return edges[::2], edges[1::2]
+
+
 def byte_spans(raw: bytes, found: list, length: int, words: int | None) -> list[tuple[int, int]]:
     """Runs of windows as the bytes that they cover, merged."""
     out = [(s["q0"], s["q1"] + length) for s in found if not s["u"]]
     runs = [(-(-s["q0"] // WORD), s["q1"] // WORD) for s in found if s["u"]]
     if runs:
-        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
-        out += [(at[a][0], at[b + words - 1][1]) for a, b in runs if a <= b]
+        begin, end = word_places(raw)
+        out += [(int(begin[a]), int(end[b + words - 1])) for a, b in runs if a <= b]
     return merge(out)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, text: bool = False, words: int | None = None) -> DataFrame:
+def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """What merged spans leave."""
+    parts, at = [], 0
+    for a, b in spans:
+        parts.append(raw[at:a])
+        at = b
+    return b"".join([*parts, raw[at:]])
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, text: bool = False, words: int | None = None, apart: bool = False) -> DataFrame:
     """Add n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) to the documents.
 
     With ``text``, also kept_text: the remaining bytes as text, without those of characters that a cut went through.
-    With ``words``, every so many words that also start anywhere else go too.
+    With ``words``, every so many words that also start anywhere else go too; with ``apart``, from kept_text alone.
     """
     spans = repeated_spans(docs, length, group_limit, words)
     # Copies give equal rows: distinct before the list, which the text bounds.
     spans = spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("q0", "q1", "u")).alias("spans")).withColumnsRenamed({"k1": "s1", "k2": "s2"})
     kept_columns = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *["kept_text"] * text).columns
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept_columns)).alias("_row"), text_or_empty().alias("_text"))
-    whole = F.col("_text")
-    own = own.withColumns({"_k1": F.xxhash64(whole), "_k2": F.xxhash64(F.lit(7), whole), "_bytes": F.encode(whole, "UTF-8")})
+    whole = text_or_empty()
+    # Rows hold their text once as they are dealt out.
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept_columns)).alias("_row"), F.xxhash64(whole).alias("_k1"), F.xxhash64(F.lit(7), whole).alias("_k2"))
     joined = own.join(spans, (F.col("_k1") == F.col("s1")) & (F.col("_k2") == F.col("s2")), "left")
 
     columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *["kept_text"] * text]
@@ -404,17 +468,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
         rows = []
         for raw, x in zip(data, found, strict=True):
             raw = bytes(raw)
-            gone = byte_spans(raw, x, length, words) if x is not None else []
-            parts, at = [], 0
-            for a, b in gone:
-                parts.append(raw[at:a])
-                at = b
-            kept = b"".join([*parts, raw[at:]])
-            rows.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore") if text else None)[: len(columns)])
+            found_here = x if x is not None else []
+            every = byte_spans(raw, found_here, length, words)
+            gone = byte_spans(raw, [s for s in found_here if not s["u"]], length, words) if apart and any(s["u"] for s in found_here) else every
+            kept = without(raw, gone)
+            rest = (kept if gone == every else without(raw, every)).decode("utf-8", "ignore") if text else None
+            rows.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept, rest)[: len(columns)])
         give_back()
         return pd.DataFrame(rows, columns=columns)
 
     # Told to be random, the function runs once, also where a filter asks for what it gives.
-    out = joined.withColumn("_cut", cut.asNondeterministic()("_bytes", "spans"))
+    out = joined.withColumn("_cut", cut.asNondeterministic()(F.encode(text_or_empty("_row.text"), "UTF-8"), "spans"))
     return out.select("_row.*", "_cut.*")
 

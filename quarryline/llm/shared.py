@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: what a batch holds must fit a Python worker, however long its texts are.
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+#: Whether a query's shuffle files go as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,11 +35,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: a cut in the lineage that outlives executors."""
+def materialize(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: a cut in the lineage that outlives executors.
+
+    With ``release``, files of the shuffles behind df go when it is written, and not when the driver next collects garbage.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true" if release else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.llm import repeats
+from quarryline.llm import q_repeats, repeats
 from quarryline.llm.repeats import anchors, merge, remove_repeats, repeated_windows, shared_prefixes, suffix_order
 
 
@@ -146,3 +146,18 @@ def test_words_against_brute_force(spark, seed, words, limit):
     want = brute_words(texts, 400, words)
     assert want[-4:-2] == [b"x  y", " z\n".encode()] and want[-2] == texts[-2].encode()
     assert got == dict(enumerate(want))
+
+
+def test_query_counts_by_bytes_and_text_lacks_passages_of_over_50_words(spark, tmp_path):
+    passage = " ".join(f"w{i}" for i in range(51))
+    assert len(passage) < 400
+    texts = [*corpus(9, 12), f"one {passage} ends", f"another {passage} stops", f"third {passage[:-1]}", f"é {passage} " + "é" * 250, "é" * 250]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in q_repeats.op9_repeats(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, (want, left) in enumerate(zip(brute(texts, 400), brute_words(texts, 400, 51), strict=True)):
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (*want[:3], hashlib.sha256(want[3]).hexdigest()), i
+        assert r["text"] == left.decode("utf-8", "ignore"), i
+    assert [got[len(texts) - k]["text"] for k in (5, 4, 3, 2, 1)] == ["one  ends", "another  stops", texts[-3], "é  ", ""]
+    assert got[len(texts) - 5]["n_removed"] == 0
