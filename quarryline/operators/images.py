@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.session import many_tasks
+from quarryline.session import BATCH_BYTES, bounded_batches, many_tasks
 from quarryline.sources.binary import ycc_image
 
 # How a tile is stored, and the table that stands in where a file's own is missing.
@@ -24,8 +24,8 @@ SHARED_TABLE = 254
 SIDE = 64
 IMAGE = "width int, height int, rgb binary, pixel_sha256 string, error string"
 NAMES = [x.split()[0] for x in IMAGE.split(", ")]
-#: Bytes and rows of a batch of images.
-BATCH_BYTES, BATCH_ROWS = 16 << 20, 5000
+#: Rows of a batch of images.
+BATCH_ROWS = 5000
 
 
 def tile_tables(tiles: DataFrame, tables: DataFrame) -> DataFrame:
@@ -65,26 +65,25 @@ def _picture(width: int, height: int, colour_space: str, tiles: list[tuple]) ->
 def stitch(tiles: DataFrame) -> DataFrame:
     """(file, width, height, colour_space, tile_ix, compression, subtype, data) -> one image per file, or its error.
 
-    A file's tiles are one image, so what is held at once is bounded by what a picture holds. Files are dealt out by hash into a number
-    of tasks that doesn't come from bytes, as tiles that compress well would make few of them.
+    A file's tiles are one image, so what is held at once is bounded by what a picture holds: batches of tiles and of images are of few
+    bytes. Files are dealt out by hash into a number of tasks that doesn't come from bytes, as tiles that compress well would make few of them.
     """
+    bounded_batches(tiles.sparkSession)
     kind = dict(tiles.dtypes)["file"]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next(batches, None)
-        if first is None:
-            return
-        types = [first.schema.field("file").type, pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
+        types = [None, pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
         done, held = [], 0
 
+        def rows() -> Iterator[tuple]:
+            for given in batches:
+                types[0] = given.schema.field("file").type
+                yield from zip(*(c.to_pylist() for c in given.columns), strict=True)
+
         def batch() -> pa.RecordBatch:
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=["file", *NAMES])
 
-        for file, group in groupby(rows(chain([first], batches)), key=lambda r: r[0]):
+        for file, group in groupby(rows(), key=lambda r: r[0]):
             group = list(group)
             width, height, colour_space = int(group[0][1]), int(group[0][2]), group[0][3]
             rgb, error = None, None
@@ -106,6 +105,7 @@ def stitch(tiles: DataFrame) -> DataFrame:
 
 def turn_images(images: DataFrame) -> DataFrame:
     """width, height, rgb with rotation 0 or 90 -> turned against the clock; a crop travels as a box and cuts nothing here. Only images that turn go to Python."""
+    bounded_batches(images.sparkSession)
 
     @F.pandas_udf("binary")
     def turned(width: pd.Series, height: pd.Series, rgb: pd.Series) -> pd.Series:

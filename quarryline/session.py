@@ -19,6 +19,10 @@ DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+#: Bytes of an Arrow batch of large values, on the way to Python and back, and Spark's setting of the former.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def local_session(cores: int | str = 8, app: str = "quarryline", memory: str = "12g", **extra: str) -> SparkSession:
     """A local session for tests and the bench; on a cluster pass your own session to the operators."""
@@ -48,6 +52,13 @@ def many_tasks(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of rows with large values stay small: Spark's own 64 MB stand in the JVM, in the worker and in what it makes of them, in every task of an executor."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)i?b?\s*", spark.conf.get(BATCH_SETTING).lower()).groups()
+    if int(number) << 10 * " kmgtp".index(unit or " ") > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a table of its own: a reliable checkpoint in the shared folder, which ends its lineage."""
     shared_folder(df.sparkSession)

@@ -1,8 +1,11 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from quarryline import session
 from quarryline.operators import audit, images
 
 
@@ -51,3 +54,18 @@ def test_files_in_few_bytes_are_dealt_out(spark):
     made = images.stitch(rows.coalesce(1)).select("file", "pixel_sha256", F.spark_partition_id().alias("task")).collect()
     assert len(made) == len({r["file"] for r in made}) == 4000 and {r["pixel_sha256"] for r in made} == {hashlib.sha256(b"\7\0\0" * 4096).hexdigest()}
     assert len({r["task"] for r in made}) >= 8
+
+
+@pytest.mark.parametrize("step", [images.stitch, images.turn_images])
+def test_python_gets_few_bytes_at_once(spark, step):
+    tile = F.encode(F.repeat(F.lit("abc"), images.SIDE * images.SIDE), "UTF-8")
+    rows = spark.range(0, 2000, 1, 1).select(F.col("id").alias("file"), F.lit(64).alias("width"), F.lit(64).alias("height"), F.lit("NIF_RGB").alias("colour_space"), F.lit(0).alias("tile_ix"), F.lit(images.RAW).alias("compression"), F.lit(0).alias("subtype"), tile.alias("data"), tile.alias("rgb"), F.lit(90).alias("rotation"))
+    before = spark.conf.get(session.BATCH_SETTING)
+    try:
+        for given, kept in (("64m", str(session.BATCH_BYTES)), ("67108864b", str(session.BATCH_BYTES)), ("100kb", "100kb")):
+            spark.conf.set(session.BATCH_SETTING, given)
+            assert step(rows).count() == 2000 and spark.conf.get(session.BATCH_SETTING) == kept
+            sizes = [r["n"] for r in rows.select("data").mapInArrow(lambda it: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in it), "n long").collect()]
+            assert sum(sizes) >= 2000 * 3 * 64 * 64 and max(sizes) <= session.BATCH_BYTES + 100_000
+    finally:
+        spark.conf.set(session.BATCH_SETTING, before)
